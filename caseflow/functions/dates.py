@@ -14,10 +14,11 @@ def _int(c: Column) -> Column:
     return c.try_cast("int")
 
 
-def _valid_date(y: Column, m: Column, d: Column) -> Column:
-    year = F.when(y < 100, y + 2000).otherwise(y)
-    ok = year.between(2000, 2100) & m.between(1, 12) & d.between(1, 31)
-    return F.when(ok, F.format_string("%04d-%02d-%02d", year, m, d).try_cast("date"))
+def _valid_date(p: Column) -> Column:
+    """Date of a struct (y, m, d) within 2000..2100, else null; a two-digit year is this century's."""
+    year = F.when(p["y"] < 100, p["y"] + 2000).otherwise(p["y"])
+    ok = year.between(2000, 2100) & p["m"].between(1, 12) & p["d"].between(1, 31)
+    return F.when(ok, F.format_string("%04d-%02d-%02d", year, p["m"], p["d"]).try_cast("date"))
 
 
 def _month_number(word: Column) -> Column:
@@ -30,20 +31,18 @@ def parse_date(raw: Column | str) -> Column:
     def read(s: Column) -> Column:
         g = lambda pattern, i: F.regexp_extract(s, pattern, i)
         n = lambda pattern, i: _int(g(pattern, i))
+        ymd = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
         day_first = _month_number(g(V.DATE_D_MON_Y, 2))
         month_first = _month_number(g(V.DATE_MON_D_Y, 1))
         return (
-            F.when(s == "", None)
-            .when(s.rlike(V.DATE_COMPACT), _valid_date(*(n(V.DATE_COMPACT, i) for i in (1, 2, 3))))
-            .when(s.rlike(V.DATE_YMD), _valid_date(*(n(V.DATE_YMD, i) for i in (1, 2, 3))))
-            .when(s.rlike(V.DATE_MDY), _valid_date(*(n(V.DATE_MDY, i) for i in (3, 1, 2))))
-            .when(s.rlike(V.DATE_D_MON_Y) & day_first.isNotNull(),
-                  _valid_date(n(V.DATE_D_MON_Y, 3), day_first, n(V.DATE_D_MON_Y, 1)))
-            .when(s.rlike(V.DATE_MON_D_Y) & month_first.isNotNull(),
-                  _valid_date(n(V.DATE_MON_D_Y, 3), month_first, n(V.DATE_MON_D_Y, 2)))
+            F.when(s.rlike(V.DATE_COMPACT), ymd(*(n(V.DATE_COMPACT, i) for i in (1, 2, 3))))
+            .when(s.rlike(V.DATE_YMD), ymd(*(n(V.DATE_YMD, i) for i in (1, 2, 3))))
+            .when(s.rlike(V.DATE_MDY), ymd(*(n(V.DATE_MDY, i) for i in (3, 1, 2))))
+            .when(day_first.isNotNull(), ymd(n(V.DATE_D_MON_Y, 3), day_first, n(V.DATE_D_MON_Y, 1)))
+            .when(month_first.isNotNull(), ymd(n(V.DATE_MON_D_Y, 3), month_first, n(V.DATE_MON_D_Y, 2)))
         )
 
-    return let(F.regexp_replace(collapse(raw), "_", " "), read)
+    return let(let(F.regexp_replace(collapse(raw), "_", " "), read), _valid_date)
 
 
 def parse_class_year(raw: Column | str) -> Column:

@@ -156,18 +156,33 @@ def _name_keys(p: Column) -> Column:
     return F.when(F.size(p["core"]) >= 2, full).otherwise(F.coalesce(lone, F.array().cast("array<bigint>")))
 
 
-def name_pairs(left: DataFrame, right: DataFrame, max_distance: int = V.NAME_MAX_DISTANCE) -> DataFrame:
-    """Pairs (name, candidate, dist) within the distance; each input has one column `name` of distinct names."""
-    l = spread(left, "name").select("name", name_parts("name").alias("pl"))
-    r = spread(right, "name").select(F.col("name").alias("candidate"), name_parts("name").alias("pr"))
-    lk = l.select("name", F.explode(_name_keys(F.col("pl"))).alias("k"))
-    rk = r.select("candidate", F.explode(_name_keys(F.col("pr"))).alias("k"))
-    met = lk.hint("shuffle_hash").join(rk, "k").select("name", "candidate").distinct()
-    parts = met.join(l, "name").join(r, "candidate")
-    scored = parts.select("name", "candidate", parts_distance(F.col("pl"), F.col("pr")).alias("dist"))
+def name_index(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct names of both sides with their parts (name, p, in_left, in_right), written once."""
+    both = left.select("name", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select("name", F.lit(0).alias("l"), F.lit(1).alias("r"))
+    ).groupBy("name").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    rows = spread(both, "name").select("name", name_parts("name").alias("p"), (F.col("l") == 1).alias("in_left"), (F.col("r") == 1).alias("in_right"))
+    return cut_lineage(rows, "names")
+
+
+def _pairs(index: DataFrame, max_distance: int) -> DataFrame:
+    keyed = spread(index, "name").select("name", "in_left", "in_right", F.explode(_name_keys(F.col("p"))).alias("k"))
+    lk = keyed.where("in_left").select("name", "k")
+    rk = keyed.where("in_right").select(F.col("name").alias("candidate"), "k")
+    met = lk.join(rk, "k").select("name", "candidate").distinct()
+    l = index.select("name", F.col("p").alias("pl"))
+    r = index.select(F.col("name").alias("candidate"), F.col("p").alias("pr"))
+    scored = met.join(l, "name").join(r, "candidate").select(
+        "name", "candidate", parts_distance(F.col("pl"), F.col("pr")).alias("dist")
+    )
     return scored.where(F.col("dist") <= max_distance)
 
 
+def name_pairs(left: DataFrame, right: DataFrame, max_distance: int = V.NAME_MAX_DISTANCE) -> DataFrame:
+    """Pairs (name, candidate, dist) within the distance; each input has a column `name`."""
+    return _pairs(name_index(left, right), max_distance)
+
+
 def best_match(
     left: DataFrame, candidates: DataFrame, max_distance: int = V.NAME_MAX_DISTANCE,
     distinct_pairs: DataFrame | None = None,
@@ -178,16 +193,16 @@ def best_match(
     another candidate at that distance is itself some letters away from the winner.
     """
     order = candidates.groupBy("name").agg(F.min("ord").alias("ord"))
-    pairs = name_pairs(left.select("name").distinct(), order.select("name"), max_distance)
-    pairs = without_ruled(pairs, "name", "candidate", distinct_pairs)
-    ranked = pairs.join(order.select(F.col("name").alias("candidate"), "ord"), "candidate")
+    index = name_index(left, candidates)
+    pairs = without_ruled(_pairs(index, max_distance), "name", "candidate", distinct_pairs)
+    ranked = cut_lineage(pairs.join(order.select(F.col("name").alias("candidate"), "ord"), "candidate"), "pairs")
     best = ranked.groupBy("name").agg(F.min(F.struct("dist", "ord", "candidate")).alias("w"))
     tied = ranked.join(best, "name").where(
         (F.col("dist") == F.col("w.dist")) & (F.col("candidate") != F.col("w.candidate"))
-    )
-    apart = parts_distance(F.col("pw"), F.col("pc")) > 0
-    rivals = tied.select("name", name_parts("w.candidate").alias("pw"), name_parts("candidate").alias("pc"))
-    verdict = rivals.groupBy("name").agg(F.bool_or(apart).alias("ambiguous"))
+    ).select("name", F.col("w.candidate").alias("winner"), "candidate")
+    parts = lambda side, out: index.select(F.col("name").alias(side), F.col("p").alias(out))
+    rivals = tied.join(parts("winner", "pw"), "winner").join(parts("candidate", "pc"), "candidate")
+    verdict = rivals.groupBy("name").agg(F.bool_or(parts_distance(F.col("pw"), F.col("pc")) > 0).alias("ambiguous"))
     return best.join(verdict, "name", "left").select(
         "name", F.col("w.candidate").alias("match"), F.col("w.dist").alias("dist"),
         F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"),
@@ -204,8 +219,8 @@ def resolve_parties(
     src = names.select("name").distinct()
     src = canonicalise(src, "name", aliases, "canon") if aliases is not None else src.withColumn("canon", F.col("name"))
     src = src.withColumn("key", name_key("canon"))
-    known = parties.groupBy("key").agg(F.min_by("name", "ord").alias("party"), F.min("ord").alias("ord"))
-    exact = src.join(known.select("key", "party"), "key", "left")
+    known = cut_lineage(parties.groupBy("key").agg(F.min_by("name", "ord").alias("party"), F.min("ord").alias("ord")))
+    exact = cut_lineage(src.join(known.select("key", "party"), "key", "left"))
     todo = exact.where(F.col("party").isNull() & (F.col("key") != "")).select("name")
     near = best_match(todo, known.select(F.col("party").alias("name"), "ord"), distinct_pairs=distinct_pairs)
     near = near.where(~F.col("ambiguous")).select("name", "match")

@@ -85,8 +85,10 @@ def derive(cases: DataFrame, settings: Settings = Settings(), roster: DataFrame
     """Records from case rows (case_id, filename, slots, form_type, mode, overrides, field_overrides,
     file_pos_neg, file_reason, rejected, archived)."""
     ft = F.coalesce(override("form_type"), F.col("form_type"), F.lit(""))
-    base = cases.withColumn("__ft", ft).withColumn("__who", single_name(field("recipient_name")))
-    base = base.withColumn("__year", parse_class_year(field("class_year")))
+    base = cases.withColumns({
+        "__ft": ft, "__who": single_name(field("recipient_name")), "__year": parse_class_year(field("class_year")),
+        "__issuer": form_name_to_display(field("issuer")), "__grade": collapse(field("issuer_grade")),
+    })
     if roster is not None:
         look = roster.select(F.col("name_key").alias("__k"), F.col("class_year").alias("__known"))
         base = base.join(look, name_key("__who") == F.col("__k"), "left").drop("__k")
@@ -103,12 +105,12 @@ def derive(cases: DataFrame, settings: Settings = Settings(), roster: DataFrame
     )
     f174 = ft == "F174"
     reason = F.when(collapse(field("reason")) != "", collapse(field("reason"))).otherwise(collapse(field("narrative")))
-    issuer = form_name_to_display(field("issuer"))
-    grade = collapse(field("issuer_grade"))
+    issuer, grade = F.col("__issuer"), F.col("__grade")
     graded = F.when(
         (grade != "") & (issuer != "") & ~F.lower(issuer).startswith(F.lower(grade)), F.concat_ws(" ", grade, issuer)
     ).otherwise(issuer)
-    loss, pov = other_text(field("loss_of_pass")), other_text(field("pov_priv"))
+    base = base.withColumns({"__loss": other_text(field("loss_of_pass")), "__pov": other_text(field("pov_priv"))})
+    loss, pov = F.col("__loss"), F.col("__pov")
     other = F.when(ft == "F10", F.concat_ws(
         "; ", F.when(loss != "", F.concat(F.lit("Loss of pass: "), loss)),
         F.when(pov != "", F.concat(F.lit("POV revoked: "), pov)),

@@ -38,6 +38,12 @@ def person(k: Column) -> Column:
     return F.concat_ws(" ", given(k), family(k))
 
 
+def person_text(k: str) -> str:
+    """`person` as Spark SQL text."""
+    word = lambda n: f"initcap(translate(string({n}), '{DIGITS}', '{LETTERS}'))"
+    return f"concat_ws(' ', {word(f'100 + ({k} * 31) % 900')}, {word(f'1000000 + ({k} * 7919) % 8999993')})"
+
+
 def _spelled_sql(n: str) -> str:
     t = f"translate(CAST({n} AS VARCHAR), '{DIGITS}', '{LETTERS}')"
     return f"(upper(substr({t}, 1, 1)) || substr({t}, 2))"
@@ -64,73 +70,63 @@ def key_sql(k: str) -> str:
 # ---- cases ----------------------------------------------------------------------------------------------
 
 def lines_per_case(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus")
-    return li.groupBy(F.col("l_orderkey").alias("case_id")).agg(
-        F.count("*").alias("n_lines"), F.count_if(F.col("l_returnflag") == "R").alias("n_r"),
-        F.count_if(F.col("l_returnflag") == "A").alias("n_a"), F.count_if(F.col("l_linestatus") == "F").alias("n_f"),
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(
+        F.count("*").alias("n_lines"), F.expr("count_if(l_returnflag = 'R')").alias("n_r"),
+        F.expr("count_if(l_returnflag = 'A')").alias("n_a"), F.expr("count_if(l_linestatus = 'F')").alias("n_f"),
     )
 
 
-def cases(spark: SparkSession, sf: str) -> DataFrame:
-    """One record per order."""
+_BASE = [
+    "case_id", "o_custkey AS party_id", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate", "c_nationkey",
+    "c_mktsegment", "c_acctbal", *[f"coalesce({c}, 0L) AS {c}" for c in ("n_lines", "n_r", "n_a", "n_f")],
+]
+_FACTS = [
+    "*", "if(c_mktsegment = 'BUILDING', 'F174', 'F10') AS form_type",
+    "CASE o_orderpriority WHEN '3-MEDIUM' THEN 'Pos' WHEN '4-NOT SPECIFIED' THEN '' ELSE 'Neg' END AS pos_neg",
+    "if(o_orderpriority = '4-NOT SPECIFIED', '', concat_ws(' ', c_mktsegment, substr(o_orderpriority, 3))) AS reason_category",
+    f"{person_text('party_id')} AS recipients", "if(o_totalprice >= 20000, cast(o_orderdate AS date), NULL) AS date_iso",
+    "n_f > 0 AS issuer_signed", "if(c_mktsegment <> 'BUILDING', o_orderstatus <> 'O', NULL) AS sqccf_processed",
+    "if(c_mktsegment <> 'BUILDING', o_totalprice > 100000, NULL) AS cadet_cc_initialed",
+    "o_orderstatus = 'F' OR n_r > 1 AS recipient_signed", "o_orderstatus = 'F' AS aoc_signed",
+    "o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AS rejected",
+    "o_orderdate < TIMESTAMP_NTZ '1995-07-01 00:00:00' AS archived", "o_totalprice > 490000 AS missing", "n_lines > 0 AS parsed",
+    "o_orderdate < TIMESTAMP_NTZ '1999-01-01 00:00:00' AS logged", "n_a > 1 AS reviewed",
+]
+_FIELDS = [
+    "*",
+    "concat(concat_ws('_', recipients, pos_neg, form_type, replace(reason_category, ' ', ''), case_id), '.pdf') AS filename",
+    f"if(o_orderpriority = '2-HIGH', array(recipients, {person_text('(party_id + 1)')}), array(recipients)) AS recipient_list",
+    "concat('lines ', n_lines) AS reason_details", f"{person_text('(c_nationkey + 500)')} AS issuer",
+    "if(c_acctbal < 500, '', concat('20', 24 + c_nationkey % 5)) AS class_year", "concat('SQ', c_nationkey) AS squadron",
+    "if(form_type = 'F10', string(n_a), '') AS demerits", "if(form_type = 'F10', concat(n_r, ' tours'), '') AS tours",
+    "if(form_type = 'F10', string(n_lines - n_r - n_a), '') AS confinements",
+    "if(form_type = 'F10' AND pos_neg = 'Pos' AND n_f > 0, '3', '') AS cdna",
+    "if(form_type = 'F10' AND pos_neg = 'Pos' AND n_lines > 3, '2', '') AS passes",
+    "if(n_lines > 6, 'POV revoked: 1 week', '') AS other", "lower(o_orderpriority) AS notes", "n_lines AS page_count",
+    "pos_neg = '' OR n_lines > 6 AS flagged",
+]
+
+
+def case_facts(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "case_id")
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-    j = o.join(lines_per_case(spark, sf), "case_id", "left").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    n = lambda k: F.coalesce(k, F.lit(0))
-    j = j.select(
-        "case_id", F.col("o_custkey").alias("party_id"), "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate",
-        "c_nationkey", "c_mktsegment", "c_acctbal", *[n(k).alias(k) for k in ("n_lines", "n_r", "n_a", "n_f")],
-    )
-    st, pr, price = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice")
-    f174 = F.col("c_mktsegment") == "BUILDING"
-    j = (
-        j.withColumn("form_type", F.when(f174, "F174").otherwise("F10"))
-        .withColumn("pos_neg", F.when(pr == "3-MEDIUM", "Pos").when(pr == "4-NOT SPECIFIED", "").otherwise("Neg"))
-        .withColumn("reason_category", F.when(pr == "4-NOT SPECIFIED", "").otherwise(F.concat_ws(" ", "c_mktsegment", F.substr(pr, F.lit(3)))))
-        .withColumn("recipients", person(F.col("party_id")))
-        .withColumn("date_iso", F.when(price >= 20000, F.col("o_orderdate").cast("date")))
-        .withColumn("issuer_signed", F.col("n_f") > 0)
-        .withColumn("sqccf_processed", F.when(~f174, st != "O"))
-        .withColumn("cadet_cc_initialed", F.when(~f174, price > 100000))
-        .withColumn("recipient_signed", (st == "F") | (F.col("n_r") > 1))
-        .withColumn("aoc_signed", st == "F")
-        .withColumn("rejected", (st == "P") & (pr == "1-URGENT"))
-        .withColumn("archived", F.col("o_orderdate") < F.lit("1995-07-01").cast("timestamp_ntz"))
-        .withColumn("missing", price > 490000)
-        .withColumn("parsed", F.col("n_lines") > 0)
-    )
-    f10 = F.col("form_type") == "F10"
-    pos_f10 = f10 & (F.col("pos_neg") == "Pos")
-    text = lambda c: F.col(c).cast("string")
-    j = (
-        j.withColumn("filename", F.concat(
-            F.concat_ws("_", "recipients", "pos_neg", "form_type", F.regexp_replace("reason_category", " ", ""), text("case_id")), F.lit(".pdf")))
-        .withColumn("recipient_list", F.when(pr == "2-HIGH", F.array("recipients", person(F.col("party_id") + 1))).otherwise(F.array("recipients")))
-        .withColumn("reason_details", F.concat(F.lit("lines "), text("n_lines")))
-        .withColumn("issuer", person(F.col("c_nationkey") + 500))
-        .withColumn("class_year", F.when(F.col("c_acctbal") < 500, "").otherwise(F.concat(F.lit("20"), (F.lit(24) + F.col("c_nationkey") % 5).cast("string"))))
-        .withColumn("squadron", F.concat(F.lit("SQ"), text("c_nationkey")))
-        .withColumn("demerits", F.when(f10, text("n_a")).otherwise(""))
-        .withColumn("tours", F.when(f10, F.concat(text("n_r"), F.lit(" tours"))).otherwise(""))
-        .withColumn("confinements", F.when(f10, (F.col("n_lines") - F.col("n_r") - F.col("n_a")).cast("string")).otherwise(""))
-        .withColumn("cdna", F.when(pos_f10 & (F.col("n_f") > 0), "3").otherwise(""))
-        .withColumn("passes", F.when(pos_f10 & (F.col("n_lines") > 3), "2").otherwise(""))
-        .withColumn("other", F.when(F.col("n_lines") > 6, "POV revoked: 1 week").otherwise(""))
-        .withColumn("notes", F.lower("o_orderpriority"))
-        .withColumn("logged", F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))
-        .withColumn("reviewed", F.col("n_a") > 1)
-        .withColumn("flagged", (F.col("pos_neg") == "") | (F.col("n_lines") > 6))
-    )
-    return (
-        j.withColumn("complete", complete([F.col(s) for s in V.STEPS]))
-        .withColumn("counted", F.col("complete") & ~F.col("rejected") & ~F.col("archived"))
-        .withColumn("needs_review", F.col("flagged") & ~F.col("reviewed") & ~F.col("archived") & ~F.col("rejected"))
-        .withColumn("incomplete", F.when(
-            F.col("parsed") & ~F.col("archived") & ~F.col("rejected") & ~F.col("missing"),
+    j = o.join(lines_per_case(spark, sf), "case_id", "left").join(c, o["o_custkey"] == c["c_custkey"])
+    return j.selectExpr(*_BASE).selectExpr(*_FACTS).selectExpr(*_FIELDS)
+
+
+def cases(spark: SparkSession, sf: str) -> DataFrame:
+    """One record per order."""
+    j = case_facts(spark, sf).withColumns({
+        "complete": complete([F.col(s) for s in V.STEPS]),
+        "incomplete": F.when(
+            F.expr("parsed AND NOT archived AND NOT rejected AND NOT missing"),
             missing_manual(F.col("form_type"), F.col("pos_neg"), {"cdna": F.col("cdna"), "passes": F.col("passes")}),
-        ).otherwise(F.array().cast("array<string>")))
-        .withColumn("party_keys", F.transform("recipient_list", name_key))
-        .withColumn("page_count", F.col("n_lines"))
+        ).otherwise(F.expr("cast(array() AS array<string>)")),
+        "party_keys": F.transform("recipient_list", name_key),
+    })
+    return j.selectExpr(
+        "*", "complete AND NOT rejected AND NOT archived AS counted",
+        "flagged AND NOT reviewed AND NOT archived AND NOT rejected AS needs_review",
     )
 
 
@@ -195,10 +191,8 @@ cases AS (
 
 def case_parties(spark: SparkSession, sf: str) -> DataFrame:
     """One row per case and party (key, name, ord), for cases that are read, present and not archived."""
-    c = cases(spark, sf).where(~F.col("missing") & ~F.col("archived") & F.col("parsed"))
-    return c.select("*", F.posexplode("recipient_list").alias("pos", "name")).withColumn("key", name_key("name")).withColumn(
-        "ord", F.col("case_id") * 10 + F.col("pos")
-    )
+    c = cases(spark, sf).where("NOT missing AND NOT archived AND parsed").selectExpr("*", "posexplode(recipient_list) AS (pos, name)")
+    return c.selectExpr("*", "party_keys[pos] AS key", "case_id * 10 + pos AS ord")
 
 
 PARTIES = """

@@ -80,15 +80,18 @@ _SHORT, _OVERLAP = 26, 25
 
 
 def near_duplicate_names(
-    names: DataFrame, name: str = "name", count: str = "n", min_len: int = 4, distinct_pairs: DataFrame | None = None
+    names: DataFrame, name: str = "name", count: str = "n", min_len: int = 4, distinct_pairs: DataFrame | None = None,
+    hot_piece: int = 1000,
 ) -> DataFrame:
     """Pairs of different spellings at most two edits apart, once each, case ignored (a, b, a_n, b_n, edits).
 
     names: one row per distinct spelling. Two strings within two edits share a string two deletions or fewer
     from both, so short names meet on hashes of those. Of three pieces of a longer string at least one is left
     whole by two edits and moves at most two places, so longer names meet on (length, piece number, piece).
-    Names of 25 and 26 letters take part in both, which covers pairs across the border. A hash or a piece only
-    proposes a pair; the edit distance decides.
+    Names of 25 and 26 letters take part in both, which covers pairs across the border. A piece that more than
+    `hot_piece` names hold (a common first word) does not bring them all together: with that piece whole, what is
+    around it is within two edits, so those names meet on the piece and the two-deletion hashes of the rest. A
+    hash or a piece only proposes a pair; the edit distance decides.
     """
     base = names.select(
         F.col(name).alias("s"), F.lower(name).alias("l"), F.col(count).alias("n")
@@ -101,23 +104,28 @@ def near_duplicate_names(
     by_deletion = short.alias("x").join(short.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.s") < F.col("y.s")))
     by_deletion = by_deletion.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
 
-    long = base.where(F.col("len") >= _OVERLAP)
+    long = base.where(F.col("len") >= _OVERLAP).select("s", "l", "len")
     start = lambda n, i: F.floor(n / 3).cast("int") * i + 1
     width = lambda n, i: F.when(i == 2, n - F.floor(n / 3).cast("int") * 2).otherwise(F.floor(n / 3).cast("int"))
-    key = lambda n, i, piece: F.xxhash64(n, i, piece)
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.lit(2)),
-        lambda i: key(F.col("len"), i, F.substr(F.col("l"), start(F.col("len"), i), width(F.col("len"), i))),
+    piece = lambda n, i, at: F.struct(
+        F.xxhash64(n, i, F.substr(F.col("l"), at, width(n, i))).alias("k"), at.alias("at"), width(n, i).alias("w")
     )
-    indexed = long.select(F.col("s").alias("b"), F.explode(pieces).alias("k"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: piece(F.col("len"), i, start(F.col("len"), i)))
     probes = F.flatten(F.transform(F.sequence(F.col("len") - 2, F.col("len")), lambda n: F.flatten(F.transform(
         F.sequence(F.lit(0), F.lit(2)), lambda i: F.transform(
-            F.sequence(F.greatest(start(n, i) - 2, F.lit(1)), start(n, i) + 2),
-            lambda p: key(n, i, F.substr(F.col("l"), p, width(n, i))),
+            F.sequence(F.greatest(start(n, i) - 2, F.lit(1)), start(n, i) + 2), lambda at: piece(n, i, at)
         )
     ))))
-    probing = long.select(F.col("s").alias("a"), F.explode(F.array_distinct(probes)).alias("k"))
-    by_piece = probing.join(indexed, "k").where(F.col("a") != F.col("b")).select(
+    indexed = long.select(F.col("s").alias("b"), "l", F.inline(own))
+    probing = long.select(F.col("s").alias("a"), "l", F.inline(F.array_distinct(probes)))
+    crowded = cut_lineage(indexed.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > hot_piece).select("k"), "pieces")
+    calm = probing.join(crowded, "k", "left_anti").select("a", "k").join(
+        indexed.join(crowded, "k", "left_anti").select("b", "k"), "k"
+    )
+    rest = F.concat(F.substr("l", F.lit(1), F.col("at") - 1), F.lit(SEP), F.substr(F.col("l"), F.col("at") + F.col("w")))
+    around = F.explode(F.transform(_within_deletions(rest, 2), lambda x: F.xxhash64(F.col("k"), x))).alias("r")
+    busy = probing.join(crowded, "k").select("a", around).join(indexed.join(crowded, "k").select("b", around), "r")
+    by_piece = calm.select("a", "b").unionByName(busy.select("a", "b")).where(F.col("a") != F.col("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
 
@@ -501,10 +509,15 @@ def subtract_baseline(found: DataFrame, printed: DataFrame, block: int = 4096) -
 
     found: page, box, word, word_no; printed: page, box, word. The earliest occurrences go first.
     """
-    keys = ["page", "box", "word"]
-    numbered = row_numbers(found, keys, [F.col("word_no")], F.floor(F.col("word_no") / block), "__k")
-    taken = printed.groupBy(*keys).agg(F.count("*").alias("__c"))
-    return numbered.join(taken, keys, "left").where(F.col("__k") > F.coalesce("__c", F.lit(0))).drop("__k", "__c")
+    counts = printed.groupBy("page", "box", "word").agg(F.count("*").alias("c"))
+    return subtract_counts(found, counts, ["page", "box", "word"], block)
+
+
+def subtract_counts(found: DataFrame, counts: DataFrame, on: list[str], block: int = 4096) -> DataFrame:
+    """The same with printed words already counted (c), per box or, with fewer columns in `on`, for all boxes alike."""
+    numbered = row_numbers(found, ["page", "box", "word"], [F.col("word_no")], F.floor(F.col("word_no") / block), "__k")
+    taken = counts.select(*on, F.col("c").alias("__c"))
+    return numbered.join(taken, on, "left").where(F.col("__k") > F.coalesce("__c", F.lit(0))).drop("__k", "__c")
 
 
 # ---- layouts ----------------------------------------------------------------------------------------

@@ -1 +1,308 @@
-"""match queries."""
+"""Fuzzy joins over the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import filename_key, norm_text
+from ..operators import match as M
+from ..operators.scale import keep_first
+from ..session import cut_lineage
+from .bindings import family_sql, given_sql, person, table
+from .registry import query
+
+# ---- near-duplicate spellings -----------------------------------------------------------------------
+
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+
+
+def titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Page titles, and the same as miswritten on a second copy."""
+    t = table(spark, sf, "pages").select(F.expr(_TITLE).alias("name")).where("name <> ''")
+    slip = t.select(F.concat(F.substr("name", F.lit(1), F.lit(6)), F.substr("name", F.lit(8)), F.lit("s")).alias("name"))
+    return t.unionByName(slip).groupBy("name").agg(F.count("*").alias("n"))
+
+
+def _near_sql(names: str) -> str:
+    return f"""WITH n AS ({names})
+SELECT x.name AS a, y.name AS b, x.n AS a_n, y.n AS b_n, levenshtein(lower(x.name), lower(y.name)) AS edits FROM n x JOIN n y ON x.name < y.name
+WHERE lower(x.name) <> lower(y.name) AND length(x.name) >= 4 AND length(y.name) >= 4 AND abs(length(x.name) - length(y.name)) <= 2
+  AND levenshtein(lower(x.name), lower(y.name)) <= 2"""
+
+
+@query("near_duplicate_names", "J4", _near_sql("SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1")
+       + " AND NOT (x.name = 'cold gear' AND y.name = 'old gear')")
+def near_duplicate_names(spark, sf):
+    names = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n"))
+    ruled = table(spark, sf, "part").where("p_name = 'cold gear'").select(F.col("p_name").alias("b"), F.lit("Old Gear").alias("a")).distinct()
+    return M.near_duplicate_names(names, distinct_pairs=ruled)
+
+
+@query("near_duplicate_people", "J4", _near_sql(
+    f"SELECT {given_sql('c_custkey')} || ' ' || {family_sql('c_custkey')} AS name, 1 AS n FROM customer UNION ALL "
+    f"SELECT {given_sql('user_id')} || ' ' || {family_sql('user_id')} || 's', count(*) FROM events GROUP BY 1").replace("1 AS n", "count(*) AS n").replace("FROM customer UNION", "FROM customer GROUP BY 1 UNION"))
+def near_duplicate_people(spark, sf):
+    k, u = F.col("c_custkey"), F.col("user_id")
+    a = table(spark, sf, "customer").groupBy(person(k).alias("name")).agg(F.count("*").alias("n"))
+    b = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")).select(F.concat(person(u), F.lit("s")).alias("name"), "n")
+    return M.near_duplicate_names(a.unionByName(b))
+
+
+@query("near_duplicate_titles", "J4", _near_sql(
+    f"SELECT name, count(*) AS n FROM (SELECT {_TITLE} AS name FROM pages UNION ALL SELECT substr({_TITLE}, 1, 6) || substr({_TITLE}, 8) || 's' FROM pages WHERE {_TITLE} <> '') WHERE name <> '' GROUP BY 1"))
+def near_duplicate_titles(spark, sf):
+    return M.near_duplicate_names(titles(spark, sf))
+
+
+def _tok(a: str, b: str) -> str:
+    return (f"(CASE WHEN {a} = {b} THEN 0 WHEN levenshtein({a}, {b}) <= least(2, least(length({a}), length({b})) // 3) THEN levenshtein({a}, {b}) ELSE 3 END)")
+
+
+def part_people(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two spellings of two-word names: part names with a brand suffix, and the same written family first."""
+    p = table(spark, sf, "part")
+    suffix = F.translate(F.substr("p_brand", F.lit(7)), "0123456789", "abcdefghkm")
+    words = F.split("p_name", " ")
+    left = p.where("p_type = 'ECONOMY'").select(F.concat(F.get(words, F.lit(1)), suffix, F.lit(", "), F.get(words, F.lit(0))).alias("name"))
+    right = p.where("p_type <> 'ECONOMY'").select(F.concat_ws(" ", F.get(words, F.lit(0)), F.concat(F.get(words, F.lit(1)), suffix)).alias("name"), F.col("p_partkey").alias("ord"))
+    return left, right
+
+
+_PEOPLE = """
+base AS (SELECT p_partkey, p_type, split_part(p_name, ' ', 1) AS g, split_part(p_name, ' ', 2) || translate(substr(p_brand, 7), '0123456789', 'abcdefghkm') AS f FROM part),
+l AS (SELECT DISTINCT f || ', ' || g AS name, g, f FROM base WHERE p_type = 'ECONOMY'),
+r AS (SELECT g || ' ' || f AS name, g, f, min(p_partkey) AS ord FROM base WHERE p_type <> 'ECONOMY' GROUP BY ALL)"""
+_D = lambda x, y, rg, rf: f"least({_tok(x + '.g', y + '.' + rg)} + {_tok(x + '.f', y + '.' + rf)}, {_tok(x + '.g', y + '.' + rf)} + {_tok(x + '.f', y + '.' + rg)})"
+
+
+@query("best_name_match", "J3, U4", f"""WITH {_PEOPLE},
+d AS (SELECT l.name, r.name AS candidate, r.ord, r.g, r.f, {_D('l', 'r', 'g', 'f')} AS dist FROM l, r),
+ok AS (SELECT * FROM d WHERE dist <= 2),
+w AS (SELECT name, min(dist) AS dist FROM ok GROUP BY name),
+win AS (SELECT ok.name, min_by(candidate, ord) AS match, min(ok.dist) AS dist, min_by(g, ord) AS g, min_by(f, ord) AS f FROM ok JOIN w ON w.name = ok.name AND w.dist = ok.dist GROUP BY ok.name)
+SELECT win.name, match, win.dist, coalesce(bool_or({_D('win', 'o', 'g', 'f')} > 0) FILTER (WHERE o.candidate IS NOT NULL), false) AS ambiguous
+FROM win LEFT JOIN ok o ON o.name = win.name AND o.dist = win.dist AND o.candidate <> win.match GROUP BY ALL""")
+def best_name_match(spark, sf):
+    return M.best_match(*part_people(spark, sf))
+
+
+@query("canonical_names", "J2", """
+SELECT p_partkey, CASE WHEN p_name LIKE 'cold %' THEN 'Cool' || substr(p_name, 5) ELSE p_name END AS name FROM part""")
+def canonical_names(spark, sf):
+    p = table(spark, sf, "part")
+    aliases = p.where("p_name like 'cold %'").select(F.col("p_name").alias("name_lc"), F.concat(F.lit("Cool"), F.substr("p_name", F.lit(5))).alias("spelling")).distinct()
+    written = p.select("p_partkey", F.concat(F.lit(" "), F.regexp_replace("p_name", " ", "  ")).alias("w"))
+    return M.canonicalise(written, "w", aliases, "name").select("p_partkey", "name")
+
+
+@query("connected_spellings", "J18", f"""WITH RECURSIVE e AS (
+  SELECT DISTINCT lower(a) AS a, lower(b) AS b FROM ({_near_sql("SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1")})),
+u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+r AS (SELECT x, x AS y FROM u UNION SELECT r.x, u.y FROM r JOIN u ON u.x = r.y),
+c AS (SELECT x AS name, min(y) AS root FROM r GROUP BY x)
+SELECT c.name, c.root, d.spelling FROM c JOIN (SELECT k.root, max_by(b, a || '|' || b) AS spelling FROM e JOIN c k ON k.name = a GROUP BY 1) d ON d.root = c.root""")
+def connected_spellings(spark, sf):
+    names = table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n"))
+    near = M.near_duplicate_names(names).select("a", "b")
+    answers = near.select("a", "b", F.col("b").alias("spelling"), F.concat_ws("|", "a", "b").alias("ord"))
+    return M.connected_spellings(cut_lineage(answers))
+
+
+# ---- bigram overlap and candidate documents -------------------------------------------------------------
+
+@query("passage_dice", "U5", r"""
+WITH p AS (SELECT doc_id, lang, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS s FROM documents),
+b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS s FROM benchmark),
+gp AS (SELECT doc_id, substr(s, i, 2) AS g, count(*) AS c FROM (SELECT *, unnest(range(1, length(s))) AS i FROM p) GROUP BY ALL),
+gb AS (SELECT item_id, substr(s, i, 2) AS g, count(*) AS c FROM (SELECT *, unnest(range(1, length(s))) AS i FROM b) GROUP BY ALL),
+pairs AS (SELECT DISTINCT doc_id, item_id FROM p JOIN b ON contains(' ' || p.s || ' ', ' ' || split_part(b.s, ' ', 1) || ' ' || split_part(b.s, ' ', 2) || ' ' || split_part(b.s, ' ', 3) || ' '))
+SELECT pairs.doc_id AS a, pairs.item_id AS b, 2.0 * coalesce(h.hit, 0) / (length(p.s) - 1 + length(b.s) - 1) AS dice
+FROM pairs JOIN p ON p.doc_id = pairs.doc_id JOIN b ON b.item_id = pairs.item_id
+LEFT JOIN (SELECT doc_id, item_id, CAST(sum(least(gp.c, gb.c)) AS DOUBLE) AS hit FROM pairs JOIN gp USING (doc_id) JOIN gb USING (item_id, g) GROUP BY ALL) h
+  ON h.doc_id = pairs.doc_id AND h.item_id = pairs.item_id""")
+def passage_dice(spark, sf):
+    """Whole-text Dice of documents and the passages whose opening three words they contain."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), norm_text("text").alias("s"))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), norm_text("text").alias("s"))
+    opening = b.select(F.col("key").alias("b"), F.array_join(F.slice(F.split("s", " "), 1, 3), " ").alias("o"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i + 1, 3), " "))
+    tri = d.select(F.col("key").alias("a"), F.split("s", " ").alias("w")).where("size(w) >= 3").select("a", F.explode(F.array_distinct(grams)).alias("o"))
+    part = cut_lineage(opening)
+    pairs = cut_lineage(tri.join(part, "o").select("a", "b").distinct())
+    size = lambda df: df.select("key", (F.length("s") - 1).alias("n"))
+    ca, cb = M.bigram_counts(d, "key", "s"), M.bigram_counts(b, "key", "s")
+    return _two_sided(pairs, ca, cb, size(d), size(b))
+
+
+def _two_sided(pairs, ca, cb, na, nb):
+    tag = lambda df, t: df.withColumn("key", F.concat(F.lit(t), F.col("key").cast("string")))
+    p = pairs.select(F.concat(F.lit("a"), F.col("a").cast("string")).alias("a"), F.concat(F.lit("b"), F.col("b").cast("string")).alias("b"))
+    out = M.multiset_dice(p, tag(ca, "a").unionByName(tag(cb, "b")), tag(na, "a").unionByName(tag(nb, "b")))
+    return out.select(F.substr("a", F.lit(2)).cast("bigint").alias("a"), F.substr("b", F.lit(2)).cast("bigint").alias("b"), "dice")
+
+
+FIELDS = {"recipient_name": 3.0, "issuer": 1.5, "class_year": 0.5}
+MIN_SCORE = 0.7
+
+
+def page_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as returned copies: address as file name, title as recipient, host as issuer, language as year."""
+    p = table(spark, sf, "pages").select(
+        F.col("page_id").alias("id"), F.col("url").alias("filename"), F.sha1("html").alias("sha1"),
+        F.expr("if(url like 'https%', 'F10', 'F174')").alias("form_type"), norm_text(F.expr(_TITLE)).alias("recipient_name"),
+        norm_text(F.regexp_extract("url", "//([^/]+)", 1)).alias("issuer"), F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("class_year"),
+    )
+    return cut_lineage(p.withColumn("fname", filename_key("filename")), "items")
+
+
+def _dice_sql(field: str) -> str:
+    return f"""SELECT x.id AS i, y.id AS c, CASE WHEN x.{field} = y.{field} THEN CASE WHEN x.{field} = '' THEN 0 ELSE 1 END
+    WHEN length(x.{field}) < 2 OR length(y.{field}) < 2 THEN 0 ELSE 2.0 * coalesce(h, 0) / (length(x.{field}) + length(y.{field}) - 2) END AS d
+  FROM it x JOIN it y ON x.id <> y.id LEFT JOIN (SELECT a.id AS i, b.id AS c, CAST(sum(least(a.n, b.n)) AS DOUBLE) AS h FROM g_{field} a JOIN g_{field} b ON a.g = b.g GROUP BY ALL) z
+    ON z.i = x.id AND z.c = y.id"""
+
+
+_ITEMS = r"""it AS (SELECT page_id AS id, url AS filename, sha1(html) AS sha1, CASE WHEN url LIKE 'https%' THEN 'F10' ELSE 'F174' END AS form_type,
+  trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-z0-9]+', ' ', 'g')) AS recipient_name,
+  trim(regexp_replace(lower(regexp_extract(url, '//([^/]+)', 1)), '[^a-z0-9]+', ' ', 'g')) AS issuer, regexp_extract(html, 'lang="([a-z]+)"', 1) AS class_year,
+  trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(regexp_replace(regexp_replace(url, '(?i)\.pdf$', ''), '\(\d+\)', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')),
+  '\b(copy|signed|sign|sig|final|updated|update|scan|scanned|new|returned|done|completed?|rev\d*|v\d+)\b', ' ', 'g'), '\s+', ' ', 'g')) AS fname FROM pages)"""
+_CAND = "WITH " + _ITEMS + "".join(
+    f",\ng_{f} AS (SELECT id, substr({f}, i, 2) AS g, count(*) AS n FROM (SELECT id, {f}, unnest(range(1, length({f}))) AS i FROM it) GROUP BY ALL),\nd_{f} AS ({_dice_sql(f)})"
+    for f in ("fname", *FIELDS)
+) + f""",
+s AS (SELECT x.id AS i, y.id AS c, y.filename, x.sha1 = y.sha1 AS identical, f.d AS fn, r.d AS rn, o.d AS iss, l.d AS yr,
+  3.0 * (x.recipient_name <> '' AND y.recipient_name <> '')::INT AS w1, 1.5 * (x.issuer <> '' AND y.issuer <> '')::INT AS w2,
+  0.5 * (x.class_year <> '' AND y.class_year <> '')::INT AS w3, CASE WHEN x.form_type <> y.form_type THEN 0.4 ELSE 1 END AS factor
+  FROM d_fname f JOIN d_recipient_name r USING (i, c) JOIN d_issuer o USING (i, c) JOIN d_class_year l USING (i, c) JOIN it x ON x.id = f.i JOIN it y ON y.id = f.c),
+t AS (SELECT *, CASE WHEN identical THEN 1 ELSE factor * CASE WHEN w1 + w2 + w3 < 2 THEN 0.9 * fn ELSE 0.45 * fn + 0.55 * (w1 * rn + w2 * iss + w3 * yr) / (w1 + w2 + w3) END END AS raw FROM s),
+cand AS (SELECT i AS item_id, c AS case_id, filename, CAST(floor(CAST(raw AS DOUBLE) * 100 + 0.5) / 100 AS DOUBLE) AS score, identical FROM t WHERE CAST(raw AS DOUBLE) >= {MIN_SCORE}),
+top AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, filename, case_id) <= 6)
+"""
+
+
+def page_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    items = page_items(spark, sf)
+    return items, M.document_candidates(items, items, FIELDS, ["recipient_name"], MIN_SCORE, not_self=True)
+
+
+@query("document_candidates", "J5, W3", _CAND + "SELECT * FROM top")
+def document_candidates(spark, sf):
+    return page_candidates(spark, sf)[1]
+
+
+@query("match_suggestions", "W4", _CAND + """
+, two AS (SELECT item_id, max(score) AS s1, min_by(case_id, (-score, filename, case_id)) AS c1 FROM top GROUP BY 1),
+second AS (SELECT item_id, score AS s2 FROM top QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, filename, case_id) = 2)
+SELECT it.id AS item_id, CASE WHEN s1 >= 0.4 THEN 'replace' ELSE 'new' END AS action, CASE WHEN s1 >= 0.4 THEN c1 END AS case_id,
+  CASE WHEN s1 >= 0.7 AND (s2 IS NULL OR round(s1 - s2, 10) >= 0.1) THEN form_type = 'F10' ELSE coalesce(s1 >= 0.4, false) END AS review
+FROM it LEFT JOIN two ON two.item_id = it.id LEFT JOIN second ON second.item_id = it.id""")
+def match_suggestions(spark, sf):
+    items, cands = page_candidates(spark, sf)
+    return M.suggest(items.selectExpr("id AS item_id", "form_type = 'F10' AS warned"), cands)
+
+
+# ---- boxes ------------------------------------------------------------------------------------------------
+
+_BOX = ["l_orderkey AS page", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
+        "l_quantity / 60 AS x0", "l_discount * 8 AS y0", "l_quantity / 60 + 0.05 + l_tax / 4 AS x1", "l_discount * 8 + 0.03 AS y1",
+        "CASE l_returnflag WHEN 'R' THEN 'Signature' WHEN 'A' THEN 'Text' ELSE 'CheckBox' END AS ftype",
+        "concat_ws('.', l_linenumber, l_partkey, l_suppkey) AS id"]
+
+
+def boxes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of an order as boxes of a page: open lines are the template, the others what was found."""
+    b = table(spark, sf, "lineitem").selectExpr(*_BOX)
+    name = F.concat(F.lit("Field_"), F.col("l_returnflag"))
+    slots = b.where("l_linestatus = 'O'").select("page", F.col("id").alias("slot"), "ftype", name.alias("name"), "x0", "y0", "x1", "y1")
+    widgets = b.where("l_linestatus = 'F'").select(
+        "page", F.col("id").alias("widget"), "ftype", F.lower(F.regexp_replace(name, "_", " ")).alias("name"), (F.col("l_partkey") > F.col("l_suppkey") * 10).alias("has_value"), "x0", "y0", "x1", "y1")
+    return slots, widgets
+
+
+_BOX_SQL = """b AS (SELECT l_orderkey AS page, l_linenumber || '.' || l_partkey || '.' || l_suppkey AS id, l_returnflag, l_linestatus, l_partkey, l_suppkey,
+  l_quantity / 60 AS x0, l_discount * 8 AS y0, l_quantity / 60 + 0.05 + l_tax / 4 AS x1, l_discount * 8 + 0.03 AS y1,
+  CASE l_returnflag WHEN 'R' THEN 'Signature' WHEN 'A' THEN 'Text' ELSE 'CheckBox' END AS ftype FROM lineitem)"""
+
+
+@query("widget_matches", "J16", f"""WITH {_BOX_SQL},
+p AS (SELECT s.page, s.id AS slot, w.id AS widget, sqrt(pow((s.x0 + s.x1) / 2 - (w.x0 + w.x1) / 2, 2) + pow((s.y0 + s.y1) / 2 - (w.y0 + w.y1) / 2, 2)) AS d,
+    abs((s.x1 - s.x0) - (w.x1 - w.x0)) + abs((s.y1 - s.y0) - (w.y1 - w.y0)) AS sz,
+    abs(s.x0 - w.x0) <= 0.02 AND abs(s.x1 - w.x1) <= 0.02 AND abs(s.y0 - w.y0) <= 0.02 AND abs(s.y1 - w.y1) <= 0.02 AS tight,
+    CASE WHEN s.ftype = w.ftype THEN 0 WHEN s.ftype IN ('Signature', 'Text') AND w.ftype IN ('Signature', 'Text') THEN 0.035 END AS compat,
+    CASE WHEN s.l_returnflag = w.l_returnflag THEN 0.02 ELSE 0 END + CASE WHEN w.l_partkey > w.l_suppkey * 10 THEN 0.03 ELSE 0 END AS bonus
+  FROM b s JOIN b w ON s.page = w.page AND s.l_linestatus = 'O' AND w.l_linestatus = 'F'),
+c AS (SELECT page, slot, widget, tight, CASE WHEN tight THEN 0.1 * (d + 0.35 * sz) ELSE 0.01 + d + 0.35 * sz END + compat - bonus AS cost FROM p WHERE compat IS NOT NULL),
+ok AS (SELECT * FROM c WHERE cost <= 0.075)
+SELECT page, slot, widget, tight FROM ok
+QUALIFY row_number() OVER (PARTITION BY page, slot ORDER BY cost, widget) = 1 AND row_number() OVER (PARTITION BY page, widget ORDER BY cost, slot) = 1""")
+def widget_matches(spark, sf):
+    return M.match_widgets(*boxes(spark, sf), 0.02, 0.02).select("page", "slot", "widget", "tight")
+
+
+def words_and_boxes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Accepted and returned lines are words at a point, the others boxes of the same page."""
+    b = table(spark, sf, "lineitem").selectExpr(*_BOX)
+    w = b.where("l_returnflag <> 'N'").select("page", F.col("id").alias("word_no"), F.col("l_linestatus").alias("word"), F.col("x0").alias("cx"), F.col("y0").alias("cy"))
+    return w, b.where("l_returnflag = 'N'").select("page", F.col("id").alias("box"), "x0", "y0", "x1", "y1")
+
+
+@query("word_boxes", "J17", f"""WITH {_BOX_SQL},
+d AS (SELECT w.page, w.id AS word_no, x.id AS box, (x.x1 - x.x0) * (x.y1 - x.y0) AS area,
+  sqrt(pow(greatest(x.x0 - w.x0, 0, w.x0 - x.x1), 2) + pow(greatest(x.y0 - w.y0, 0, w.y0 - x.y1), 2)) AS d
+  FROM b w JOIN b x ON w.page = x.page AND w.l_returnflag <> 'N' AND x.l_returnflag = 'N')
+SELECT page, word_no, box FROM d WHERE d <= 0.12 QUALIFY row_number() OVER (PARTITION BY page, word_no ORDER BY d, area, box) = 1""")
+def word_boxes(spark, sf):
+    return M.assign_words(*words_and_boxes(spark, sf), 0.12).select("page", "word_no", "box")
+
+
+@query("words_minus_printed", "U3", """
+WITH f AS (SELECT doc_id, pos, w, row_number() OVER (PARTITION BY doc_id, w ORDER BY pos) AS k
+  FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents)),
+p AS (SELECT w, count(*) AS c FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) GROUP BY ALL)
+SELECT f.doc_id, sum(CASE WHEN k > coalesce(c, 0) THEN 1 ELSE 0 END)::BIGINT AS kept, min(pos) FILTER (WHERE k > coalesce(c, 0)) AS first_kept, max(pos) FILTER (WHERE k > coalesce(c, 0)) AS last_kept
+FROM f LEFT JOIN p ON p.w = f.w GROUP BY 1 HAVING kept > 0""")
+def words_minus_printed(spark, sf):
+    """Document words left after taking out the words of the passages, one for one."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("word_no", "word"))
+    found = d.select(F.col("doc_id").alias("page"), F.lit("text").alias("box"), "word", "word_no")
+    counts = table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    left = M.subtract_counts(found, cut_lineage(counts), ["word"])
+    return left.groupBy(F.col("page").alias("doc_id")).agg(F.count("*").alias("kept"), F.min("word_no").alias("first_kept"), F.max("word_no").alias("last_kept"))
+
+
+# ---- layouts ------------------------------------------------------------------------------------------------
+
+
+
+@query("layout_classes", "F31", """
+WITH raw AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+t0 AS (SELECT label, i, avg(v[i]) AS m FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM raw) GROUP BY ALL),
+t1 AS (SELECT label, list(m ORDER BY i) AS v FROM t0 GROUP BY label),
+tc AS (SELECT label, list_transform(v, lambda x: x - list_avg(v)) AS v FROM t1),
+t AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM tc),
+pc AS (SELECT id, label, list_transform(v, lambda x: x - list_avg(v)) AS v FROM raw),
+p AS (SELECT id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM pc),
+s AS (SELECT p.id, p.label AS hint, t.label AS template, list_dot_product(p.v, t.v) AS score FROM p, t),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, template) = 1)
+SELECT best.id, best.template, round(best.score, 6) AS score, best.hint, round(h.score, 6) AS hint_score,
+  best.hint <> best.template AND best.score - h.score > 0.2 AND h.score < 0.5 AS mislabeled FROM best JOIN s h ON h.id = best.id AND h.template = best.hint""")
+def layout_classes(spark, sf):
+    e = table(spark, sf, "embeddings")
+    dims = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    templates = dims.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v")).select(
+        F.col("label").alias("template"), F.transform("v", lambda z: z["m"]).alias("vec"))
+    pages = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("hint"))
+    out = M.classify_layout(pages, templates, 10)
+    return out.withColumn("score", F.round("score", 6)).withColumn("hint_score", F.round("hint_score", 6))
+
+
+@query("top_candidates", "W3", """
+SELECT l_suppkey AS item_id, l_orderkey, l_linenumber, l_partkey FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) <= 6""")
+def top_candidates(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("item_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return keep_first(li, ["item_id"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], 6).drop("l_extendedprice")
+
+

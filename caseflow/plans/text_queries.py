@@ -8,7 +8,9 @@ from .. import functions as C
 from .bindings import family, family_sql, given, given_sql, key_sql, person, person_sql, table
 from .registry import query
 
-_K = F.col("c_custkey")
+
+def _k():
+    return F.col("c_custkey")
 
 
 @query("collapse_text", "F1", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents")
@@ -50,9 +52,9 @@ def parsed_filenames(spark, sf):
 @query("stripped_ranks", "F4, F6", f"SELECT c_custkey, {person_sql('c_custkey')} AS name, {family_sql('c_custkey')} || ', ' || {given_sql('c_custkey')} AS bare FROM customer")
 def stripped_ranks(spark, sf):
     written = (
-        F.when(F.col("c_nationkey") < 5, F.concat_ws(" ", F.lit("C/2d Lt"), F.concat(family(_K), F.lit(",")), given(_K)))
-        .when(F.col("c_nationkey") < 10, F.concat_ws(" ", F.concat(F.lit("C3C "), family(_K), F.lit(",")), F.lit("Cadet"), given(_K)))
-        .otherwise(F.concat_ws(" ", F.lit("C/Capt"), F.concat(family(_K), F.lit(",")), given(_K)))
+        F.when(F.col("c_nationkey") < 5, F.concat_ws(" ", F.lit("C/2d Lt"), F.concat(family(_k()), F.lit(",")), given(_k())))
+        .when(F.col("c_nationkey") < 10, F.concat_ws(" ", F.concat(F.lit("C3C "), family(_k()), F.lit(",")), F.lit("Cadet"), given(_k())))
+        .otherwise(F.concat_ws(" ", F.lit("C/Capt"), F.concat(family(_k()), F.lit(",")), given(_k())))
     )
     return table(spark, sf, "customer").select("c_custkey", C.single_name(written).alias("name"), C.strip_rank(written).alias("bare"))
 
@@ -70,8 +72,8 @@ def split_name_lists(spark, sf):
 
 @query("name_keys", "F7", f"SELECT c_custkey, {key_sql('c_custkey')} AS key, {key_sql('c_custkey')} AS swapped FROM customer")
 def name_keys(spark, sf):
-    other = F.concat(F.lit("C2C "), family(_K), F.lit(", "), given(_K), F.lit(" Q."))
-    return table(spark, sf, "customer").select("c_custkey", C.name_key(person(_K)).alias("key"), C.name_key(other).alias("swapped"))
+    other = F.concat(F.lit("C2C "), family(_k()), F.lit(", "), given(_k()), F.lit(" Q."))
+    return table(spark, sf, "customer").select("c_custkey", C.name_key(person(_k())).alias("key"), C.name_key(other).alias("swapped"))
 
 
 @query("capped_edit_distance", "F8", """
@@ -137,8 +139,8 @@ SELECT c_custkey, {given_sql('c_custkey')} AS first_name, {family_sql('c_custkey
   {given_sql('c_custkey')} || ' ' || {family_sql('c_custkey')} AS shown, 'Dear ' || {given_sql('c_custkey')} || ' ' || {family_sql('c_custkey')} || ' $1' AS letter,
   lower({given_sql('c_custkey')}) AS given_words, lower({family_sql('c_custkey')}) AS family, c_nationkey >= 12 AS comma FROM customer""")
 def name_forms(spark, sf):
-    raw = F.when(F.col("c_nationkey") < 12, F.concat(F.lit("Mr. "), given(_K), F.lit(" (Jack) "), family(_K), F.lit(" Jr"))).otherwise(
-        F.concat(F.upper(family(_K)), F.lit(", "), F.upper(given(_K))))
+    raw = F.when(F.col("c_nationkey") < 12, F.concat(F.lit("Mr. "), given(_k()), F.lit(" (Jack) "), family(_k()), F.lit(" Jr"))).otherwise(
+        F.concat(F.upper(family(_k())), F.lit(", "), F.upper(given(_k()))))
     first, last = C.first_name(raw), C.last_name(raw)
     return table(spark, sf, "customer").select(
         "c_custkey", first.alias("first_name"), last.alias("last_name"), C.display_name(raw).alias("shown"),
@@ -203,10 +205,10 @@ def document_emails(spark, sf):
 SELECT c_custkey, CAST(CASE WHEN {given_sql('c_custkey')} = 'Dod' THEN 0 ELSE 4.5 END AS DOUBLE) AS full_name, CAST(2.5 AS DOUBLE) AS one_word,
   CAST(0 AS DOUBLE) AS number, CAST(0 AS DOUBLE) AS header, {person_sql('c_custkey')} AS from_address FROM customer""")
 def name_like_cells(spark, sf):
-    mail = F.concat(F.lower(given(_K)), F.lit("."), F.lower(family(_K)), _K.cast("string"), F.lit("@x.edu"))
+    mail = F.concat(F.lower(given(_k())), F.lit("."), F.lower(family(_k())), _k().cast("string"), F.lit("@x.edu"))
     return table(spark, sf, "customer").select(
-        "c_custkey", C.name_likeness(person(_K)).alias("full_name"), C.name_likeness(family(_K)).alias("one_word"),
-        C.name_likeness(F.concat(F.lit("555-"), _K.cast("string"))).alias("number"), C.name_likeness(F.lit("Email address")).alias("header"),
+        "c_custkey", C.name_likeness(person(_k())).alias("full_name"), C.name_likeness(family(_k())).alias("one_word"),
+        C.name_likeness(F.concat(F.lit("555-"), _k().cast("string"))).alias("number"), C.name_likeness(F.lit("Email address")).alias("header"),
         C.name_from_address(mail).alias("from_address"))
 
 

@@ -106,7 +106,7 @@ def capped_pick(
     all_fit = items.join(sized.where(easy).select("party"), "party", "left_semi").select("party", "ord", "item", "size")
     crowded = sized.where(~easy).select("party")
     pool = items.where(F.col("size") <= max_bytes).join(crowded, "party", "left_semi").withColumn(
-        "__salt", F.pmod(F.xxhash64("item"), F.lit(salts))
+        "__salt", F.pmod(F.xxhash64("item"), F.lit(salts).cast("bigint"))
     )
     pool = cut_lineage(pool.repartition("party", "__salt"))
     none = F.lit(None)
@@ -115,7 +115,7 @@ def capped_pick(
                            F.array().cast(f"array<{pick}>").alias("picks"), F.lit(True).alias("open"))
     chosen = F.struct(F.col("p.ord").alias("ord"), F.col("p.item").alias("item"), F.col("p.size").cast("bigint").alias("size"))
     for n in range(max_files):
-        spread = state.where("open").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+        spread = state.where("open").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
         seen = spread.join(pool, ["party", "__salt"]).where(
             (F.col("last").isNull() | (F.col("ord") > F.col("last"))) & (F.col("used") + F.col("size") <= max_bytes)
         )

@@ -13,7 +13,7 @@ from .. import fixed_values as V
 from ..functions import name_key
 from ..operators.records import complete, missing_manual
 
-DIGITS, LETTERS = "0123456789", "aeoubdlnrt"
+DIGITS, LETTERS = "0123456789", "aeoublnrts"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

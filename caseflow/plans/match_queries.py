@@ -15,11 +15,13 @@ from .registry import query
 # ---- near-duplicate spellings -----------------------------------------------------------------------
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+_PLAIN = f"regexp_replace({_TITLE}, '[^ -~]', '?')"  # the SQL engine counts edits in bytes
+_PLAIN_SQL = f"regexp_replace({_TITLE}, '[^ -~]', '?', 'g')"
 
 
 def titles(spark: SparkSession, sf: str) -> DataFrame:
     """Page titles, and the same as miswritten on a second copy."""
-    t = table(spark, sf, "pages").select(F.expr(_TITLE).alias("name")).where("name <> ''")
+    t = table(spark, sf, "pages").select(F.expr(_PLAIN).alias("name")).where("name <> ''")
     slip = t.select(F.concat(F.substr("name", F.lit(1), F.lit(6)), F.substr("name", F.lit(8)), F.lit("s")).alias("name"))
     return t.unionByName(slip).groupBy("name").agg(F.count("*").alias("n"))
 
@@ -50,7 +52,7 @@ def near_duplicate_people(spark, sf):
 
 
 @query("near_duplicate_titles", "J4", _near_sql(
-    f"SELECT name, count(*) AS n FROM (SELECT {_TITLE} AS name FROM pages UNION ALL SELECT substr({_TITLE}, 1, 6) || substr({_TITLE}, 8) || 's' FROM pages WHERE {_TITLE} <> '') WHERE name <> '' GROUP BY 1"))
+    f"SELECT name, count(*) AS n FROM (SELECT {_PLAIN_SQL} AS name FROM pages UNION ALL SELECT substr({_PLAIN_SQL}, 1, 6) || substr({_PLAIN_SQL}, 8) || 's' FROM pages WHERE {_PLAIN_SQL} <> '') WHERE name <> '' GROUP BY 1"))
 def near_duplicate_titles(spark, sf):
     return M.near_duplicate_names(titles(spark, sf))
 

@@ -13,9 +13,12 @@ from ..operators.scale import running_last
 from ..session import scratch_path
 
 
+_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def watch_folder(spark: SparkSession, path: str, glob: str = "*.pdf", content: bool = False) -> DataFrame:
     """Continuous listing of a folder: the file source remembers what it has seen in its checkpoint."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    files = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", glob).load(path)
     return files if content else files.drop("content")
 
 

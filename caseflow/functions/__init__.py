@@ -9,7 +9,7 @@ from .names import (
     first_name, form_name_to_display, last_name, display_name, name_distance, name_key, name_parts,
     parts_distance, single_name, split_names, strip_rank, title_case,
 )
-from .similarity import bigrams, cosine, dice, numbered_bigrams, unit_vector
+from .similarity import bigrams, cosine, dice, numbered_bigrams, set_dice, unit_vector
 from .text import (
     collapse, emails_in, filename_key, fill_template, form_id, is_email, name_from_address, name_likeness,
     norm_text, parse_filename, split_camel,
@@ -20,6 +20,6 @@ __all__ = [
     "month_label", "norm_year", "parse_class_year", "parse_date", "serial_to_date", "first_name",
     "form_name_to_display", "last_name", "display_name", "name_distance", "name_key", "name_parts",
     "parts_distance", "single_name", "split_names", "strip_rank", "title_case", "bigrams", "cosine", "dice",
-    "numbered_bigrams", "unit_vector", "collapse", "emails_in", "filename_key", "fill_template", "form_id",
+    "numbered_bigrams", "set_dice", "unit_vector", "collapse", "emails_in", "filename_key", "fill_template", "form_id",
     "is_email", "name_from_address", "name_likeness", "norm_text", "parse_filename", "split_camel",
 ]

@@ -23,7 +23,7 @@ def _valid_date(p: Column) -> Column:
 
 def _month_number(word: Column) -> Column:
     at = F.instr(F.lit(V.MONTHS_3), F.lower(F.substring(word, 1, 3)))
-    return F.when((at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
+    return F.when((F.length(word) >= 3) & (at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
 
 
 def parse_date(raw: Column | str) -> Column:

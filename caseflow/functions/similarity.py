@@ -9,32 +9,30 @@ from .base import col, let, text
 
 
 def bigrams(c: Column | str) -> Column:
-    """Every pair of neighbouring characters, repeats kept."""
-    s = text(c)
-    return F.when(
-        F.length(s) >= 2, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))
-    ).otherwise(F.array().cast("array<string>"))
+    """Every pair of neighbouring characters, repeats kept, in one pass over a text of any length."""
+    return F.regexp_extract_all(text(c), F.lit("(?s)(?=(..))"), F.lit(1))
 
 
 def numbered_bigrams(c: Column | str) -> Column:
     """Bigrams with their occurrence number, which turns a multiset into a set (short strings)."""
-    return let(bigrams(c), lambda g: F.transform(g, lambda x, i: F.concat(
-        x, F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)).cast("string")
-    )))
+    return let(F.array_sort(bigrams(c)), lambda g: F.transform(
+        g, lambda x, i: F.concat(x, (i + 2 - F.array_position(g, x)).cast("string"))
+    ))
+
+
+def set_dice(a: Column, b: Column, sa: Column, sb: Column) -> Column:
+    """Dice of texts a and b whose numbered bigrams sa and sb are at hand."""
+    return (
+        F.when(a == b, F.when(a != "", 1.0).otherwise(0.0))
+        .when((F.size(sa) == 0) | (F.size(sb) == 0), 0.0)
+        .otherwise(2.0 * F.size(F.array_intersect(sa, sb)) / (F.size(sa) + F.size(sb)))
+    )
 
 
 def dice(a: Column | str, b: Column | str) -> Column:
     """Sorensen-Dice on character bigrams of two short strings; equal non-empty strings score 1."""
-    def scored(s: Column) -> Column:
-        hit = F.size(F.array_intersect(numbered_bigrams(s["a"]), numbered_bigrams(s["b"])))
-        total = F.length(s["a"]) + F.length(s["b"]) - 2
-        return (
-            F.when(s["a"] == s["b"], F.when(s["a"] != "", 1.0).otherwise(0.0))
-            .when((F.length(s["a"]) < 2) | (F.length(s["b"]) < 2), 0.0)
-            .otherwise(2.0 * hit / total)
-        )
-
-    return let(F.struct(text(a).alias("a"), text(b).alias("b")), scored)
+    return let(F.struct(text(a).alias("a"), text(b).alias("b")),
+               lambda s: set_dice(s["a"], s["b"], numbered_bigrams(s["a"]), numbered_bigrams(s["b"])))
 
 
 def unit_vector(v: Column | str) -> Column:

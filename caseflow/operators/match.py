@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions import cosine, let, name_key, name_parts, norm_text, parts_distance, unit_vector
+from ..functions import (
+    bigrams, cosine, let, name_key, name_parts, norm_text, numbered_bigrams, parts_distance, set_dice, unit_vector,
+)
 from ..functions.names import readings
 from ..session import cut_lineage
 from .scale import keep_first, row_numbers, spread
@@ -272,9 +274,7 @@ def connected_spellings(decisions: DataFrame, max_rounds: int = 60) -> DataFrame
 
 def bigram_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, gram, c) of normalised texts of any length."""
-    s = F.col(text)
-    grams = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))
-    return texts.where(F.length(s) >= 2).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(
+    return texts.select(key, F.explode(bigrams(text)).alias("gram")).groupBy(key, "gram").agg(
         F.count("*").alias("c")
     )
 
@@ -295,11 +295,12 @@ def similar_values(values: DataFrame, threshold: float) -> DataFrame:
 
     values: v. Repeated bigrams are numbered, so a text is a set and Dice >= t needs an overlap of at least
     t/(2-t) of either set. Put the rarest first: two such sets share one of their first
-    n - ceil(t/(2-t) n) + 1 members, and their sizes differ by at most that factor.
+    n - ceil(t/(2-t) n) + 1 members. At the first one they share, neither can have fewer members left than the
+    overlap needed, t/2 of both sizes; that also bounds how much the sizes differ.
     """
     alpha = threshold / (2.0 - threshold)
     vals = values.select(F.col("v")).where(F.coalesce("v", F.lit("")) != "").distinct()
-    counts = bigram_counts(vals, "v", "v")
+    counts = bigram_counts(spread(vals, "v"), "v", "v")
     df = counts.groupBy("gram").agg(F.count("*").alias("df"))  # a few thousand rows at most: 37 x 37 characters
     weighed = counts.join(df, "gram").select(
         "v", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("i"), "gram", "df"
@@ -310,16 +311,18 @@ def similar_values(values: DataFrame, threshold: float) -> DataFrame:
     sets = weighed.groupBy("v").agg(F.array_sort(F.collect_list(token)).alias("s")).select(
         "v", F.transform("s", lambda x: x["t"]).alias("s"), F.size("s").alias("n")
     )
+    # numbers given while writing the table stay as written
+    sets = cut_lineage(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
     keep = F.col("n") - F.ceil(F.col("n") * alpha - 1e-9).cast("int") + 1
-    heads = sets.select("v", "n", F.explode(F.slice("s", F.lit(1), keep)).alias("t"))
-    x = heads.select(F.col("v").alias("a"), F.col("n").alias("na"), "t")
-    y = heads.select(F.col("v").alias("b"), F.col("n").alias("nb"), "t")
-    met = x.join(y, "t").where(
-        (F.col("a") < F.col("b")) & (F.col("nb") >= F.col("na") * alpha - 1e-9) & (F.col("na") >= F.col("nb") * alpha - 1e-9)
-    ).select("a", "b").distinct()
-    sa = sets.select(F.col("v").alias("a"), F.col("s").alias("sa"))
-    sb = sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
-    scored = met.join(sa, "a").join(sb, "b").select(
+    heads = sets.select("id", "n", F.posexplode(F.slice("s", F.lit(1), keep)).alias("at", "t"))
+    heads = spread(heads.select("id", "n", "t", (F.col("n") - F.col("at")).alias("rest")), "t")
+    x = heads.select(F.col("id").alias("ia"), F.col("n").alias("na"), F.col("rest").alias("ra"), "t")
+    y = heads.select(F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("rest").alias("rb"), "t")
+    need = (F.col("na") + F.col("nb")) * (threshold / 2) - 1e-9
+    met = x.join(y, "t").where((F.col("ia") < F.col("ib")) & (F.least("ra", "rb") >= need)).select("ia", "ib").distinct()
+    sa = sets.select(F.col("id").alias("ia"), F.col("v").alias("a"), F.col("s").alias("sa"))
+    sb = sets.select(F.col("id").alias("ib"), F.col("v").alias("b"), F.col("s").alias("sb"))
+    scored = spread(met, "ia").join(sa, "ia").join(sb, "ib").select(
         "a", "b", (2.0 * F.size(F.array_intersect("sa", "sb")) / (F.size("sa") + F.size("sb"))).alias("dice")
     ).where(F.col("dice") >= threshold)
     same = vals.select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(1.0).alias("dice"))
@@ -367,7 +370,15 @@ def document_candidates(
     t = candidate_threshold(fields, indexed, min_score, bonus)
     if t <= 0:
         raise ValueError("index more fields or raise min_score: a pair could qualify on the other fields alone")
-    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "fname", "filename", "sha1", "form_type", *fields)])
+    parts = ("fname", *fields)
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        """One side with the numbered bigrams of every part, written once."""
+        plain = df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "filename", "sha1", "form_type")],
+                          *[F.coalesce(c, F.lit("")).alias(f"{p}_{c}") for c in parts])
+        spread_out = spread(plain, f"{p}_id")
+        return cut_lineage(spread_out.select("*", *[numbered_bigrams(f"{p}_{c}").alias(f"{p}_{c}_g") for c in parts]), "side")
+
     it, ct = side(items, "i"), side(catalog, "c")
     met = None
     for f in ["fname", *indexed]:
@@ -397,12 +408,10 @@ def document_candidates(
 
 
 def _score(fields: dict[str, float]) -> Column:
-    from ..functions import dice
-
     def combine(d: Column) -> Column:
         total, got = F.lit(0.0), F.lit(0.0)
         for f, w in fields.items():
-            both = (F.coalesce(f"i_{f}", F.lit("")) != "") & (F.coalesce(f"c_{f}", F.lit("")) != "")
+            both = (F.col(f"i_{f}") != "") & (F.col(f"c_{f}") != "")
             total = total + F.when(both, w).otherwise(0.0)
             got = got + F.when(both, d[f] * w).otherwise(0.0)
         base = F.when(total < V.MIN_CONTENT_WEIGHT, d["fname"] * V.FILENAME_ONLY_SHARE).otherwise(
@@ -415,8 +424,8 @@ def _score(fields: dict[str, float]) -> Column:
             base * F.when(differs, V.TYPE_MISMATCH_FACTOR).otherwise(1.0)
         )
 
-    parts = F.struct(*[dice(f"i_{f}", f"c_{f}").alias(f) for f in ("fname", *fields)])
-    return let(parts, combine)
+    of = lambda f: set_dice(*(F.col(f"{p}_{f}{g}") for g in ("", "_g") for p in ("i", "c")))
+    return let(F.struct(*[of(f).alias(f) for f in ("fname", *fields)]), combine)
 
 
 def suggest(items: DataFrame, candidates: DataFrame) -> DataFrame:

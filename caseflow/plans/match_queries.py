@@ -128,7 +128,7 @@ def passage_dice(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), norm_text("text").alias("s"))
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), norm_text("text").alias("s"))
     opening = b.select(F.col("key").alias("b"), F.array_join(F.slice(F.split("s", " "), 1, 3), " ").alias("o"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i + 1, 3), " "))
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(3)]))
     tri = d.select(F.col("key").alias("a"), F.split("s", " ").alias("w")).where("size(w) >= 3").select("a", F.explode(F.array_distinct(grams)).alias("o"))
     part = cut_lineage(opening)
     pairs = cut_lineage(tri.join(part, "o").select("a", "b").distinct())
@@ -144,49 +144,70 @@ def _two_sided(pairs, ca, cb, na, nb):
     return out.select(F.substr("a", F.lit(2)).cast("bigint").alias("a"), F.substr("b", F.lit(2)).cast("bigint").alias("b"), "dice")
 
 
-FIELDS = {"recipient_name": 3.0, "issuer": 1.5, "class_year": 0.5}
+FIELDS = {"recipient_name": 3.0, "reason": 2.0, "class_year": 0.5}
+INDEXED = ["recipient_name", "reason"]
 MIN_SCORE = 0.7
+_PATH = "regexp_replace(regexp_extract(url, '//[^/]+/([^?#]*)', 1), '/', ' ')"
 
 
-def page_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as returned copies: address as file name, title as recipient, host as issuer, language as year."""
-    p = table(spark, sf, "pages").select(
-        F.col("page_id").alias("id"), F.col("url").alias("filename"), F.sha1("html").alias("sha1"),
-        F.expr("if(url like 'https%', 'F10', 'F174')").alias("form_type"), norm_text(F.expr(_TITLE)).alias("recipient_name"),
-        norm_text(F.regexp_extract("url", "//([^/]+)", 1)).alias("issuer"), F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("class_year"),
-    )
-    return cut_lineage(p.withColumn("fname", filename_key("filename")), "items")
+def page_catalog(spark: SparkSession, sf: str, returned: bool) -> DataFrame:
+    """Pages as cases: title as recipient, path as reason, language as year, title and path as file name.
+
+    A returned copy has a slip in the title, status words in its name and, without https, other content.
+    """
+    p = table(spark, sf, "pages").selectExpr(
+        "page_id", "url", "regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang", f"{_TITLE} AS title", f"{_PATH} AS path", "sha1(html) AS hash")
+    if returned:
+        p = p.selectExpr("page_id", "url", "lang", "concat(substr(title, 1, 6), substr(title, 8)) AS title", "path",
+                         "if(url LIKE 'https%', hash, sha1(url)) AS hash").selectExpr("*", "concat('Signed ', title, '_', path, ' (2).pdf') AS filename",
+                         "if(lang = 'fr', 'F174', 'F10') AS form_type")
+    else:
+        p = p.selectExpr("*", "concat(title, '_', path, '.pdf') AS filename", "'F10' AS form_type")
+    return p.select(F.col("page_id").alias("id"), "filename", F.col("hash").alias("sha1"), "form_type", filename_key("filename").alias("fname"),
+                    norm_text("title").alias("recipient_name"), norm_text("path").alias("reason"), F.col("lang").alias("class_year"))
 
 
 def _dice_sql(field: str) -> str:
     return f"""SELECT x.id AS i, y.id AS c, CASE WHEN x.{field} = y.{field} THEN CASE WHEN x.{field} = '' THEN 0 ELSE 1 END
     WHEN length(x.{field}) < 2 OR length(y.{field}) < 2 THEN 0 ELSE 2.0 * coalesce(h, 0) / (length(x.{field}) + length(y.{field}) - 2) END AS d
-  FROM it x JOIN it y ON x.id <> y.id LEFT JOIN (SELECT a.id AS i, b.id AS c, CAST(sum(least(a.n, b.n)) AS DOUBLE) AS h FROM g_{field} a JOIN g_{field} b ON a.g = b.g GROUP BY ALL) z
+  FROM it x CROSS JOIN ct y LEFT JOIN (SELECT a.id AS i, b.id AS c, CAST(sum(least(a.n, b.n)) AS DOUBLE) AS h FROM gi_{field} a JOIN gc_{field} b ON a.g = b.g GROUP BY ALL) z
     ON z.i = x.id AND z.c = y.id"""
 
 
-_ITEMS = r"""it AS (SELECT page_id AS id, url AS filename, sha1(html) AS sha1, CASE WHEN url LIKE 'https%' THEN 'F10' ELSE 'F174' END AS form_type,
-  trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-z0-9]+', ' ', 'g')) AS recipient_name,
-  trim(regexp_replace(lower(regexp_extract(url, '//([^/]+)', 1)), '[^a-z0-9]+', ' ', 'g')) AS issuer, regexp_extract(html, 'lang="([a-z]+)"', 1) AS class_year,
-  trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(regexp_replace(regexp_replace(url, '(?i)\.pdf$', ''), '\(\d+\)', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')),
-  '\b(copy|signed|sign|sig|final|updated|update|scan|scanned|new|returned|done|completed?|rev\d*|v\d+)\b', ' ', 'g'), '\s+', ' ', 'g')) AS fname FROM pages)"""
+def _norm_sql(e: str) -> str:
+    return f"trim(regexp_replace(lower({e}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _key_of(e: str) -> str:
+    bare = f"regexp_replace(regexp_replace({e}, '(?i)\\.pdf$', ''), '\\(\\d+\\)', ' ', 'g')"
+    words = "\\b(copy|signed|sign|sig|final|updated|update|scan|scanned|new|returned|done|completed?|rev\\d*|v\\d+)\\b"
+    return f"trim(regexp_replace(regexp_replace({_norm_sql(bare)}, '{words}', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+_ITEMS = f"""raw AS (SELECT page_id, url, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang, {_TITLE} AS title,
+    replace(regexp_extract(url, '//[^/]+/([^?#]*)', 1), '/', ' ') AS path, sha1(html) AS hash FROM pages),
+back AS (SELECT page_id, url, lang, substr(title, 1, 6) || substr(title, 8) AS title, path, CASE WHEN url LIKE 'https%' THEN hash ELSE sha1(url) END AS hash FROM raw),
+it AS (SELECT page_id AS id, 'Signed ' || title || '_' || path || ' (2).pdf' AS filename, hash AS sha1, CASE WHEN lang = 'fr' THEN 'F174' ELSE 'F10' END AS form_type,
+    {_key_of("('Signed ' || title || '_' || path || ' (2).pdf')")} AS fname, {_norm_sql('title')} AS recipient_name, {_norm_sql('path')} AS reason, lang AS class_year FROM back),
+ct AS (SELECT page_id AS id, title || '_' || path || '.pdf' AS filename, hash AS sha1, 'F10' AS form_type,
+    {_key_of("(title || '_' || path || '.pdf')")} AS fname, {_norm_sql('title')} AS recipient_name, {_norm_sql('path')} AS reason, lang AS class_year FROM raw)"""
+_GRAM_CTE = lambda name, src, f: f",\n{name} AS (SELECT id, substr({f}, i, 2) AS g, count(*) AS n FROM (SELECT id, {f}, unnest(range(1, length({f}))) AS i FROM {src}) GROUP BY ALL)"
 _CAND = "WITH " + _ITEMS + "".join(
-    f",\ng_{f} AS (SELECT id, substr({f}, i, 2) AS g, count(*) AS n FROM (SELECT id, {f}, unnest(range(1, length({f}))) AS i FROM it) GROUP BY ALL),\nd_{f} AS ({_dice_sql(f)})"
-    for f in ("fname", *FIELDS)
+    _GRAM_CTE(f"gi_{f}", "it", f) + _GRAM_CTE(f"gc_{f}", "ct", f) + f",\nd_{f} AS ({_dice_sql(f)})" for f in ("fname", *FIELDS)
 ) + f""",
-s AS (SELECT x.id AS i, y.id AS c, y.filename, x.sha1 = y.sha1 AS identical, f.d AS fn, r.d AS rn, o.d AS iss, l.d AS yr,
-  3.0 * (x.recipient_name <> '' AND y.recipient_name <> '')::INT AS w1, 1.5 * (x.issuer <> '' AND y.issuer <> '')::INT AS w2,
+s AS (SELECT x.id AS i, y.id AS c, y.filename, x.sha1 = y.sha1 AS identical, f.d AS fn, r.d AS rn, o.d AS rs, l.d AS yr,
+  3.0 * (x.recipient_name <> '' AND y.recipient_name <> '')::INT AS w1, 2.0 * (x.reason <> '' AND y.reason <> '')::INT AS w2,
   0.5 * (x.class_year <> '' AND y.class_year <> '')::INT AS w3, CASE WHEN x.form_type <> y.form_type THEN 0.4 ELSE 1 END AS factor
-  FROM d_fname f JOIN d_recipient_name r USING (i, c) JOIN d_issuer o USING (i, c) JOIN d_class_year l USING (i, c) JOIN it x ON x.id = f.i JOIN it y ON y.id = f.c),
-t AS (SELECT *, CASE WHEN identical THEN 1 ELSE factor * CASE WHEN w1 + w2 + w3 < 2 THEN 0.9 * fn ELSE 0.45 * fn + 0.55 * (w1 * rn + w2 * iss + w3 * yr) / (w1 + w2 + w3) END END AS raw FROM s),
+  FROM d_fname f JOIN d_recipient_name r USING (i, c) JOIN d_reason o USING (i, c) JOIN d_class_year l USING (i, c) JOIN it x ON x.id = f.i JOIN ct y ON y.id = f.c),
+t AS (SELECT *, CASE WHEN identical THEN 1 ELSE factor * CASE WHEN w1 + w2 + w3 < 2 THEN 0.9 * fn ELSE 0.45 * fn + 0.55 * (w1 * rn + w2 * rs + w3 * yr) / (w1 + w2 + w3) END END AS raw FROM s),
 cand AS (SELECT i AS item_id, c AS case_id, filename, CAST(floor(CAST(raw AS DOUBLE) * 100 + 0.5) / 100 AS DOUBLE) AS score, identical FROM t WHERE CAST(raw AS DOUBLE) >= {MIN_SCORE}),
 top AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, filename, case_id) <= 6)
 """
 
 
 def page_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    items = page_items(spark, sf)
-    return items, M.document_candidates(items, items, FIELDS, ["recipient_name"], MIN_SCORE, not_self=True)
+    items = page_catalog(spark, sf, True)
+    return items, M.document_candidates(items, page_catalog(spark, sf, False), FIELDS, INDEXED, MIN_SCORE)
 
 
 @query("document_candidates", "J5, W3", _CAND + "SELECT * FROM top")
@@ -198,11 +219,11 @@ def document_candidates(spark, sf):
 , two AS (SELECT item_id, max(score) AS s1, min_by(case_id, (-score, filename, case_id)) AS c1 FROM top GROUP BY 1),
 second AS (SELECT item_id, score AS s2 FROM top QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, filename, case_id) = 2)
 SELECT it.id AS item_id, CASE WHEN s1 >= 0.4 THEN 'replace' ELSE 'new' END AS action, CASE WHEN s1 >= 0.4 THEN c1 END AS case_id,
-  CASE WHEN s1 >= 0.7 AND (s2 IS NULL OR round(s1 - s2, 10) >= 0.1) THEN form_type = 'F10' ELSE coalesce(s1 >= 0.4, false) END AS review
+  CASE WHEN s1 >= 0.7 AND (s2 IS NULL OR round(s1 - s2, 10) >= 0.1) THEN class_year = 'en' ELSE coalesce(s1 >= 0.4, false) END AS review
 FROM it LEFT JOIN two ON two.item_id = it.id LEFT JOIN second ON second.item_id = it.id""")
 def match_suggestions(spark, sf):
     items, cands = page_candidates(spark, sf)
-    return M.suggest(items.selectExpr("id AS item_id", "form_type = 'F10' AS warned"), cands)
+    return M.suggest(items.selectExpr("id AS item_id", "class_year = 'en' AS warned"), cands)
 
 
 # ---- boxes ------------------------------------------------------------------------------------------------

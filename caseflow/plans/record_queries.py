@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import parse_filename
 from ..operators import records as RC
+from ..operators.scale import spread
 from ..session import cut_lineage
 from .bindings import case_facts, cases, person_sql, person_text, table, with_cases
 from .registry import query
@@ -57,7 +58,7 @@ _FORM = [
 
 def form_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Cases as forms that were read: a map of slots, typed corrections and a file name, kept as a catalog table."""
-    c = case_facts(spark, sf).selectExpr(*_FORM).withColumn("fn", parse_filename("filename"))
+    c = spread(case_facts(spark, sf), "case_id").selectExpr(*_FORM).withColumn("fn", parse_filename("filename"))
     return cut_lineage(c.selectExpr("*", "fn.pos_neg AS file_pos_neg", "fn.reason AS file_reason"), "catalog")
 
 

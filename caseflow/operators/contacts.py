@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions import collapse, display_name, emails_in, name_from_address, name_key, name_likeness
+from ..functions import collapse, display_name, emails_in, let, name_from_address, name_key, name_likeness
 from ..functions.text import clean_email, is_email
+from ..session import cut_lineage
 from .match import best_match, canonicalise, name_pairs, without_ruled
-from .scale import is_true, running_last
+from .scale import is_true, running_last, spread
 
 
 def first_addresses(found: DataFrame, order: list[str]) -> DataFrame:
@@ -66,6 +67,7 @@ def extract(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     found = addresses(rows).withColumn("own", _same_cell_name())
     found = found.withColumn("own", F.when((F.col("own") != "") & (name_likeness("own") > 0), F.col("own")).otherwise(""))
+    found = cut_lineage(spread(found, "email"), "addresses")
     todo = found.where("own = ''")
 
     left = F.transform(
@@ -80,19 +82,22 @@ def extract(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
         F.array().cast("array<struct<k:int,text:string,like:double>>")
     )
     todo = todo.withColumn("left", left)
-    nxt = lambda i: F.get("left", i + 1)
-    joins = lambda x, i: is_true(
-        nxt(i).isNotNull() & (x["k"] - nxt(i)["k"] == 1) & (x["like"] > 0) & (nxt(i)["like"] > 0)
-        & ~x["text"].rlike(V.WHITESPACE) & ~nxt(i)["text"].rlike(V.WHITESPACE)
-    )
+    def neighbours(cells: Column) -> Column:
+        """Pairs of adjacent single words, nearest first."""
+        def pair(x: Column, i: Column) -> Column:
+            n = F.get(cells, i + 1)
+            joins = is_true(
+                n.isNotNull() & (x["k"] - n["k"] == 1) & (x["like"] > 0) & (n["like"] > 0)
+                & ~x["text"].rlike(V.WHITESPACE) & ~n["text"].rlike(V.WHITESPACE)
+            )
+            return F.when(joins, F.struct(i.alias("i"), x["k"].alias("k"), x["text"].alias("near"), n["k"].alias("fk"), n["text"].alias("far")))
+
+        return F.filter(F.transform(cells, pair), lambda z: z.isNotNull())
+
     singles = todo.select("email", F.posexplode("left").alias("i", "x")).where("x.like > 0").select(
         "email", (F.col("i") * 2).alias("seq"), F.col("x.text").alias("name"), (F.col("x.like") - F.col("i") * 0.6).alias("score")
     )
-    paired = F.filter(
-        F.transform("left", lambda x, i: F.when(joins(x, i), F.struct(
-            i.alias("i"), x["k"].alias("k"), x["text"].alias("near"), nxt(i)["k"].alias("fk"), nxt(i)["text"].alias("far")))),
-        lambda z: z.isNotNull(),
-    )
+    paired = let(F.col("left"), neighbours)
     two = todo.select("email", "sheet", "row", F.explode(paired).alias("z")).select("email", "sheet", "row", "z.*")
     wanted = two.select("sheet", F.col("k").alias("col"), "row").unionByName(two.select("sheet", F.col("fk").alias("col"), "row"))
     heads = _headers(rows, wanted)

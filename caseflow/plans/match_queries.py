@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filename_key, norm_text
 from ..operators import match as M
-from ..operators.scale import keep_first
+from ..operators.scale import keep_first, spread
 from ..session import cut_lineage
 from .bindings import family_sql, given_sql, person, table
 from .registry import query
@@ -125,13 +125,14 @@ LEFT JOIN (SELECT doc_id, item_id, CAST(sum(least(gp.c, gb.c)) AS DOUBLE) AS hit
   ON h.doc_id = pairs.doc_id AND h.item_id = pairs.item_id""")
 def passage_dice(spark, sf):
     """Whole-text Dice of documents and the passages whose opening three words they contain."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), norm_text("text").alias("s"))
+    d = spread(table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("key"), norm_text("text").alias("s"))
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), norm_text("text").alias("s"))
     opening = b.select(F.col("key").alias("b"), F.array_join(F.slice(F.split("s", " "), 1, 3), " ").alias("o"))
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(3)]))
     tri = d.select(F.col("key").alias("a"), F.split("s", " ").alias("w")).where("size(w) >= 3").select("a", F.explode(F.array_distinct(grams)).alias("o"))
     part = cut_lineage(opening)
     pairs = cut_lineage(tri.join(part, "o").select("a", "b").distinct())
+    d = cut_lineage(spread(d.join(pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi"), "key"))  # only texts in a pair
     size = lambda df: df.select("key", (F.length("s") - 1).alias("n"))
     ca, cb = M.bigram_counts(d, "key", "s"), M.bigram_counts(b, "key", "s")
     return _two_sided(pairs, ca, cb, size(d), size(b))

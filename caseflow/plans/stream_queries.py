@@ -101,6 +101,6 @@ def rebaselined_steps(spark, sf):
 
     e = events(spark, sf)
     seen = latest(e.where("ts < TIMESTAMP '2024-01-15 00:00:00' AND event_type <> 'signup'")).withColumn("version", F.expr("if(step = 'view', 19, 20)"))
-    current = latest(e).withColumn("rejected", F.col("step") == "error")
+    current = S.hold_while_reading(latest(e).withColumn("rejected", F.col("step") == "error").withColumn("pending", F.lit(False)))
     return S.rebaseline(seen, current, 20)
 

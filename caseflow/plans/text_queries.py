@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as C
+from ..operators.scale import spread
 from .bindings import family, family_sql, given, given_sql, key_sql, person, person_sql, table
 from .registry import query
 
@@ -94,7 +95,7 @@ SELECT o_orderkey, d AS a, d AS b, d AS c, d, d AS e, CASE WHEN day(d) <= 12 THE
   CASE WHEN year(d) - 6 < 2000 THEN CASE WHEN month(d) = 2 AND strftime(d0, '%d') = '29' THEN DATE '2096-02-29' ELSE CAST(d0 + INTERVAL 100 YEAR AS DATE) END ELSE d0 END AS h, CAST(NULL AS DATE) AS i
 FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d0, CAST(o_orderdate + INTERVAL 6 YEAR AS DATE) AS d FROM orders)""")
 def parsed_dates(spark, sf):
-    o = table(spark, sf, "orders").withColumn("day", F.add_months(F.col("o_orderdate").cast("date"), 72))
+    o = spread(table(spark, sf, "orders"), "o_orderkey").withColumn("day", F.add_months(F.col("o_orderdate").cast("date"), 72))
     text = lambda fmt: F.date_format("day", fmt)
     early = F.col("o_orderdate")
     shapes = {"a": text("d MMM yy"), "b": F.upper(text("ddMMMyyyy")), "c": F.concat(F.lit("on "), text("yyyy.M.d")), "d": text("MMMM d, yyyy"),

@@ -90,6 +90,12 @@ def send_or_hold(stream: DataFrame, sent_path: str, held_path: str, limit: int):
     return stream.writeStream.foreachBatch(write)
 
 
+def hold_while_reading(current: DataFrame) -> DataFrame:
+    """The rows of a snapshot, or none while any case is still being read (pending BOOLEAN)."""
+    busy = F.broadcast(current.where("pending").select(F.lit(1).alias("__one")).distinct())  # at most one row
+    return current.withColumn("__one", F.lit(1)).join(busy, "__one", "left_anti").drop("__one")
+
+
 def rebaseline(seen: DataFrame, current: DataFrame, version: int) -> DataFrame:
     """State to keep: a new reader version or a case coming back from rejection only resets the baseline.
 

@@ -190,3 +190,9 @@ def test_announcements_stream_equals_batch(spark, tmp_path):
     got = {(r.case_id, r.step, r.seq) for r in T.run_to_table(T.announce(stream), "t1").collect()}
     want = {(r.case_id, r.step, r.seq) for r in T.announce_batch(df, F.to_date("ts")).collect()}
     assert got == want and want
+
+
+def test_snapshot_held_while_reading(spark):
+    df = spark.createDataFrame([(1, False), (2, True)], "case_id int, pending boolean")
+    assert T.hold_while_reading(df).count() == 0
+    assert T.hold_while_reading(df.where("not pending")).count() == 1

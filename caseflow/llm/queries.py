@@ -34,3 +34,16 @@ def op4(spark, sf_dir):
     from .exact_dedup import dedup
 
     return dedup(read(spark, sf_dir, "documents")).drop("uid")
+
+
+@query("op10_decontamination")
+def op10(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .decontaminate import contamination
+
+    found = contamination(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.sort_array("items")).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans",
+    )

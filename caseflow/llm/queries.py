@@ -47,3 +47,10 @@ def op10(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.sort_array("items")).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans",
     )
+
+
+@query("op9_minmax_near_dedup")
+def op9(spark, sf_dir):
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))

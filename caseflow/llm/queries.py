@@ -54,3 +54,17 @@ def op9(spark, sf_dir):
     from .near_dedup import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op1_packing")
+def op1(spark, sf_dir):
+    from .packing import pack
+
+    return pack(spark, read(spark, sf_dir, "documents"))
+
+
+@query("op6_record_files")
+def op6(spark, sf_dir):
+    from .record_file import round_trip
+
+    return round_trip(spark, read(spark, sf_dir, "documents"))

@@ -68,3 +68,10 @@ def op6(spark, sf_dir):
     from .record_file import round_trip
 
     return round_trip(spark, read(spark, sf_dir, "documents"))
+
+
+@query("op3_secret_ledger")
+def op3(spark, sf_dir):
+    from .secrets import report
+
+    return report(spark, read(spark, sf_dir, "documents"))

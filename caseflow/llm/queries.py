@@ -75,3 +75,10 @@ def op3(spark, sf_dir):
     from .secrets import report
 
     return report(spark, read(spark, sf_dir, "documents"))
+
+
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    from .language_id import identify
+
+    return identify(spark, read(spark, sf_dir, "documents"))

@@ -82,3 +82,10 @@ def op2(spark, sf_dir):
     from .language_id import identify
 
     return identify(spark, read(spark, sf_dir, "documents"))
+
+
+@query("op7_pairwise_quality")
+def op7(spark, sf_dir):
+    from .quality import rank
+
+    return rank(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

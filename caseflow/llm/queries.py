@@ -89,3 +89,10 @@ def op7(spark, sf_dir):
     from .quality import rank
 
     return rank(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op5_gru_toxicity")
+def op5(spark, sf_dir):
+    from .toxicity import judge
+
+    return judge(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

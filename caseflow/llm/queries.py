@@ -96,3 +96,10 @@ def op5(spark, sf_dir):
     from .toxicity import judge
 
     return judge(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op8_crf_extraction")
+def op8(spark, sf_dir):
+    from .html_extract import extract
+
+    return extract(spark, read(spark, sf_dir, "pages"))

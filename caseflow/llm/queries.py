@@ -103,3 +103,10 @@ def op8(spark, sf_dir):
     from .html_extract import extract
 
     return extract(spark, read(spark, sf_dir, "pages"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -1,17 +1,74 @@
-"""The pipeline's stages: each takes (spark, docs, sf_dir) and returns documents, the last one pieces of sequences."""
+"""The pipeline's stages: each takes (spark, docs, sf_dir) and returns documents with all their columns, the last one pieces of sequences.
+
+Rows are dropped by a join with the ids that go. Repeated rows are rows of one id; where only some of them go, the
+rows of that id are told apart by content, and equal ones are one row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import cut_lineage, read, ship
+
+#: Ids that are sent to all executors at most; more go through a shuffle join.
+BROADCAST_IDS = 500_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    df = cut_lineage(df, "stage-ids")
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network predicts toxic go."""
+    from .toxicity import keep_clean
+
+    ship(spark)
+    return keep_clean(spark, docs, read(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
-    from .exact_dedup import dedup
+    from .exact_dedup import dedup, normalised, sha256
+
+    ship(spark)
+    decided = cut_lineage(dedup(docs).select("doc_id", "kept", F.col("text_sha256").alias("sha")), "stage-exact")
+    per_id = decided.groupBy("doc_id").agg(F.min("kept").alias("all"), F.max("kept").alias("any"))
+    gone = _small(per_id.where("not any").select(F.col("doc_id").alias("id")))
+    mixed = _small(per_id.where("any and not all").select(F.col("doc_id").alias("id")))
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    if mixed.isEmpty():
+        return left
+    # an id of which some rows stay: the rows of a kept text, one for each
+    kept = decided.where("kept").join(mixed, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(F.col("doc_id").alias("id"), "sha").distinct()
+    own = left.join(mixed, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").withColumn("__sha", sha256(normalised(F.col("text"))))
+    size = F.length(F.coalesce("text", F.lit("")))
+    own = own.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__sha") == F.col("sha")), "left_semi")
+    longest = own.groupBy("doc_id", "__sha").agg(F.max(F.struct(size.alias("n"), F.struct(*docs.columns).alias("row"))).alias("m")).select("m.row.*")
+    return left.join(mixed, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").unionByName(longest.select(docs.columns))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates stays."""
+    from .near_dedup import near_duplicates
+
+    ship(spark)
+    gone = _small(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id")).distinct())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out of the texts; documents of which no word is left go."""
+    from .decontaminate import cut
+
+    ship(spark)
+    return cut(spark, docs, read(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    from .packing import pack
 
     ship(spark)
-    gone = dedup(docs).where("not kept").select("doc_id", "text_sha256")
-    return docs
+    return pack(spark, docs)

@@ -8,9 +8,13 @@ from caseflow.llm import stages
 from caseflow.llm.common import scratch_path, ship
 
 STAGES = [
+    ("toxicity", stages.toxic),
     ("exact dedup", stages.exact),
+    ("near dedup", stages.near),
+    ("decontamination", stages.decontaminated),
+    ("packing", stages.packed),
 ]
-#: Packing and the models have no SQL form; tests compare the pipeline with a brute-force version.
+#: The network and packing have no SQL form; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 

@@ -82,7 +82,7 @@ DATE_YMD = r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"
 DATE_MDY = r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})"
 DATE_D_MON_Y = r"(\d{1,2})\s*-?\s*([A-Za-z]{3,9})\.?\s*-?,?\s*(\d{2,4})"
 DATE_MON_D_Y = r"([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{2,4})"
-MONTHS_3 = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTH_NUMBERS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
 YEAR_4 = r"\b(20\d{2})\b"
 YEAR_MARKED = r"(?:'|’|C\s*)(\d{2})\b"
 YEAR_BARE = r"^(\d{2})$"

@@ -22,8 +22,8 @@ def _valid_date(p: Column) -> Column:
 
 
 def _month_number(word: Column) -> Column:
-    at = F.instr(F.lit(V.MONTHS_3), F.lower(F.substring(word, 1, 3)))
-    return F.when((F.length(word) >= 3) & (at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
+    months = F.create_map(*[F.lit(x) for pair in V.MONTH_NUMBERS.items() for x in pair])
+    return F.try_element_at(months, F.lower(F.substring(word, 1, 3)))
 
 
 def parse_date(raw: Column | str) -> Column:

@@ -98,7 +98,7 @@ def capped_pick(
     and a later, smaller item may still fit. items: party, ord, item, size. Returns (party, ord, item, size, n).
 
     A party whose items fit together takes them all. For the others round n finds the first item after the last
-    pick that still fits, so max_files rounds finish; each round is a minimum, reduced per salt first, and never
+    pick, by ord and then item, that still fits, so max_files rounds finish; each round is a minimum, reduced per salt first, and never
     gathers a party's items in one task.
     """
     sized = items.groupBy("party").agg(F.count("*").alias("__n"), F.sum("size").alias("__b"))
@@ -111,18 +111,18 @@ def capped_pick(
     pool = cut_lineage(pool.repartition("party", "__salt"))
     none = F.lit(None)
     pick = "struct<ord:%s,item:%s,size:bigint>" % (dict(items.dtypes)["ord"], dict(items.dtypes)["item"])
-    state = crowded.select("party", F.lit(0).cast("bigint").alias("used"), none.cast(dict(items.dtypes)["ord"]).alias("last"),
+    state = crowded.select("party", F.lit(0).cast("bigint").alias("used"), none.cast(dict(items.dtypes)["ord"]).alias("last"), none.cast(dict(items.dtypes)["item"]).alias("last_item"),
                            F.array().cast(f"array<{pick}>").alias("picks"), F.lit(True).alias("open"))
     chosen = F.struct(F.col("p.ord").alias("ord"), F.col("p.item").alias("item"), F.col("p.size").cast("bigint").alias("size"))
     for n in range(max_files):
         spread = state.where("open").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
         seen = spread.join(pool, ["party", "__salt"]).where(
-            (F.col("last").isNull() | (F.col("ord") > F.col("last"))) & (F.col("used") + F.col("size") <= max_bytes)
+            (F.col("last").isNull() | (F.col("ord") > F.col("last")) | ((F.col("ord") == F.col("last")) & (F.col("item") > F.col("last_item")))) & (F.col("used") + F.col("size") <= max_bytes)
         )
         found = seen.groupBy("party").agg(F.min(F.struct("ord", "item", "size")).alias("p"))
         step = state.join(found, "party", "left")
         state = step.select(
-            "party", (F.col("used") + F.coalesce("p.size", F.lit(0))).alias("used"), F.coalesce("p.ord", "last").alias("last"),
+            "party", (F.col("used") + F.coalesce("p.size", F.lit(0))).alias("used"), F.coalesce("p.ord", "last").alias("last"), F.coalesce("p.item", "last_item").alias("last_item"),
             F.when(F.col("p").isNotNull(), F.array_append("picks", chosen)).otherwise(F.col("picks")).alias("picks"),
             F.col("p").isNotNull().alias("open"),
         )

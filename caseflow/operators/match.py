@@ -240,11 +240,11 @@ def resolve_parties(
     )
 
 
-def connected_spellings(decisions: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_spellings(decisions: DataFrame) -> DataFrame:
     """Final spelling of every name tied by "same person" answers (name, root, spelling).
 
-    decisions: a, b, spelling, ord (lower-case names). Components by least label with pointer jumping; each
-    round is reliably checkpointed. The latest decision of a component gives its spelling.
+    decisions: a, b, spelling, ord (lower-case names). Components by least label with pointer jumping,
+    until no label changes; each round is reliably checkpointed. The latest decision of a component gives its spelling.
     """
     links = decisions.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         decisions.select(F.col("b").alias("u"), F.col("a").alias("v"))
@@ -253,7 +253,7 @@ def connected_spellings(decisions: DataFrame, max_rounds: int = 60) -> DataFrame
     ).distinct()
     links = cut_lineage(links)
     labels = cut_lineage(links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")))
-    for _ in range(max_rounds):
+    while True:
         seen = links.join(labels.select(F.col("u").alias("v"), F.col("root").alias("r")), "v")
         least = seen.groupBy("u").agg(F.min("r").alias("r")).join(labels, "u").select(
             "u", F.least("r", "root").alias("root"), F.col("root").alias("old")

@@ -72,13 +72,14 @@ def catalog_diff(catalog: DataFrame, listing: DataFrame, settings: Settings = Se
 def inherit_renames(new_cases: DataFrame, missing_cases: DataFrame) -> DataFrame:
     """New unedited cases take over the edits of a missing case with the same content.
 
-    Both: case_id, filename, sha1, notes, reviewed, ord. Several missing copies: the first by ord gives.
-    Returns case_id, filename, notes, reviewed, inherited_from.
+    Both: case_id, filename, sha1, notes, reviewed, ord. One giver serves one newcomer: of equal contents the n-th giver by
+    (ord, case_id) gives to the n-th newcomer; who comes later keeps its own. Returns case_id, filename, notes, reviewed, inherited_from.
     """
-    giver = missing_cases.groupBy("sha1").agg(F.min_by(
-        F.struct("case_id", "filename", "notes", "reviewed"), F.struct("ord", "case_id")
-    ).alias("g"))
-    joined = new_cases.join(giver, "sha1", "left")
+    def ranked(df: DataFrame) -> DataFrame:
+        return row_numbers(df, ["sha1"], [F.col("ord"), F.col("case_id")], F.col("ord"), "__n")
+
+    giver = ranked(missing_cases).select("sha1", "__n", F.struct("case_id", "notes", "reviewed").alias("g"))
+    joined = ranked(new_cases).join(giver, ["sha1", "__n"], "left")
     took = F.col("g").isNotNull()
     return joined.select(
         "case_id", "filename", F.when(took, F.col("g.notes")).otherwise(F.col("notes")).alias("notes"),

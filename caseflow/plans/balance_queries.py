@@ -90,13 +90,13 @@ def balance_totals(spark, sf):
 
 
 @query("settled_without_case", "J14", f"""
-SELECT DISTINCT user_id AS party, {person_sql('user_id')} AS name FROM events WHERE value > 50 AND event_type IN ('purchase', 'signup')
-AND user_id NOT IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-  WHERE o_orderstatus = 'F' AND o_orderpriority <> '3-MEDIUM' AND l_returnflag = 'R')""")
+SELECT DISTINCT p AS party, {person_sql('p')} AS name FROM (SELECT CASE WHEN user_id % 7 = 0 THEN user_id + 1000000 ELSE user_id END AS p FROM events WHERE value > 50 AND event_type IN ('purchase', 'signup'))
+WHERE p NOT IN (SELECT o_custkey FROM orders)""")
 def settled_without_case(spark, sf):
-    """Settled for, without any case that assessed a tour."""
-    owed = assessments(spark, sf).where("counted and pos_neg <> 'Pos' and tours > 0")
-    return B.unmatched(B.balances(owed, settled_events(spark, sf)))
+    """Settled for, without any case at all; every seventh party's settlements stand under a name that no case has."""
+    stranger = F.when(F.col("party") % 7 == 0, F.col("party") + 1_000_000).otherwise(F.col("party"))
+    settled = settled_events(spark, sf).withColumn("party", stranger).withColumn("name", person(F.col("party")))
+    return B.unmatched(B.balances(assessments(spark, sf), settled))
 
 
 @query("balance_ranking", "O4", _balances_cte() + f"""

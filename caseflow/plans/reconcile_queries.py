@@ -68,14 +68,14 @@ def catalog_diff(spark, sf):
 
 
 @query("rename_inheritance", "J10", """
-WITH n AS (SELECT o_orderkey AS case_id, o_orderkey || '.pdf' AS filename, sha1(o_custkey || o_orderpriority) AS h FROM orders WHERE o_orderstatus = 'O'),
-m AS (SELECT h, min_by(k, (d, k)) AS k, min_by(note, (d, k)) AS note, min_by(reviewed, (d, k)) AS reviewed
-  FROM (SELECT o_orderkey AS k, o_orderdate AS d, sha1(o_custkey || o_orderpriority) AS h, 'note ' || o_orderkey AS note, o_totalprice > 200000 AS reviewed FROM orders WHERE o_orderstatus = 'P') GROUP BY h)
-SELECT n.case_id, n.filename, coalesce(m.note, '') AS notes, coalesce(m.reviewed, false) AS reviewed, m.k AS inherited_from FROM n LEFT JOIN m ON m.h = n.h""")
+WITH o AS (SELECT o_orderkey AS case_id, o_orderkey || '.pdf' AS filename, sha1(o_custkey || o_orderpriority) AS h, o_orderstatus AS st, 'note ' || o_orderkey AS note, o_totalprice > 200000 AS reviewed,
+  row_number() OVER (PARTITION BY sha1(o_custkey || o_orderpriority), o_orderstatus ORDER BY o_orderdate, o_orderkey) AS n FROM orders)
+SELECT a.case_id, a.filename, coalesce(b.note, '') AS notes, coalesce(b.reviewed, false) AS reviewed, b.case_id AS inherited_from
+FROM o a LEFT JOIN o b ON b.h = a.h AND b.n = a.n AND b.st = 'P' WHERE a.st = 'O'""")
 def rename_inheritance(spark, sf):
     o = table(spark, sf, "orders").selectExpr("o_orderkey AS case_id", "concat(o_orderkey, '.pdf') AS filename", "sha1(concat(o_custkey, o_orderpriority)) AS sha1",
                                               "concat('note ', o_orderkey) AS notes", "o_totalprice > 200000 AS reviewed", "o_orderdate AS ord", "o_orderstatus")
-    new = o.where("o_orderstatus = 'O'").selectExpr("case_id", "filename", "sha1", "'' AS notes", "false AS reviewed")
+    new = o.where("o_orderstatus = 'O'").selectExpr("case_id", "filename", "sha1", "'' AS notes", "false AS reviewed", "ord")
     return X.inherit_renames(new, o.where("o_orderstatus = 'P'"))
 
 

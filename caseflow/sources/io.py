@@ -59,8 +59,10 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _widest(spark: SparkSession, path: str, sep: str) -> int:
-    """Upper bound of the columns: separators on the busiest line, quoted or not, plus one."""
-    n = spark.read.text(path).agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit(""))))).first()[0]
+    """Columns of the widest record: separators outside quotes, a record ending at a line break outside quotes."""
+    bare = F.regexp_replace(F.col("value"), '"[^"]*+("|\\z)', "")
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split(bare, r"\r\n|\r|\n")).alias("value"))
+    n = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit(""))))).first()[0]
     return (n or 0) + 1
 
 

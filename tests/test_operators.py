@@ -13,6 +13,7 @@ from caseflow.operators import digest as D
 from caseflow.operators import match as M
 from caseflow.operators import reconcile as X
 from caseflow.operators import scale as S
+from caseflow.sources import io
 from caseflow.streaming import stream as T
 
 
@@ -196,3 +197,28 @@ def test_snapshot_held_while_reading(spark):
     df = spark.createDataFrame([(1, False), (2, True)], "case_id int, pending boolean")
     assert T.hold_while_reading(df).count() == 0
     assert T.hold_while_reading(df.where("not pending")).count() == 1
+
+
+def test_spellings_of_a_long_chain_end_in_one(spark):
+    rows = [(f"n{i:03d}", f"n{i + 1:03d}", f"N{i + 1:03d}", i) for i in range(90)]
+    got = M.connected_spellings(spark.createDataFrame(rows, "a string, b string, spelling string, ord int")).collect()
+    assert len({r.root for r in got}) == 1 and {r.spelling for r in got} == {"N090"}
+
+
+def test_capped_pick_keeps_items_of_one_place(spark):
+    rows = [("p", 1, "a", 5), ("p", 1, "b", 5), ("p", 2, "c", 5), ("p", 3, "d", 5)]
+    got = D.capped_pick(spark.createDataFrame(rows, "party string, ord int, item string, size long"), max_files=2, max_bytes=100).collect()
+    assert sorted(r["item"] for r in got) == ["a", "b"]
+
+
+def test_delimited_width_counts_records_not_lines(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('name,note,mail\nDoe,"x\ny, ""z""",b@x.edu\nRoe,plain\n')
+    rows = io.read_delimited(spark, f"file://{tmp_path}/x.csv").orderBy("row").collect()
+    assert [r.cells for r in rows] == [["name", "note", "mail"], ["Doe", 'x\ny, "z"', "b@x.edu"], ["Roe", "plain", ""]]
+
+
+def test_one_giver_serves_one_newcomer(spark):
+    kind = "case_id long, filename string, sha1 string, notes string, reviewed boolean, ord int"
+    new = spark.createDataFrame([(1, "a", "h", "", False, 1), (2, "b", "h", "", False, 2), (3, "c", "k", "", False, 3)], kind)
+    gone = spark.createDataFrame([(9, "x", "h", "note", True, 5)], kind)
+    assert {r.case_id: (r.notes, r.inherited_from) for r in X.inherit_renames(new, gone).collect()} == {1: ("note", 9), 2: ("", None), 3: ("", None)}

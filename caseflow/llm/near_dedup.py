@@ -4,10 +4,10 @@ Every document's set of word shingles gets a signature that holds the minimum an
 many hash evaluations give the same number of values. Bands of eight values are the candidate keys: with 80 bands a pair at
 similarity 0.8 is missed with probability (1 - 0.8^8)^80 < 5e-7, and one at 0.3 met with 0.006. Documents with equal sets are one class; only classes are banded.
 
-Candidates are confirmed on full sets, but never as all pairs of a crowded band. In rounds, every class is compared with one hub of
-a band bucket that still holds classes of other components; confirmed links join components. What remains are pairs of different
-components in one bucket; they all are compared once hub rounds bring no more joins or the pairs are few. So every candidate pair ends
-up compared or within one component.
+Candidates are confirmed on full sets, but never as all pairs of a crowded bucket. In rounds, each class outside the largest
+component of a bucket is compared with a few members of that component; confirmed links join components, and buckets of one
+component are done. Once rounds bring few joins more, the pairs of different components that are left in a bucket are all compared. So every
+candidate pair ends up compared or within one component.
 
 Defined results: a null, empty or wordless text has an empty set and is linked with nothing; equal sets always link; repeated
 rows are rows of one class; a null doc_id is never smallest unless all are null, and is kept only then; extra columns are left out.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbuf
@@ -28,9 +29,11 @@ BANDS, ROWS = 80, 8
 #: Bytes of text worked on at once.
 SLICE = 4 << 20
 #: Keys that are sent to all executors at most; more go through a shuffle join.
-BROADCAST_KEYS = 500_000
-#: Hub rounds go on while the pairs left are more than this many times the classes in question.
-PAIRS_PER_CLASS = 4
+BROADCAST_KEYS = 100_000
+#: Hub rounds go on while the pairs left are more than this many times the classes, and become fewer.
+PAIRS_PER_CLASS = 0.1
+#: Members of a bucket's largest component that a class outside it is compared with in one round (one in the first).
+HUBS = 4
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -124,46 +127,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root) of the classes that are linked with others."""
-    pairs = F.posexplode("bands").alias("band", "key")
-    keys = classes.select("node", "n_shingles", pairs).select("node", "n_shingles", F.xxhash64("band", "key").alias("key"))
+    keys = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).select("node", "n_shingles", F.xxhash64("band", "key").alias("key"))
     crowded = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-crowded")
     crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
     keys = cut_lineage(keys.join(crowded, "key"), "near-keys")
-    nodes = keys.select("node").distinct()
     if keys.isEmpty():
         return classes.select("node", F.col("node").alias("root")).limit(0)
-    sets = _texts_of(docs, classes.join(nodes, "node", "left_semi"))
-    links = label = None
-    tried, before = None, None
+    sets = _texts_of(docs, classes.join(keys.select("node").distinct(), "node", "left_semi"))
+    few = PAIRS_PER_CLASS * classes.count()
+    links = label = tried = before = None
     for r in range(1000):
-        open_keys = keys if label is None else keys.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if label is None:
-            open_keys = open_keys.withColumn("root", F.col("node"))
-        # buckets that hold several components, and how many pairs of them
-        open_keys = cut_lineage(open_keys, "near-open")
-        part = open_keys.groupBy("key", "root").agg(F.count("*").alias("c"))
-        bucket = part.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq")).where("k > 1")
-        bucket = cut_lineage(bucket, "near-buckets")
-        sums = bucket.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
-        left = int(sums["pairs"] or 0)
+        root = F.col("node") if label is None else F.coalesce("root", "node")
+        cur = cut_lineage((keys if label is None else keys.join(label, "node", "left")).select("node", "n_shingles", "key", root.alias("root")), "near-open")
+        # the components of each bucket, its largest one, and a member of that for this round
+        pick = F.min(F.struct(F.xxhash64("node", F.lit(r), *([] if r == 0 else ["key"])).alias("h"), F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"))).alias("pick")
+        part = cur.groupBy("key", "root").agg(F.count("*").alias("c"), pick)
+        major = F.max(F.struct("c", F.xxhash64("root", F.lit(r)).alias("h"), "root", "pick")).alias("major")
+        bucket = part.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), major).where("k > 1")
+        bucket = cut_lineage(bucket.select("key", "n", "sq", F.col("major.root").alias("major"), "major.pick.hub", "major.pick.hub_n"), "near-buckets")
+        left = int(bucket.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0] or 0)
         if not left:
             break
-        mixed = open_keys.join(bucket.select("key"), "key")
-        few = left <= PAIRS_PER_CLASS * classes.count()
-        stuck = before is not None and left > 0.9 * before
+        mixed = cut_lineage(cur.join(bucket.select("key", "major", "hub", "hub_n"), "key"), "near-mixed")
+        keys = mixed.select("node", "n_shingles", "key")  # a bucket of one component stays one
+        outside = mixed.where("root <> major")
+        last = left <= few or (r > 1 and left > 0.8 * before)
         before = left
-        if few or stuck:
-            a, b = mixed.alias("a"), mixed.alias("b")
-            new = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _size_bound("a.n_shingles", "b.n_shingles")).select(
-                F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-            good = _confirmed(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), sets)
-            links = good if links is None else cut_lineage(links.union(good), "near-links")
-            return components(links, "near-components")
-        hub = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r), "key").alias("h"), "node", "root", "n_shingles")).alias("hub"))
-        # one hub for each class and round
-        chosen = mixed.join(hub, "key").where(F.col("root") != F.col("hub.root")).where(_size_bound("n_shingles", "hub.n_shingles"))
-        chosen = chosen.groupBy("node").agg(F.min(F.struct(F.xxhash64("hub.node", F.lit(r)).alias("h"), F.col("hub.node").alias("hub"))).alias("x"))
-        new = chosen.select(F.least("node", "x.hub").alias("a"), F.greatest("node", "x.hub").alias("b")).distinct()
+        if last:  # every pair of a bucket that lies in two components has one side outside the bucket's largest
+            x = outside.select("key", F.col("node").alias("x"), F.col("root").alias("xr"), F.col("n_shingles").alias("xn"))
+            y = mixed.select("key", F.col("node").alias("y"), F.col("root").alias("yr"), F.col("n_shingles").alias("yn"))
+            met = x.join(y, "key").where((F.col("xr") != F.col("yr")) & _size_bound("xn", "yn"))
+            new = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        else:
+            near_hub = outside.where(_size_bound("n_shingles", "hub_n")).select("node", "hub").distinct()
+            nth = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("hub", F.lit(r)), "hub"))  # a node is in BANDS buckets at most
+            chosen = near_hub.withColumn("nth", nth).where(F.col("nth") <= (1 if r == 0 else HUBS))
+            new = chosen.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if tried is not None:
             new = new.join(tried, ["a", "b"], "left_anti")
         new = cut_lineage(new, "near-pairs")
@@ -171,9 +170,11 @@ def _components(docs: DataFrame, classes: DataFrame) -> DataFrame:
         tried = new if tried is None else cut_lineage(tried.union(new), "near-tried")
         links = good if links is None else cut_lineage(links.union(good), "near-links")
         label = components(links, "near-components")
+        if last:
+            break
     else:
         raise RuntimeError("hub rounds did not end")
-    return label
+    return label if label is not None else classes.select("node", F.col("node").alias("root")).limit(0)
 
 
 def _size_bound(a: str, b: str):

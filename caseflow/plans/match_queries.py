@@ -147,7 +147,7 @@ def _two_sided(pairs, ca, cb, na, nb):
 
 FIELDS = {"recipient_name": 3.0, "reason": 2.0, "class_year": 0.5}
 INDEXED = ["recipient_name", "reason"]
-MIN_SCORE = 0.7
+MIN_SCORE = 0.3
 _PATH = "regexp_replace(regexp_extract(url, '//[^/]+/([^?#]*)', 1), '/', ' ')"
 
 

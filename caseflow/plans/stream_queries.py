@@ -82,10 +82,11 @@ def watched_folder(spark, sf):
 SELECT user_id AS party, date_trunc('hour', ts) AS round, count(DISTINCT user_id) OVER (PARTITION BY date_trunc('hour', ts)) > 12 AS held FROM events""".replace(
     "count(DISTINCT user_id) OVER (PARTITION BY date_trunc('hour', ts)) > 12 AS held FROM events", "n > 12 AS held FROM events JOIN (SELECT date_trunc('hour', ts) AS h, count(DISTINCT user_id) AS n FROM events GROUP BY 1) ON h = date_trunc('hour', ts)"))
 def sent_or_held_stream(spark, sf):
-    sent, held = scratch_path(spark, "sent"), scratch_path(spark, "held")
+    waiting, sent, held = (scratch_path(spark, x) for x in ("open", "sent", "held"))
     rounds = event_stream(spark, sf).select(F.col("user_id").alias("party"), F.date_trunc("hour", "ts").alias("round"))
-    q = S.send_or_hold(rounds, sent, held, 12).option("checkpointLocation", scratch_path(spark, "hold-state")).trigger(availableNow=True).start()
+    q = S.send_or_hold(rounds, waiting, sent, held, 12).option("checkpointLocation", scratch_path(spark, "hold-state")).trigger(availableNow=True).start()
     q.awaitTermination()
+    S.close_rounds(spark, "party bigint, round timestamp", waiting, sent, held, 12)
     read = lambda p, v: spark.read.schema("party bigint, round timestamp").parquet(p).select("party", "round").withColumn("held", F.lit(v))
     return read(sent, False).unionByName(read(held, True))
 

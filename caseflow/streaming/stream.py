@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.digest import circuit_breaker, debounce
 from ..operators.scale import running_last
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -76,20 +76,44 @@ def window_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour"
     ).select(F.col("w.start").alias("started"), "event_type", "n")
 
 
-def send_or_hold(stream: DataFrame, sent_path: str, held_path: str, limit: int):
+def send_or_hold(stream: DataFrame, open_path: str, sent_path: str, held_path: str, limit: int, delay: str = "1 hour"):
     """foreachBatch sink: a round with more parties than the limit goes to the held table, whole.
 
-    Rows: party, round, ... A replayed batch overwrites its own folder, so it is written once.
+    Rows: party, round (a timestamp), ... A round may come in several batches: rows wait in the open table until a round later
+    by `delay` is seen, and are counted together then; `close_rounds` routes the last ones. A row that comes after its round
+    was routed is held. Every batch writes folders of its own, so a replayed one is written once.
     """
     def write(batch: DataFrame, epoch: int) -> None:
-        verdict = circuit_breaker(batch, limit).select("round", "held")
-        marked = batch.join(verdict, "round")
-        for held, path in ((False, sent_path), (True, held_path)):
-            marked.where(F.col("held") == held).drop("held").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{open_path}/batch={epoch}")
+        waiting = spark.read.schema(batch.schema.simpleString()[7:-1].replace(":", " ") + ", batch long").parquet(open_path).where(F.col("batch") <= epoch)
+        seen = waiting.agg(F.max("round").alias("now"), F.max(F.when(F.col("batch") < epoch, F.col("round"))).alias("before"))
+        edge = seen.select((F.col("now") - F.expr(f"INTERVAL {delay}")).alias("now"), (F.col("before") - F.expr(f"INTERVAL {delay}")).alias("before")).first()
+        old = F.lit(False) if edge["before"] is None else F.col("round") < F.lit(edge["before"])
+        due = waiting.where((F.col("round") < F.lit(edge["now"])) & ~old) if edge["now"] is not None else waiting.limit(0)
+        late = waiting.where((F.col("batch") == epoch) & old)
+        _route(due.drop("batch"), late.drop("batch"), sent_path, held_path, limit, epoch)
 
     return stream.writeStream.foreachBatch(write)
 
 
+def _route(due: DataFrame, late: DataFrame, sent_path: str, held_path: str, limit: int, epoch: int) -> None:
+    verdict = circuit_breaker(due, limit).select("round", "held")
+    marked = due.join(verdict, "round").unionByName(late.withColumn("held", F.lit(True)))
+    marked = cut_lineage(marked, "routed")
+    for held, path in ((False, sent_path), (True, held_path)):
+        marked.where(F.col("held") == held).drop("held").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+
+def close_rounds(spark: SparkSession, schema: str, open_path: str, sent_path: str, held_path: str, limit: int, delay: str = "1 hour") -> None:
+    """Route the rounds still open when the stream has ended."""
+    waiting = spark.read.schema(schema + ", batch long").parquet(open_path)
+    last = waiting.agg((F.max("round") - F.expr(f"INTERVAL {delay}")).alias("edge"), F.max("batch").alias("batch")).first()
+    if last["batch"] is not None:
+        rest = waiting.where(F.col("round") >= F.lit(last["edge"])).drop("batch")
+        _route(rest, rest.limit(0), sent_path, held_path, limit, last["batch"] + 1)
+
+
 def hold_while_reading(current: DataFrame) -> DataFrame:
     """The rows of a snapshot, or none while any case is still being read (pending BOOLEAN)."""
     busy = F.broadcast(current.where("pending").select(F.lit(1).alias("__one")).distinct())  # at most one row

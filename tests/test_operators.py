@@ -222,3 +222,14 @@ def test_one_giver_serves_one_newcomer(spark):
     new = spark.createDataFrame([(1, "a", "h", "", False, 1), (2, "b", "h", "", False, 2), (3, "c", "k", "", False, 3)], kind)
     gone = spark.createDataFrame([(9, "x", "h", "note", True, 5)], kind)
     assert {r.case_id: (r.notes, r.inherited_from) for r in X.inherit_renames(new, gone).collect()} == {1: ("note", 9), 2: ("", None), 3: ("", None)}
+
+
+def test_rounds_over_several_batches_are_counted_whole(spark, tmp_path):
+    at = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, r)"
+    for k in range(3):  # round 0 has 20 parties in two files, round 3 five, round 6 twenty in two files
+        spark.range(k * 10, k * 10 + 10).selectExpr("id AS party", f"if({k} < 2, 0, 3) AS r").selectExpr("party", f"{at} AS round").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema("party bigint, round timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    where = [f"{tmp_path}/{x}" for x in ("open", "sent", "held")]
+    T.send_or_hold(rows, *where, 12).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    T.close_rounds(spark, "party bigint, round timestamp", *where, 12)
+    assert spark.read.parquet(where[1]).select("party").count() == 10 and spark.read.parquet(where[2]).select("party").distinct().count() == 20

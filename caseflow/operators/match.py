@@ -293,13 +293,16 @@ def multiset_dice(pairs: DataFrame, counts: DataFrame, sizes: DataFrame) -> Data
 def similar_values(values: DataFrame, threshold: float) -> DataFrame:
     """Ordered pairs of distinct normalised texts with Dice >= threshold (a, b, dice), equal ones included.
 
-    values: v. Repeated bigrams are numbered, so a text is a set and Dice >= t needs an overlap of at least
+    values: v, and where given `i` and `c`, whether an item or a case holds it: then only pairs of an item's and a case's value are
+    sought. Repeated bigrams are numbered, so a text is a set and Dice >= t needs an overlap of at least
     t/(2-t) of either set. Put the rarest first: two such sets share one of their first
     n - ceil(t/(2-t) n) + 1 members. At the first one they share, neither can have fewer members left than the
     overlap needed, t/2 of both sizes; that also bounds how much the sizes differ.
     """
     alpha = threshold / (2.0 - threshold)
-    vals = values.select(F.col("v")).where(F.coalesce("v", F.lit("")) != "").distinct()
+    held = ("i", "c")
+    flags = [(F.max(k) if k in values.columns else F.lit(True)).alias(k) for k in held]
+    vals = values.where(F.coalesce("v", F.lit("")) != "").groupBy("v").agg(F.count("*").alias("__n"), *flags).drop("__n")
     counts = bigram_counts(spread(vals, "v"), "v", "v")
     df = counts.groupBy("gram").agg(F.count("*").alias("df"))  # a few thousand rows at most: 37 x 37 characters
     weighed = counts.join(df, "gram").select(
@@ -312,14 +315,15 @@ def similar_values(values: DataFrame, threshold: float) -> DataFrame:
         "v", F.transform("s", lambda x: x["t"]).alias("s"), F.size("s").alias("n")
     )
     # numbers given while writing the table stay as written
-    sets = cut_lineage(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    sets = cut_lineage(sets.join(vals, "v").withColumn("id", F.monotonically_increasing_id()), "sets")
     keep = F.col("n") - F.ceil(F.col("n") * alpha - 1e-9).cast("int") + 1
-    heads = sets.select("id", "n", F.posexplode(F.slice("s", F.lit(1), keep)).alias("at", "t"))
-    heads = spread(heads.select("id", "n", "t", (F.col("n") - F.col("at")).alias("rest")), "t")
-    x = heads.select(F.col("id").alias("ia"), F.col("n").alias("na"), F.col("rest").alias("ra"), "t")
-    y = heads.select(F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("rest").alias("rb"), "t")
+    heads = sets.select("id", "n", *held, F.posexplode(F.slice("s", F.lit(1), keep)).alias("at", "t"))
+    heads = spread(heads.select("id", "n", *held, "t", (F.col("n") - F.col("at")).alias("rest")), "t")
+    x = heads.where("i").select(F.col("id").alias("ia"), F.col("n").alias("na"), F.col("rest").alias("ra"), (F.col("i") & F.col("c")).alias("xa"), "t")
+    y = heads.where("c").select(F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("rest").alias("rb"), (F.col("i") & F.col("c")).alias("xb"), "t")
+    once = (F.col("ia") < F.col("ib")) | ((F.col("ia") != F.col("ib")) & ~(F.col("xa") & F.col("xb")))  # two values that both sides hold meet once
     need = (F.col("na") + F.col("nb")) * (threshold / 2) - 1e-9
-    met = x.join(y, "t").where((F.col("ia") < F.col("ib")) & (F.least("ra", "rb") >= need)).select("ia", "ib").distinct()
+    met = x.join(y, "t").where(once & (F.least("ra", "rb") >= need)).select("ia", "ib").distinct()
     sa = sets.select(F.col("id").alias("ia"), F.col("v").alias("a"), F.col("s").alias("sa"))
     sb = sets.select(F.col("id").alias("ib"), F.col("v").alias("b"), F.col("s").alias("sb"))
     scored = spread(met, "ia").join(sa, "ia").join(sb, "ib").select(
@@ -367,8 +371,7 @@ def document_candidates(
     """
     indexed = list(fields) if indexed is None else indexed
     bonus = V.SENT_BONUS if sent is not None else 0.0
-    t = candidate_threshold(fields, indexed, min_score, bonus)
-    if t <= 0:
+    if candidate_threshold(fields, indexed, min_score, bonus) <= 0:
         raise ValueError("index more fields or raise min_score: a pair could qualify on the other fields alone")
     parts = ("fname", *fields)
 
@@ -380,9 +383,31 @@ def document_candidates(
         return cut_lineage(spread_out.select("*", *[numbered_bigrams(f"{p}_{c}").alias(f"{p}_{c}_g") for c in parts]), "side")
 
     it, ct = side(items, "i"), side(catalog, "c")
+    # An item with `top` candidates of a floor or more needs no lower ones: only the others go on to the next floor.
+    out, rest = None, it
+    for floor in [*(f for f in FLOORS if f > min_score), min_score]:
+        found = cut_lineage(_candidates(rest, ct, fields, indexed, floor, bonus, sent, not_self), "candidates")
+        best = keep_first(found, ["item_id"], [F.desc("score"), F.col("filename"), F.col("case_id")], top)
+        if floor == min_score:
+            return best if out is None else out.unionByName(best)
+        above = found.where(F.col("score") >= floor + 0.009)  # scores are rounded to hundredths: below the floor none is so high
+        full = cut_lineage(above.groupBy("item_id").agg(F.count("*").alias("n")).where(F.col("n") >= top).select(F.col("item_id").alias("i_id")), "candidates")
+        done = best.join(full, F.col("item_id") == F.col("i_id"), "left_semi")
+        out = done if out is None else out.unionByName(done)
+        rest = cut_lineage(rest.join(full, "i_id", "left_anti"), "side")
+
+
+#: Scores at which the search for an item may end before the lowest one.
+FLOORS = (0.5,)
+
+
+def _candidates(it, ct, fields, indexed, floor, bonus, sent, not_self) -> DataFrame:
+    """All pairs that score `floor` or more."""
+    t = candidate_threshold(fields, indexed, floor, bonus)
     met = None
     for f in ["fname", *indexed]:
-        vals = it.select(F.col(f"i_{f}").alias("v")).unionByName(ct.select(F.col(f"c_{f}").alias("v")))
+        vals = it.select(F.col(f"i_{f}").alias("v"), F.lit(True).alias("i"), F.lit(False).alias("c")).unionByName(
+            ct.select(F.col(f"c_{f}").alias("v"), F.lit(False).alias("i"), F.lit(True).alias("c")))
         close = similar_values(vals, t).select("a", "b")
         one = it.select("i_id", F.col(f"i_{f}").alias("a")).join(close, "a").join(
             ct.select("c_id", F.col(f"c_{f}").alias("b")), "b"
@@ -400,11 +425,10 @@ def document_candidates(
             "__raw", F.when(F.col("i_sha1") == F.col("c_sha1"), F.col("__raw"))
             .when(F.col("__sent"), F.least(F.lit(1.0), F.col("__raw") + V.SENT_BONUS)).otherwise(F.col("__raw"))
         )
-    kept = scored.where(F.col("__raw") >= min_score).select(
+    return scored.where(F.col("__raw") >= floor).select(
         F.col("i_id").alias("item_id"), F.col("c_id").alias("case_id"), F.col("c_filename").alias("filename"),
         (F.floor(F.col("__raw") * 100 + 0.5) / 100).alias("score"), F.col("i_sha1") == F.col("c_sha1"),
     ).toDF("item_id", "case_id", "filename", "score", "identical")
-    return keep_first(kept, ["item_id"], [F.desc("score"), F.col("filename"), F.col("case_id")], top)
 
 
 def _score(fields: dict[str, float]) -> Column:

@@ -35,6 +35,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     from caseflow.plans import load_queries
+    from caseflow.session import clear_scratch
 
     registry = load_queries()
     if names == ["all"]:
@@ -44,6 +45,7 @@ def main() -> None:
     for name in names:
         t = time.perf_counter()
         registry[name].run(spark, sf).write.mode("overwrite").format("noop").save()
+        clear_scratch(spark)
         seconds[name] = round(time.perf_counter() - t, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({

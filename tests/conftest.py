@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from caseflow.session import clear_scratch  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -22,4 +24,6 @@ def spark(tmp_path_factory):
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear_scratch(s)
+    assert not [p for p in work.iterdir() if p.name.startswith("scratch-")]
     s.stop()

@@ -52,6 +52,10 @@ def held_out(doc_id: str, parts: int, part: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+#: Rows of a table of edges that one task writes; few edges then are few files and tasks.
+EDGES_PER_TASK = 100_000
+
+
 def components(edges: DataFrame, label: str = "components", max_rounds: int = 200) -> DataFrame:
     """(node, root): root is the smallest node that undirected `edges` (a, b of bigint) reach. Nodes without edges are left out.
 
@@ -66,6 +70,7 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 20
         if not state["n"] or tuple(state) == last:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select("v", "v")).distinct()
         last = tuple(state)
+        tasks = 1 + state["n"] // EDGES_PER_TASK
         # large star: larger neighbours of each node go to its smallest neighbour, itself included
         both = cur.union(cur.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -73,7 +78,7 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 20
         # small star: smaller neighbours and the node itself go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        cur = cut_lineage(small.where("u <> v").distinct(), label)
+        cur = cut_lineage(small.where("u <> v").distinct().coalesce(tasks), label)
     raise RuntimeError(f"{label}: not stable after {max_rounds} rounds")
 
 

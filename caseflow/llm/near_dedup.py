@@ -31,7 +31,7 @@ SLICE = 4 << 20
 #: Keys that are sent to all executors at most; more go through a shuffle join.
 BROADCAST_KEYS = 100_000
 #: Hub rounds go on while the pairs left are more than this many times the classes, and become fewer.
-PAIRS_PER_CLASS = 0.1
+PAIRS_PER_CLASS = 1
 #: Members of a bucket's largest component that a class outside it is compared with in one round (one in the first).
 HUBS = 4
 
@@ -151,7 +151,7 @@ def _components(docs: DataFrame, classes: DataFrame) -> DataFrame:
         mixed = cut_lineage(cur.join(bucket.select("key", "major", "hub", "hub_n"), "key"), "near-mixed")
         keys = mixed.select("node", "n_shingles", "key")  # a bucket of one component stays one
         outside = mixed.where("root <> major")
-        last = left <= few or (r > 1 and left > 0.8 * before)
+        last = left <= few or (r > 1 and left > 0.5 * before)
         before = left
         if last:  # every pair of a bucket that lies in two components has one side outside the bucket's largest
             x = outside.select("key", F.col("node").alias("x"), F.col("root").alias("xr"), F.col("n_shingles").alias("xn"))

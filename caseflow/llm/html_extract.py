@@ -278,7 +278,9 @@ def main_text(page: str | None, model: dict) -> str:
 
 def learn(pages: DataFrame) -> dict:
     rng = random.Random(7)
-    rows = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(SAMPLE_PAGES).collect()
+    upto = min(1 << 20, 1 + 4 * SAMPLE_PAGES * (1 << 20) // max(1, pages.count()))  # about four times the sample goes to the sort
+    fit = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select("html", F.xxhash64("html").alias("h")).where(F.pmod("h", F.lit(1 << 20)) < upto)
+    rows = fit.orderBy("h", "html").limit(SAMPLE_PAGES).collect()
     given = [x for r in rows if (x := marked(r["html"]))]
     return train([composed(rng) for _ in range(COMPOSED_PAGES)] + given)
 

@@ -2,8 +2,9 @@
 
 A shard is a slice of a batch. Its words become symbols: those of the benchmark's vocabulary get one each, any other word is a
 separator, and runs too short for the shortest window are left out, since no window lies in them. Windows are searched
-backwards, their occurrences located and merged into spans. The benchmark goes to the executors in blocks of bounded size,
-one after the other, each adding to the spans found so far; no document is shuffled.
+backwards, their occurrences located and merged into spans. The benchmark's windows lie in blocks of bounded size, each a file of
+the shared folder that a task wrote; a task that searches holds one block at a time, and the spans of all blocks are merged before
+anything is done with them, so results do not depend on how items fall into blocks. No document is shuffled.
 
 Defined results: null and wordless texts have no words and no hits; an item without words occurs nowhere; a null item_id is
 written as an empty string; repeated items and rows count each for itself (item ids as a set); an empty benchmark gives no hits;
@@ -12,13 +13,17 @@ extra columns are left out.
 
 from __future__ import annotations
 
+import pickle
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .common import map_batches
+from .common import cut_lineage, map_batches, scratch_path
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -28,16 +33,39 @@ BLOCK_CHARS = 4_000_000
 SHARD = 8 << 20
 
 
-def blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> list[dict]:
-    """The distinct windows of each block of items."""
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+def blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> list[str]:
+    """Files of the distinct windows of each block of items, built and written by Spark tasks. Blocks without windows are left out."""
+    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     chars = bench.agg(F.sum(F.length("text") + 20)).first()[0] or 0
     n = max(1, -(-chars // block_chars))
-    out = []
-    for i in range(n):
-        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).toArrow()
-        out.append(_block(part["item_id"].to_pylist(), part["text"].combine_chunks(), window))
-    return [b for b in out if len(b["patterns"])]
+    folder = scratch_path(benchmark.sparkSession, "benchmark-blocks")
+
+    def build(table):
+        block, files = _block(table["item_id"].to_pylist(), table["text"].combine_chunks(), window), []
+        if len(block["patterns"]):
+            files.append(f"{folder}/{uuid.uuid4().hex}")  # files of lost or repeated attempts are not in the table
+            store, path = fs.FileSystem.from_uri(folder)
+            store.create_dir(path, recursive=True)
+            with store.open_output_stream(f"{path}/{files[0].rpartition('/')[2]}") as out:
+                out.write(pickle.dumps(block, protocol=5))
+        return pa.table({"file": pa.array(files, pa.string())})
+
+    dealt = bench.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).repartition(n, "block")
+    made = cut_lineage(dealt.groupBy("block").applyInArrow(build, "file string"), "benchmark-files")
+    return sorted(r["file"] for r in made.collect())
+
+
+#: The block that this worker read last, by its file.
+_held: dict[str, dict] = {}
+
+
+def _load(file: str) -> dict:
+    if file not in _held:
+        _held.clear()
+        store, path = fs.FileSystem.from_uri(file)
+        with store.open_input_stream(path) as stream:
+            _held[file] = pickle.loads(stream.read())
+    return _held[file]
 
 
 def _block(items: list[str], texts: pa.Array, window: int) -> dict:
@@ -133,56 +161,61 @@ def _scan(texts: pa.Array, block: dict) -> list[tuple[int, list[int], list[str],
     return out
 
 
+def _scan_all(texts: pa.Array, files: list[str]) -> list[tuple[int, list[int], list[str], list[int]]]:
+    """As _scan, over the blocks of all files."""
+    out = None
+    for file in files:
+        rows = _scan(texts, _load(file))
+        out = rows if out is None else [_both(x, y) for x, y in zip(out, rows)]
+    return _scan(texts, _block([], pa.array([], pa.string()), WINDOW)) if out is None else out
+
+
+def _both(x: tuple, y: tuple) -> tuple:
+    if not x[1] or not y[1]:
+        return x if x[1] else y
+    spans = np.array(x[1] + y[1], np.int64).reshape(-1, 2)
+    _, s, e = _merged(spans[:, 0], spans[:, 1], x[0])
+    # a merged span begins where one of the two begins and ends where one ends
+    first = dict(zip(x[1][::2] + y[1][::2], x[3][::2] + y[3][::2]))
+    last = dict(zip(x[1][1::2] + y[1][1::2], x[3][1::2] + y[3][1::2]))
+    s, e = s.tolist(), e.tolist()
+    return x[0], [v for p in zip(s, e) for v in p], sorted({*x[2], *y[2]}), [v for p, q in zip(s, e) for v in (first[p], last[q])]
+
+
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_words, n_hit, spans, items): spans are merged runs of hit words as first, end, first, end ..., end exclusive."""
-    found = blocks(benchmark, window, block_chars) or [_block([], pa.array([], pa.string()), window)]
+    files = blocks(benchmark, window, block_chars)
+
+    def search(batch):
+        rows = _scan_all(batch["text"], files)
+        return pa.RecordBatch.from_pydict({
+            "doc_id": batch["doc_id"], "n_words": pa.array([r[0] for r in rows], pa.int64()), "n_hit": pa.array([sum(r[1][1::2]) - sum(r[1][::2]) for r in rows], pa.int64()),
+            "spans": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "items": pa.array([r[2] for r in rows], pa.list_(pa.string())),
+        })
+
     cur = docs.select("doc_id", "text")
-    kind = dict(cur.dtypes)["doc_id"]
-    for i, b in enumerate(found):
-        last = i == len(found) - 1
-        cur = map_batches(cur, _adder(spark.sparkContext.broadcast(b), i == 0, last), f"doc_id {kind}, " + ("" if last else "text string, ") + "n_words long, n_hit long, spans array<long>, items array<string>")
-    return cur
-
-
-def _adder(shared, first: bool, last: bool):
-    def add(batch):
-        rows = _scan(batch["text"], shared.value)
-        spans, items = [r[1] for r in rows], [r[2] for r in rows]
-        hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-        if not first:
-            for i, (s, t, n) in enumerate(zip(batch["spans"].to_pylist(), batch["items"].to_pylist(), rows)):
-                both = np.array(s + spans[i], np.int64).reshape(-1, 2)
-                if len(both):
-                    flags, a, b = _merged(both[:, 0], both[:, 1], n[0])
-                    spans[i], hit[i], items[i] = np.stack([a, b], 1).ravel().tolist(), int(flags.sum()), sorted({*t, *items[i]})
-        cols = {"doc_id": batch["doc_id"]} | ({} if last else {"text": batch["text"]}) | {
-            "n_words": pa.array([r[0] for r in rows], pa.int64()), "n_hit": pa.array(hit, pa.int64()),
-            "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string())),
-        }
-        return pa.RecordBatch.from_pydict(cols)
-
-    return add
+    return map_batches(cur, search, f"doc_id {dict(cur.dtypes)['doc_id']}, n_words long, n_hit long, spans array<long>, items array<string>")
 
 
 def cut(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with the hit spans taken out of text and n_chars set anew; all columns are kept, clean rows are unchanged.
 
-    A cut can bring words together that form a window again, so a changed text is searched until it is clean. Documents of which
-    no word is left go.
+    The spans of all blocks are merged and cut at once. A cut can bring words together that form a window again, so a changed
+    text is searched for all blocks until it is clean. Documents of which no word is left go.
     """
-    found = blocks(benchmark, window, block_chars)
+    files = blocks(benchmark, window, block_chars)
     cur, order = docs, docs.columns
-    for b in found:
-        cur = map_batches(cur, _cutter(spark.sparkContext.broadcast(b)), docs.schema)
-    if found and "n_chars" in order:
+    if files:
+        cur = map_batches(cur, _cutter(files), docs.schema)
+    if files and "n_chars" in order:
         cur = cur.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return cur.select(order)
 
 
-def _cutter(shared):
+def _cutter(files: list[str]):
     def clean(batch):
-        texts, block = batch["text"], shared.value
-        rows = _scan(texts, block)
+        texts = batch["text"]
+        rows = _scan_all(texts, files)
         dirty = [i for i, r in enumerate(rows) if r[1]]
         if not dirty:
             return batch
@@ -194,7 +227,7 @@ def _cutter(shared):
                     parts.append(raw[at:s])
                     at = e
                 changed[i] = b"".join([*parts, raw[at:]]).decode()
-            again = _scan(pa.array([changed[i] for i in dirty], pa.string()), block)
+            again = _scan_all(pa.array([changed[i] for i in dirty], pa.string()), files)
             rows = dict(zip(dirty, again))
             dirty = [i for i in dirty if rows[i][1]]
             left = {i: r[0] for i, r in rows.items()}

@@ -75,6 +75,21 @@ def test_small_cases(spark, chars):
     assert {d: t for d, t in after if d in untouched} == untouched
 
 
+def test_cut_does_not_depend_on_blocks(spark):
+    """Overlapping items of different blocks, a cut that joins a window of another block, and the small cases."""
+    w = [f"w{i}" for i in range(40)]
+    text = lambda a, b: " ".join(w[a:b])
+    overlap = ([(1, text(0, 20)), (2, "x " + text(0, 20) + " y")], [(i, text(a, a + 15)) for i, a in enumerate(range(6))])
+    joined = ([(1, text(0, 5) + " " + text(20, 35) + " " + text(5, 10) + " end")], [(i, text(20 + i, 30 + i)) for i in range(6)] + [(9, text(0, 10))])
+    for docs, items in (overlap, joined, (DOCS, BENCH)):
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        assert len(D.blocks(bench, block_chars=15)) > 1
+        got = [sorted(((r.doc_id, r.text) for r in D.cut(spark, frame, bench, block_chars=n).collect()), key=str) for n in (4_000_000, 60, 15)]
+        assert got[0] == got[1] == got[2]
+        assert all(x[2] == 0 for x in brute(got[0], items))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -10,7 +10,8 @@ component are done. Once rounds bring few joins more, the pairs of different com
 candidate pair ends up compared or within one component.
 
 Defined results: a null, empty or wordless text has an empty set and is linked with nothing; equal sets always link; repeated
-rows are rows of one class; a null doc_id is never smallest unless all are null, and is kept only then; extra columns are left out.
+rows are rows of one class; a null doc_id is never smallest unless all are null, and is kept only then. One row of each component
+is kept: one of the smallest id, among several of that id by the digest of the set. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -78,20 +79,27 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64), pa.int64())
 
 
+def _digest(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size of each set and 128 bits that name it."""
+    full, n = np.flatnonzero(np.diff(bounds) > 0), len(bounds) - 1
+    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    if len(full):
+        a[full] = np.add.reduceat(values, bounds[:-1][full])
+        b[full] = np.add.reduceat(textbuf.mix(values ^ np.uint64(0x5851F42D4C957F2D)), bounds[:-1][full])
+    return np.diff(bounds), a, b
+
+
 def _summaries(batch):
     """doc_id, size of the set, 128 bits that name the set, band keys."""
     sizes, one, two, keys = [], [], [], []
     for values, bounds in _sets(batch["text"]):
         full = np.flatnonzero(np.diff(bounds) > 0)
-        n = len(bounds) - 1
-        a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        k = [None] * n
+        n, a, b = _digest(values, bounds)
+        k = [None] * len(n)
         if len(full):
-            a[full] = np.add.reduceat(values, bounds[:-1][full])
-            b[full] = np.add.reduceat(textbuf.mix(values ^ np.uint64(0x5851F42D4C957F2D)), bounds[:-1][full])
             for i, row in zip(full, bands(values, bounds).view(np.int64)):
                 k[i] = row
-        sizes.append(np.diff(bounds))
+        sizes.append(n)
         one.append(a)
         two.append(b)
         keys += k
@@ -106,23 +114,38 @@ def _shingle_rows(batch):
     return pa.RecordBatch.from_pydict({"node": batch["node"], "set": pa.array([v.view(np.int64) for v in values], pa.list_(pa.int64()))})
 
 
+def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with n_shingles, s1 and s2, which name the set of a text."""
+    sizes, one, two = zip(*(_digest(values, bounds) for values, bounds in _sets(batch["text"])))
+    cols = [pa.array(np.concatenate(sizes), pa.int64()), _signed(np.concatenate(one)), _signed(np.concatenate(two))]
+    return pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "n_shingles", "s1", "s2"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
+    return decide(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def decide(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, s1, s2, component_id, kept) for every row of docs (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
-    rows = cut_lineage(map_batches(docs.select("doc_id", "text"), _summaries, f"doc_id {kind}, n_shingles long, s1 long, s2 long, bands array<long>"), "near-rows")
+    summed = map_batches(docs.select("doc_id", "text"), _summaries, f"doc_id {kind}, n_shingles long, s1 long, s2 long, bands array<long>")
+    rows = cut_lineage(summed.withColumn("uid", F.monotonically_increasing_id()), "near-rows")
     filled = rows.where("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "n_shingles", "s1", "s2", "uid")).alias("first")
     classes = cut_lineage(
-        filled.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("first_id"), F.min("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
+        filled.groupBy("n_shingles", "s1", "s2").agg(first, F.min("bands").alias("bands")).withColumn("first_id", F.col("first.doc_id")).withColumn("node", F.monotonically_increasing_id()),
         "near-classes",
     )
     found = _components(docs, classes)
-    # smallest id of each component, over its classes
-    of = classes.select("node", "n_shingles", "s1", "s2", "first_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = of.join(least, "root").select("n_shingles", "s1", "s2", "component_id")
-    linked = filled.drop("bands").join(named, ["n_shingles", "s1", "s2"]).select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # the first row of each component, by its smallest id, over its classes
+    of = classes.select("node", "n_shingles", "s1", "s2", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = of.groupBy("root").agg(F.min("first").alias("least"))
+    named = of.join(least, "root").select("n_shingles", "s1", "s2", F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("first_uid"))
+    linked = filled.drop("bands").join(named, ["n_shingles", "s1", "s2"])
+    linked = linked.select("doc_id", "n_shingles", "s1", "s2", "component_id", (F.col("uid") == F.col("first_uid")).alias("kept"))
+    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", "s1", "s2", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.union(alone)
 
 
 def _components(docs: DataFrame, classes: DataFrame) -> DataFrame:

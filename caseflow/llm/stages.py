@@ -50,12 +50,30 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates stays."""
-    from .near_dedup import near_duplicates
+    """One row of each group of near duplicates stays, of its smallest id."""
+    from .common import map_batches
+    from .near_dedup import decide, digests
 
     ship(spark)
-    gone = _small(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    decided = cut_lineage(decide(docs), "stage-near")
+    gone = _small(decided.where("not kept").select(F.col("doc_id").alias("id")).distinct())
+    mixed = _small(decided.where("kept").join(gone, same, "left_semi").select(F.col("doc_id").alias("id")).distinct())
+    left = docs.join(gone, same, "left_anti")
+    if mixed.isEmpty():
+        return left
+    # an id of which some rows stay: its rows without words, and one row of each kept set
+    key = ["n_shingles", "s1", "s2"]
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*docs.dtypes, *((f"__{k}", "long") for k in key)])
+    columns = [*docs.columns, *(f"__{k}" for k in key)]
+    names = lambda batch: digests(batch).rename_columns(columns)
+    own = cut_lineage(map_batches(docs.join(mixed, same, "left_semi"), names, schema), "stage-mixed")
+    kept = decided.where("kept and n_shingles > 0").join(mixed, same, "left_semi").select(F.col("doc_id").alias("id"), *key)
+    match = same & (F.col("__n_shingles") == F.col("n_shingles")) & (F.col("__s1") == F.col("s1")) & (F.col("__s2") == F.col("s2"))
+    full = own.where("__n_shingles > 0").join(kept, match, "left_semi")
+    size = F.length("text").alias("n")
+    one = full.groupBy("doc_id", *(f"__{k}" for k in key)).agg(F.max(F.struct(size, F.struct(*docs.columns).alias("row"))).alias("m")).select("m.row.*")
+    return left.unionByName(own.where("__n_shingles = 0").select(docs.columns)).unionByName(one.select(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

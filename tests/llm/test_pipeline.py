@@ -67,6 +67,22 @@ def test_exact_stage_with_repeated_ids(spark):
     assert got == sorted([(1, " a b c d"), (2, None), (None, "only one"), (4, "other text here now"), (4, "quite another text here")], key=str)
 
 
+def test_near_stage_with_null_and_repeated_ids(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcdef")
+    rows = [
+        (1, a), (None, a + " more"), (None, b), (None, b + " more"), (None, c), (None, ""), (None, None),  # null ids: a copy of 1, two copies, a clean one
+        (2, d), (2, e), (0, e + " more"),  # one of the two texts of 2 goes
+        (3, f), (3, f + " more"), (3, "own text"), (3, "OWN  text"),  # copies that share their smallest id
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = stages.near(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted([(r.doc_id, r.text) for r in out.collect()], key=str)
+    short = [[i, (t or "-").lower().replace(" more", "").replace("  ", " ")] for i, t in got]
+    assert sorted(short, key=str) == sorted([[1, a], [None, b], [None, c], [None, "-"], [None, "-"], [2, d], [0, e], [3, f], [3, "own text"]], key=str)
+    assert set(got) <= set(rows)
+
+
 @pytest.mark.parametrize("stage", [stages.toxic, stages.exact, stages.near, stages.decontaminated, stages.packed])
 def test_empty_and_odd_tables(spark, stage):
     docs = spark.createDataFrame([(d, t, None, None, None) for d, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long")

@@ -17,7 +17,8 @@ def read_settlements(cells: DataFrame, layout: SettlementLayout = SettlementLayo
     """Settlement rows from sheets of cells (sheet, row_no, cells).
 
     The header is the configured row, else the first of the top rows holding all required headings. Every
-    row with anything in it comes back, with `skip_reason` null on the usable ones.
+    row with anything in it comes back, with `skip_reason` null on the usable ones. A sheet without such a row
+    gives all its rows, with a `skip_reason` that names the sheet.
     """
     want = {k: v for k, v in layout.headings.items() if v}
     norm = F.transform("cells", norm_text)
@@ -31,16 +32,19 @@ def read_settlements(cells: DataFrame, layout: SettlementLayout = SettlementLayo
         *[at[k].alias(k) for k in want],
     )
     headers = top.groupBy("sheet").agg(F.min(pick).alias("h"))
-    body = cells.join(headers, "sheet").where(F.col("row_no") > F.col("h.header_row"))
+    headers = headers.select(F.col("sheet").alias("__sheet"), "h")
+    body = cells.join(headers, F.col("sheet").eqNullSafe(F.col("__sheet")), "left")
+    body = body.where(F.col("h").isNull() | (F.col("row_no") > F.col("h.header_row")))
+    headless = F.col("h").isNull() & (collapse(F.concat_ws(" ", "cells")) != "")
     value = lambda k: collapse(F.when(F.col(f"h.{k}") >= 0, F.get("cells", F.col(f"h.{k}")))) if k in want else F.lit("")
-    rows = body.select("sheet", "row_no", *[value(k).alias(k) for k in layout.headings])
-    rows = rows.where(F.concat_ws("", *layout.headings) != "")
+    rows = body.select("sheet", "row_no", *[value(k).alias(k) for k in layout.headings], headless.alias("headless"))
+    rows = rows.where((F.concat_ws("", *layout.headings) != "") | F.col("headless"))
     word = norm_text("type")
     kind = F.when(F.contains(word, F.lit(_norm(layout.tour_word))), "tour").when(
         F.contains(word, F.lit(_norm(layout.confinement_word))), "confinement"
     )
     amount = num("amount")
-    reason = F.when(F.col("cadet") == "", "unnamed").when(kind.isNull(), "unknown_type").when(~(amount > 0), "bad_amount")
+    reason = F.when(F.col("headless"), F.concat(F.lit("no_headings: "), F.coalesce("sheet", F.lit("")))).when(F.col("cadet") == "", "unnamed").when(kind.isNull(), "unknown_type").when(~(amount > 0), "bad_amount")
     day = F.when(F.col("date").rlike(r"^\d+(\.\d+)?$"), serial_to_date("date")).otherwise(parse_date("date"))
     return rows.select(
         "sheet", "row_no", day.alias("settled_on"), "cadet", kind.alias("kind"), amount.alias("units"),

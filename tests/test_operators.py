@@ -124,6 +124,17 @@ def test_capped_pick_equals_greedy(spark):
     assert got == want
 
 
+def test_sheets_without_headings_are_skipped_by_name(spark):
+    head = ["Date Served", "Cadet Name", "Sanction Type", "Amount Served"]
+    line = ["2026-09-02", "Doe, John", "Tour", "1"]
+    rows = [("good", 1, head), ("good", 2, line), ("low", 61, head), ("low", 62, line), ("low", 63, ["", " "]), ("bare", 1, line), (None, 1, head), (None, 2, line)]
+    got = B.read_settlements(spark.createDataFrame(rows, "sheet string, row_no bigint, cells array<string>"))
+    assert {(r.sheet, r.row_no, r.cadet, r.skip_reason) for r in got.collect()} == {
+        ("good", 2, "Doe, John", None), ("low", 61, "", "no_headings: low"), ("low", 62, "", "no_headings: low"),
+        ("bare", 1, "", "no_headings: bare"), (None, 2, "Doe, John", None)}
+    assert {r.skip_reason: r.n for r in B.skip_counts(got).collect()} == {"no_headings: low": 2, "no_headings: bare": 1}
+
+
 def test_settlement_log_case(spark):
     head = ["", "Date Served", "Cadet Name", "Sanction Type", "Amount Served", "Supervisor / Monitor", "Notes"]
     body = [("2026-09-02", "Doe, John", "Tour", "1"), ("46268", "John Doe", "tour", "1"), ("2026-09-03", "John Doe", "Confinement", "2"),

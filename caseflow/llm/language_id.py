@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linear, textbuf
-from .common import held_out, map_batches
+from .common import cut_lineage, held_out, map_batches
 
 #: Labelled texts per language that the machines learn from at most, chosen by a hash of the text.
 SAMPLE_PER_LANGUAGE = 400
@@ -71,14 +71,16 @@ def profiles(texts: list[str]) -> np.ndarray:
 
 
 def sample(docs: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(lang, text) of a bounded number of texts per language; each gives one stretch of 2,000 characters at a hashed place."""
+    """(lang, text) of a bounded number of different texts per language; each gives one stretch of 2,000 characters at a hashed place."""
     from pyspark.sql import Window as W
 
     rows = docs.where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
     span = F.greatest(F.length("text") - 2000, F.lit(1))
-    cut = rows.select("lang", "h", F.substring("text", F.pmod("h", span).cast("int") + 1, F.lit(2000)).alias("part"))
-    rn = F.row_number().over(W.partitionBy("lang").orderBy("h", "part"))
-    return [(r["lang"], r["part"]) for r in cut.withColumn("rn", rn).where(F.col("rn") <= most).orderBy("lang", "rn").collect()]
+    # copies of a text are one: their hashes are combined and numbered before any text moves
+    rn = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    first = cut_lineage(rows.groupBy("lang", "h").agg(F.lit(1)).select("lang", "h", rn.alias("rn")).where(F.col("rn") <= most), "language-sample")
+    cut = rows.join(F.broadcast(first), ["lang", "h"]).select("lang", "rn", F.substring("text", F.pmod("h", span).cast("int") + 1, F.lit(2000)).alias("part"))
+    return [(r["lang"], r["part"]) for r in cut.groupBy("lang", "rn").agg(F.min("part").alias("part")).orderBy("lang", "rn").collect()]
 
 
 def train(rows: list[tuple[str, str]]) -> dict:

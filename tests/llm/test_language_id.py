@@ -16,6 +16,15 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_copies_count_once_in_the_sample(spark):
+    rows = [(i, f"copied text {i % 3}", "en") for i in range(300)] + [(1000 + i, f"single text {i}", "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    texts = {r.text[1:] for r in docs.where(~L.held_out("doc_id", 4, 2)).collect()}  # a short text is cut from its second character
+    got = L.sample(docs, 40)
+    assert len(got) == len(set(got)) == len(texts) and {lang for lang, _ in got} == {"en"}
+    assert len(set(L.sample(docs, 10))) == 10
+
+
 def test_cases(spark):
     en, de = "the cat and the dog of this house with that ", "der Hund und die Katze von diesem Haus mit einem "
     rows = [(i, en if i % 2 else de, "en" if i % 2 else "de", "x") for i in range(40)]

@@ -105,6 +105,13 @@ def op8(spark, sf_dir):
     return extract(spark, read(spark, sf_dir, "pages"))
 
 
+@query("op13_conversation_repair")
+def op13(spark, sf_dir):
+    from .conversations import report
+
+    return report(read(spark, sf_dir, "conversations"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline

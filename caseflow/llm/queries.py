@@ -105,6 +105,39 @@ def op8(spark, sf_dir):
     return extract(spark, read(spark, sf_dir, "pages"))
 
 
+@query("op12_collocations", r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, k, phrase, a, w, 1 AS j FROM c UNION ALL SELECT lang, k, phrase, a, w, 2 FROM c WHERE k = 3),
+s AS (
+  SELECT u.lang, u.k, u.phrase, u.a, u.j, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * u.a * u.a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts u
+  JOIN f x ON x.lang = u.lang AND x.k = u.j AND x.phrase = array_to_string(u.w[1:u.j], ' ')
+  JOIN f y ON y.lang = u.lang AND y.k = u.k - u.j AND y.phrase = array_to_string(u.w[u.j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+m AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, w[1] || ' ' || w[2] AS phrase FROM c WHERE k = 3 UNION ALL SELECT lang, a, w[2] || ' ' || w[3] FROM c WHERE k = 3)
+  GROUP BY lang, phrase),
+r AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase
+  WHERE m.longer IS NULL OR 100 * m.longer < 50 * b.a)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, n.n, r.score FROM r JOIN n ON n.lang = r.lang WHERE r.rank <= 2000""")
+def op12(spark, sf_dir):
+    from .collocations import collocations
+
+    return collocations(spark, read(spark, sf_dir, "documents"))
+
+
 @query("op13_conversation_repair")
 def op13(spark, sf_dir):
     from .conversations import report

@@ -105,6 +105,13 @@ def op8(spark, sf_dir):
     return extract(spark, read(spark, sf_dir, "pages"))
 
 
+@query("op11_url_filter")
+def op11(spark, sf_dir):
+    from .url_filter import judge
+
+    return judge(read(spark, sf_dir, "pages"))
+
+
 @query("op12_collocations", r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece

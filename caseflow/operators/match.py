@@ -478,46 +478,6 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(F.floor(lo / size).cast("int"), F.floor(hi / size).cast("int"))
 
 
-def match_widgets(slots: DataFrame, widgets: DataFrame, tol_x: float, tol_y: float) -> DataFrame:
-    """Form fields matched to template boxes: mutual best of a placement cost, at most 0.075.
-
-    slots: page, slot, ftype, name, x0..y1; widgets: page, widget, ftype, name, has_value, x0..y1, all in page
-    units of 1. An accepted pair has centres within 0.115 (or the tolerance), so boxes meet through grid cells of
-    that size and their neighbours. Unlike an optimal assignment, two fields contending for one box leave the
-    dearer one unmatched.
-    """
-    reach = max(V.WIDGET_ACCEPT - 0.01 + 0.05, tol_x, tol_y)
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    s = slots.select("page", "slot", *[F.col(c).alias(f"s_{c}") for c in ("ftype", "name", "x0", "y0", "x1", "y1")],
-                     F.explode(_cells(cx - reach, cx + reach, reach)).alias("gx"), cy.alias("__cy"))
-    s = s.select("*", F.explode(_cells(F.col("__cy") - reach, F.col("__cy") + reach, reach)).alias("gy"))
-    w = widgets.select("page", "widget", "has_value", *[F.col(c).alias(f"w_{c}") for c in ("ftype", "name", "x0", "y0", "x1", "y1")],
-                       F.floor(cx / reach).cast("int").alias("gx"), F.floor(cy / reach).cast("int").alias("gy"))
-    p = s.join(w, ["page", "gx", "gy"])
-    gap = lambda c: F.abs(F.col(f"s_{c}") - F.col(f"w_{c}"))
-    mid = lambda side, a, b: (F.col(f"{side}_{a}") + F.col(f"{side}_{b}")) / 2
-    d = F.hypot(mid("s", "x0", "x1") - mid("w", "x0", "x1"), mid("s", "y0", "y1") - mid("w", "y0", "y1"))
-    span = lambda side, a, b: F.col(f"{side}_{b}") - F.col(f"{side}_{a}")
-    size = F.abs(span("s", "x0", "x1") - span("w", "x0", "x1")) + F.abs(span("s", "y0", "y1") - span("w", "y0", "y1"))
-    within = (gap("x0") <= tol_x) & (gap("x1") <= tol_x) & (gap("y0") <= tol_y) & (gap("y1") <= tol_y)
-    kinds = F.array_join(F.array_sort(F.array("s_ftype", "w_ftype")), "|")
-    compat = F.when(F.col("s_ftype") == F.col("w_ftype"), 0.0).when(kinds == "Signature|Text", 0.035).when(
-        kinds == "CheckBox|Radio", 0.0
-    )
-    cost = (
-        F.when(within, 0.1 * (d + 0.35 * size)).otherwise(0.01 + d + 0.35 * size) + compat
-        - F.when(norm_text("s_name") == norm_text("w_name"), 0.02).otherwise(0.0)
-        - F.when(F.coalesce("has_value", F.lit(False)), 0.03).otherwise(0.0)
-    )
-    ok = p.select("page", "slot", "widget", cost.alias("cost"), within.alias("tight")).where(F.col("cost") <= V.WIDGET_ACCEPT)
-    for_slot = ok.groupBy("page", "slot").agg(F.min(F.struct("cost", "widget", "tight")).alias("w"))
-    for_widget = ok.groupBy("page", "widget").agg(F.min(F.struct("cost", "slot")).alias("s"))
-    chosen = for_slot.select("page", "slot", F.col("w.widget").alias("widget"), F.col("w.cost").alias("cost"), F.col("w.tight").alias("tight"))
-    return chosen.join(for_widget, ["page", "widget"]).where(F.col("s.slot") == F.col("slot")).select(
-        "page", "slot", "widget", "cost", "tight"
-    )
-
-
 def assign_words(words: DataFrame, boxes: DataFrame, pad: float, cell: float = 0.05) -> DataFrame:
     """Every word goes to the box it sits in, or the nearest within `pad`; the smaller box wins a tie.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filename_key, norm_text
 from ..operators import match as M
+from ..operators.assignment import assign_widgets
 from ..operators.scale import keep_first, spread
 from ..session import cut_lineage
 from .bindings import family_sql, given_sql, person, table
@@ -250,19 +251,60 @@ _BOX_SQL = """b AS (SELECT l_orderkey AS page, l_linenumber || '.' || l_partkey
   CASE l_returnflag WHEN 'R' THEN 'Signature' WHEN 'A' THEN 'Text' ELSE 'CheckBox' END AS ftype FROM lineitem)"""
 
 
-@query("widget_matches", "J16", f"""WITH {_BOX_SQL},
-p AS (SELECT s.page, s.id AS slot, w.id AS widget, sqrt(pow((s.x0 + s.x1) / 2 - (w.x0 + w.x1) / 2, 2) + pow((s.y0 + s.y1) / 2 - (w.y0 + w.y1) / 2, 2)) AS d,
+#: Lines of an order in the driver's tables that the SQL below can hold; the library has no such bound.
+MOST_LINES = 14
+
+
+def _cheapest_sql(slots: str, widgets: str) -> str:
+    """The assignment of least cost of each page by trying every subset of its fields, one box after the other.
+
+    slots, widgets: queries of (page, id, ftype, name, has_value, x0..y1), MOST_LINES a page at most.
+    """
+    steps = "".join(f"""
+d{i} AS (SELECT page, mask, min(total) AS total, arg_min(path, total) AS path FROM (
+  SELECT page, mask, total, path FROM d{i - 1}
+  UNION ALL SELECT d.page, d.mask | (1 << c.j), d.total + c.cost, list_append(d.path, c.i * 64 + c.j) FROM d{i - 1} d JOIN c ON c.page = d.page AND c.i = {i - 1} AND (d.mask & (1 << c.j)) = 0
+) GROUP BY page, mask),""" for i in range(1, MOST_LINES + 1))
+    return f"""
+sl AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) - 1 AS i FROM ({slots})),
+wi AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) - 1 AS j FROM ({widgets})),
+p AS (SELECT s.page, s.i, w.j, s.id AS slot, w.id AS widget, sqrt(pow((s.x0 + s.x1) / 2 - (w.x0 + w.x1) / 2, 2) + pow((s.y0 + s.y1) / 2 - (w.y0 + w.y1) / 2, 2)) AS d,
     abs((s.x1 - s.x0) - (w.x1 - w.x0)) + abs((s.y1 - s.y0) - (w.y1 - w.y0)) AS sz,
     abs(s.x0 - w.x0) <= 0.02 AND abs(s.x1 - w.x1) <= 0.02 AND abs(s.y0 - w.y0) <= 0.02 AND abs(s.y1 - w.y1) <= 0.02 AS tight,
     CASE WHEN s.ftype = w.ftype THEN 0 WHEN s.ftype IN ('Signature', 'Text') AND w.ftype IN ('Signature', 'Text') THEN 0.035 END AS compat,
-    CASE WHEN s.l_returnflag = w.l_returnflag THEN 0.02 ELSE 0 END + CASE WHEN w.l_partkey > w.l_suppkey * 10 THEN 0.03 ELSE 0 END AS bonus
-  FROM b s JOIN b w ON s.page = w.page AND s.l_linestatus = 'O' AND w.l_linestatus = 'F'),
-c AS (SELECT page, slot, widget, tight, CASE WHEN tight THEN 0.1 * (d + 0.35 * sz) ELSE 0.01 + d + 0.35 * sz END + compat - bonus AS cost FROM p WHERE compat IS NOT NULL),
-ok AS (SELECT * FROM c WHERE cost <= 0.075)
-SELECT page, slot, widget, tight FROM ok
-QUALIFY row_number() OVER (PARTITION BY page, slot ORDER BY cost, widget) = 1 AND row_number() OVER (PARTITION BY page, widget ORDER BY cost, slot) = 1""")
+    CASE WHEN s.name = w.name THEN 0.02 ELSE 0 END + CASE WHEN w.has_value THEN 0.03 ELSE 0 END AS bonus
+  FROM sl s JOIN wi w ON s.page = w.page),
+c AS (SELECT page, i, j, slot, widget, tight AND compat IS NOT NULL AS tight, CAST(CASE WHEN compat IS NULL THEN 9 WHEN tight THEN 0.1 * (d + 0.35 * sz) + compat - bonus ELSE 0.01 + d + 0.35 * sz + compat - bonus END AS DOUBLE) AS cost FROM p),
+n AS (SELECT page, least(max(i), max(j)) + 1 AS k FROM c GROUP BY page),
+d0 AS (SELECT page, 0 AS mask, CAST(0 AS DOUBLE) AS total, CAST([] AS BIGINT[]) AS path FROM n),{steps}
+best AS (SELECT d.page, arg_min(path, total) AS path FROM d{MOST_LINES} d JOIN n ON n.page = d.page AND bit_count(mask) = n.k GROUP BY d.page),
+chosen AS (SELECT page, unnest(path) AS ij FROM best)
+SELECT c.page, c.slot, c.widget, c.tight FROM chosen h JOIN c ON c.page = h.page AND c.i = h.ij // 64 AND c.j = h.ij % 64 WHERE c.cost <= 0.075"""
+
+
+_NAMED_BOX = "page, id, ftype, l_returnflag AS name, l_partkey > l_suppkey * 10 AS has_value, x0, y0, x1, y1 FROM b WHERE l_linestatus"
+
+
+@query("widget_matches", "J16", f"WITH {_BOX_SQL}," + _cheapest_sql(f"SELECT {_NAMED_BOX} = 'O'", f"SELECT {_NAMED_BOX} = 'F'"))
 def widget_matches(spark, sf):
-    return M.match_widgets(*boxes(spark, sf), 0.02, 0.02).select("page", "slot", "widget", "tight")
+    return assign_widgets(*boxes(spark, sf), 0.02, 0.02).select("page", "slot", "widget", "tight")
+
+
+# Boxes of a page that stand close together, and fields each a little beside its box, of which some are missing on either side.
+_CLOSE = """SELECT l_orderkey AS page, concat_ws('.', l_linenumber, l_partkey, l_suppkey) AS id, CASE l_returnflag WHEN 'R' THEN 'Signature' WHEN 'A' THEN 'Text' ELSE 'CheckBox' END AS ftype,
+  l_returnflag AS name, l_partkey % 3 = 0 AS has_value, l_suppkey, l_partkey, CAST(l_quantity % 4 / 50 + l_partkey % 97 / 20000e0 AS DOUBLE) AS x0, CAST(l_discount / 5 + l_suppkey % 89 / 20000e0 AS DOUBLE) AS y0,
+  CAST(l_partkey % 37 / 900e0 - 2e-2 AS DOUBLE) AS dx, CAST(l_suppkey % 31 / 900e0 - 17e-3 AS DOUBLE) AS dy, CAST(5e-2 + l_tax / 9 AS DOUBLE) AS wide FROM lineitem"""
+_CLOSE_SLOTS = f"SELECT page, id, ftype, name, false AS has_value, x0, y0, x0 + 6e-2 AS x1, y0 + 2e-2 AS y1 FROM ({_CLOSE}) WHERE l_suppkey % 11 <> 0"
+_CLOSE_WIDGETS = f"""SELECT page, id, CASE WHEN l_partkey % 5 = 0 THEN 'Text' ELSE ftype END AS ftype, CASE WHEN l_suppkey % 4 = 0 THEN 'other' ELSE name END AS name, has_value,
+  x0 + dx AS x0, y0 + dy AS y0, x0 + dx + wide AS x1, y0 + dy + 2e-2 AS y1 FROM ({_CLOSE}) WHERE l_suppkey % 7 <> 0"""
+
+
+@query("widget_contention", "J16", "WITH" + _cheapest_sql(_CLOSE_SLOTS, _CLOSE_WIDGETS))
+def widget_contention(spark, sf):
+    """Fields that several boxes would take, and boxes that several fields would fit."""
+    lines = table(spark, sf, "lineitem")
+    slots, widgets = (spark.sql(q.replace("FROM lineitem", "FROM {lines}"), lines=lines).withColumnRenamed("id", c) for q, c in ((_CLOSE_SLOTS, "slot"), (_CLOSE_WIDGETS, "widget")))
+    return assign_widgets(slots, widgets, 0.02, 0.02).select("page", "slot", "widget", "tight")
 
 
 def words_and_boxes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

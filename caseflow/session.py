@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,6 +37,19 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors import this package; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        top = os.path.dirname(os.path.abspath(__file__))
+        where = os.path.join(tempfile.mkdtemp(prefix="spark-"), os.path.basename(top))
+        sc.addPyFile(shutil.make_archive(where, "zip", os.path.dirname(top), os.path.basename(top)))
+        _shipped.add(sc.applicationId)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application. Call it when their results have been consumed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))

@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generat
 FAST = [
     "balances", "balances_before_cutoff", "oldest_first_allocation", "settlement_log", "overview_kpis", "month_histogram",
     "facet_counts", "party_index", "packet_index", "output_rows", "step_transitions", "catalog_diff", "patched_catalog",
-    "collision_names", "near_duplicate_names", "widget_matches", "word_boxes", "words_minus_printed", "parsed_dates",
+    "collision_names", "near_duplicate_names", "widget_matches", "widget_contention", "word_boxes", "words_minus_printed", "parsed_dates",
     "parsed_filenames", "review_issues", "roster", "announcements_batch", "daily_counts_stream", "tsv_export", "document_candidates",
 ]
 

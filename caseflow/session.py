@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import tempfile
@@ -29,8 +30,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_scopes: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return "/".join([_own_folder(spark), *_scopes, f"{label}-{uuid.uuid4().hex}"])
+
+
+@contextlib.contextmanager
+def scratch_scope(label: str):
+    """Intermediate tables named within go to a folder of their own, so that they can be deleted together; yields its name."""
+    _scopes.append(f"{label}-{uuid.uuid4().hex}")
+    try:
+        yield "/".join(_scopes)
+    finally:
+        _scopes.pop()
+
+
+def drop_scratch(spark: SparkSession, name: str) -> None:
+    """Delete a table (its path) or a scope (its name) that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name if name.startswith(_own_folder(spark)) else f"{_own_folder(spark)}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _own_folder(spark: SparkSession) -> str:

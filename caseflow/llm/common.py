@@ -4,31 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import os
-import shutil
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, drop_scratch, scratch_path, ship
 
-__all__ = ["read", "cut_lineage", "scratch_path", "ship", "map_batches", "held_out", "components"]
+__all__ = ["read", "cut_lineage", "kept", "drop", "scratch_path", "ship", "map_batches", "held_out", "components"]
 
 
-_shipped: set[str] = set()
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Like cut_lineage, but the table can be dropped when nothing reads it any more."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def ship(spark: SparkSession) -> None:
-    """Let the executors import this package; once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        where = os.path.join(tempfile.mkdtemp(prefix="spark-"), os.path.basename(top))
-        sc.addPyFile(shutil.make_archive(where, "zip", os.path.dirname(top), os.path.basename(top)))
-        _shipped.add(sc.applicationId)
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables of kept(). All that was derived from them must be written by now."""
+    for t in tables:
+        if t is not None:
+            drop_scratch(t.sparkSession, t.scratch)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +62,7 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 20
     hub of any degree is an aggregate and not a list. Ends when nothing changes; a bound on rounds raises instead of giving
     unfinished labels.
     """
-    cur = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
+    cur = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     last = None
     for _ in range(max_rounds):
         state = cur.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("bigint")).alias("h"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s")).first()
@@ -78,7 +77,8 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 20
         # small star: smaller neighbours and the node itself go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        cur = cut_lineage(small.where("u <> v").distinct().coalesce(tasks), label)
+        before, cur = cur, kept(small.where("u <> v").distinct().coalesce(tasks), label)
+        drop(before)
     raise RuntimeError(f"{label}: not stable after {max_rounds} rounds")
 
 

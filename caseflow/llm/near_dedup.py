@@ -5,8 +5,9 @@ many hash evaluations give the same number of values. Bands of eight values are
 similarity 0.8 is missed with probability (1 - 0.8^8)^80 < 5e-7, and one at 0.3 met with 0.006. Documents with equal sets are one class; only classes are banded.
 
 Candidates are confirmed on full sets, but never as all pairs of a crowded bucket. In rounds, each class outside the largest
-component of a bucket is compared with a few members of that component; confirmed links join components, and buckets of one
-component are done. Once rounds bring few joins more, the pairs of different components that are left in a bucket are all compared. So every
+component of a bucket is compared with a few members of that component, those first that share most bands with others: an original
+agrees with its copies more than edited copies agree with each other, so it is met before them. Confirmed links join components, and
+buckets of one component are done. Once rounds bring few joins more, the pairs of different components that are left in a bucket are all compared. So every
 candidate pair ends up compared or within one component.
 
 Defined results: a null, empty or wordless text has an empty set and is linked with nothing; equal sets always link; repeated
@@ -16,6 +17,8 @@ is kept: one of the smallest id, among several of that id by the digest of the s
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .common import components, cut_lineage, map_batches
+from .common import components, cut_lineage, drop, kept, map_batches
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 80, 8
@@ -148,55 +151,65 @@ def decide(docs: DataFrame) -> DataFrame:
     return linked.union(alone)
 
 
-def _components(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, root) of the classes that are linked with others."""
+def _components(docs: DataFrame, classes: DataFrame, compared: list[int] | None = None) -> DataFrame:
+    """(node, root) of the classes that are linked with others. `compared` gets the number of pairs of each round."""
     keys = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).select("node", "n_shingles", F.xxhash64("band", "key").alias("key"))
-    crowded = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-crowded")
+    crowded = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "near-crowded")
     crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
-    keys = cut_lineage(keys.join(crowded, "key"), "near-keys")
-    if keys.isEmpty():
+    shared = kept(keys.join(crowded, "key"), "near-shared")
+    if shared.isEmpty():
         return classes.select("node", F.col("node").alias("root")).limit(0)
+    # how many (class, band) pairs a class meets in its buckets
+    met = shared.groupBy("node").agg(F.sum("c").alias("met"))
+    keys = table = kept(shared.join(met, "node").select("node", "n_shingles", "key", "met"), "near-keys")
+    drop(shared)
     sets = _texts_of(docs, classes.join(keys.select("node").distinct(), "node", "left_semi"))
     few = PAIRS_PER_CLASS * classes.count()
-    links = label = tried = before = None
+    links: list[DataFrame] = []
+    tried: list[DataFrame] = []
+    label = before = None
     for r in range(1000):
         root = F.col("node") if label is None else F.coalesce("root", "node")
-        cur = cut_lineage((keys if label is None else keys.join(label, "node", "left")).select("node", "n_shingles", "key", root.alias("root")), "near-open")
-        # the components of each bucket, its largest one, and a member of that for this round
-        pick = F.min(F.struct(F.xxhash64("node", F.lit(r), *([] if r == 0 else ["key"])).alias("h"), F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"))).alias("pick")
-        part = cur.groupBy("key", "root").agg(F.count("*").alias("c"), pick)
-        major = F.max(F.struct("c", F.xxhash64("root", F.lit(r)).alias("h"), "root", "pick")).alias("major")
+        cur = kept((keys if label is None else keys.join(label, "node", "left")).select("node", "n_shingles", "key", "met", root.alias("root")), "near-open")
+        drop(table)  # what it read is superseded
+        # the components of each bucket, its largest one, and the member of that for this round: of most meetings, ever more coarsely
+        by = F.struct((-F.shiftright("met", min(r, 62))).alias("met"), F.xxhash64("node", F.lit(r), *([] if r == 0 else ["key"])).alias("h"), F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"))
+        part = cur.groupBy("key", "root").agg(F.count("*").alias("c"), F.min(by).alias("pick"))
+        major = F.max(F.struct("c", (-F.col("pick.met")).alias("met"), F.xxhash64("root", F.lit(r)).alias("h"), "root", "pick")).alias("major")
         bucket = part.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), major).where("k > 1")
-        bucket = cut_lineage(bucket.select("key", "n", "sq", F.col("major.root").alias("major"), "major.pick.hub", "major.pick.hub_n"), "near-buckets")
+        bucket = kept(bucket.select("key", "n", "sq", F.col("major.root").alias("major"), "major.pick.hub", "major.pick.hub_n"), "near-buckets")
         left = int(bucket.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0] or 0)
         if not left:
+            drop(cur, bucket)
             break
-        mixed = cut_lineage(cur.join(bucket.select("key", "major", "hub", "hub_n"), "key"), "near-mixed")
-        keys = mixed.select("node", "n_shingles", "key")  # a bucket of one component stays one
-        outside = mixed.where("root <> major")
+        table = kept(cur.join(bucket.select("key", "major", "hub", "hub_n"), "key"), "near-mixed")
+        drop(cur, bucket)
+        keys = table.select("node", "n_shingles", "key", "met")  # a bucket of one component stays one
+        outside = table.where("root <> major")
         last = left <= few or (r > 1 and left > 0.5 * before)
         before = left
         if last:  # every pair of a bucket that lies in two components has one side outside the bucket's largest
             x = outside.select("key", F.col("node").alias("x"), F.col("root").alias("xr"), F.col("n_shingles").alias("xn"))
-            y = mixed.select("key", F.col("node").alias("y"), F.col("root").alias("yr"), F.col("n_shingles").alias("yn"))
-            met = x.join(y, "key").where((F.col("xr") != F.col("yr")) & _size_bound("xn", "yn"))
-            new = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            y = table.select("key", F.col("node").alias("y"), F.col("root").alias("yr"), F.col("n_shingles").alias("yn"))
+            pairs = x.join(y, "key").where((F.col("xr") != F.col("yr")) & _size_bound("xn", "yn"))
+            new = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         else:
             near_hub = outside.where(_size_bound("n_shingles", "hub_n")).select("node", "hub").distinct()
             nth = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("hub", F.lit(r)), "hub"))  # a node is in BANDS buckets at most
             chosen = near_hub.withColumn("nth", nth).where(F.col("nth") <= (1 if r == 0 else HUBS))
             new = chosen.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if tried is not None:
-            new = new.join(tried, ["a", "b"], "left_anti")
-        new = cut_lineage(new, "near-pairs")
-        good = _confirmed(new, sets)
-        tried = new if tried is None else cut_lineage(tried.union(new), "near-tried")
-        links = good if links is None else cut_lineage(links.union(good), "near-links")
-        label = components(links, "near-components")
+        for t in tried:
+            new = new.join(t, ["a", "b"], "left_anti")
+        tried.append(kept(new, "near-pairs"))
+        if compared is not None:
+            compared.append(tried[-1].count())
+        links.append(_confirmed(tried[-1], sets))
+        label = components(reduce(DataFrame.union, links), "near-components")
         if last:
             break
     else:
         raise RuntimeError("hub rounds did not end")
+    drop(*tried)
     return label if label is not None else classes.select("node", F.col("node").alias("root")).limit(0)
 
 

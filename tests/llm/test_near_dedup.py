@@ -81,6 +81,25 @@ def test_groups_with_hubs(spark, monkeypatch, per_class):
     assert run(spark, docs) == brute(docs)
 
 
+def test_few_pairs_for_edits_of_one_original(spark):
+    """2,000 copies, edited apart: most are under 0.8 of each other and over 0.8 of the original."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(100)]
+    docs = [(0, " ".join(base))] + [(i, edited(rng, base, 2)) for i in range(1, 2001)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    compared = []
+    components_of = N._components
+    N._components = lambda d, c: components_of(d, c, compared)
+    try:
+        got = {r.doc_id: r.component_id for r in N.near_duplicates(df).collect()}
+    finally:
+        N._components = components_of
+    sets = word_sets(docs)
+    near = {i for i in range(2001) if 100 * len(sets[0] & sets[i]) >= 80 * len(sets[0] | sets[i])}
+    assert {i for i, c in got.items() if c == 0} >= near and len(near) > 1900
+    assert sum(compared) <= 10 * len(docs), compared
+
+
 def test_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

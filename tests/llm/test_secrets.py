@@ -64,3 +64,39 @@ def test_ledger_scans_only_new_pairs(spark, tmp_path):
     assert book() == 6
     S.scan(spark, more, ledger, {"base": S.BASE[:1], "added": S.ADDED}).collect()
     assert book() == 9
+
+
+def test_each_unseen_pair_is_scanned_once(spark, tmp_path):
+    """Calls of the scanner, noted in files, since tasks make them."""
+    import os
+    import uuid
+
+    def noting(folder):
+        def search(text, rules):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{text}|{len(rules)}")
+            return S.matches(text, rules)
+
+        return search
+
+    def calls(rows, name, rules=None):
+        folder = tmp_path / name
+        folder.mkdir()
+        df = spark.createDataFrame(rows, "path long, text string").repartition(8)
+        out = S.scan(spark, df, f"file://{tmp_path}/book", rules, noting(str(folder))).collect()
+        assert sorted((r.path, len(r.base)) for r in out) == sorted((p, len(S.matches(t or "", (rules or S.RULES)["base"]))) for p, t in rows)
+        return sorted(open(folder / f).read() for f in os.listdir(folder))
+
+    same = [(i, "token=abcdefgh") for i in range(4000)]
+    assert len(calls(same, "one")) == 2
+    assert calls(same, "two") == []
+    more = [*same, (1, "new"), (2, "new"), (3, "alone"), (4, None), (5, "")]
+    assert calls(more, "three") == sorted(f"{t}|3" for t in ("new", "alone", "") for _ in range(2))
+    later = {"base": S.BASE, "added": S.ADDED[:1]}  # one version is known, the other is not
+    assert calls(more, "four", later) == sorted(f"{t}|1" for t in ("new", "alone", "", "token=abcdefgh"))
+
+
+def test_only_ascii_letters_are_folded():
+    assert S.matches("to\u212aen = abcdefgh1", S.BASE) == [] and S.matches("\u017fecret = abcdefgh1", S.BASE) == []
+    assert S.matches("token to\u212aen = abcdefgh1 \u017fecret = abcdefgh1", S.BASE) == []
+    assert S.matches("ToKeN = abcdefgh1", S.BASE) == [("assign", 0, 17)]

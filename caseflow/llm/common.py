@@ -35,11 +35,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
-    """Apply fn to Arrow batches of df; None adds nothing."""
+    """Apply fn to Arrow batches of df; None adds nothing. Columns may have any name."""
+    names = df.columns
+    if any("." in n or "`" in n for n in names):  # mapInArrow would take a dot for a field
+        df = df.toDF(*(f"c{i}" for i in range(len(names))))
+
     def run(batches):
         for b in batches:
             if b.num_rows:
-                out = fn(b)
+                out = fn(b.rename_columns(names))
                 if out is not None:
                     yield out
 

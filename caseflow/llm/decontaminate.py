@@ -209,7 +209,7 @@ def cut(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
         cur = map_batches(cur, _cutter(files), docs.schema)
     if files and "n_chars" in order:
         cur = cur.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return cur.select(order)
+    return cur.select(["`" + c.replace("`", "``") + "`" for c in order])
 
 
 def _cutter(files: list[str]):

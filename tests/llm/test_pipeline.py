@@ -90,6 +90,31 @@ def test_empty_and_odd_tables(spark, stage):
     assert stage(spark, docs, SF).count() > 0
 
 
+@pytest.mark.parametrize("stage", [stages.toxic, stages.exact, stages.near, stages.decontaminated, stages.packed])
+def test_columns_of_any_name_and_type(spark, stage):
+    extra = {"id": 1, "sha": "x", "n_shingles": 2, "s1": 3, "s2": 4, "kept": "k", "row": "r", "n": 5, "any": 6, "root": 7, "_id": 8, "a.b": 9}
+    docs = spark.createDataFrame([(d, t, "en", *extra.values()) for d, t in ROWS], ["doc_id", "text", "lang", *extra])
+    docs = docs.withColumn("tags", F.create_map(F.lit("k"), F.lit("v"))).withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    assert rows
+    if stage is not stages.packed:
+        assert out.columns == docs.columns and {r["a.b"] for r in rows} == {9} and {str(r.tags) for r in rows} == {"{'k': 'v'}"}
+
+
+def test_a_stage_deletes_what_earlier_ones_left(spark, tmp_path):
+    work = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + f"/scratch-{spark.sparkContext.applicationId}"
+    docs = spark.createDataFrame([(d, t) for d, t in ROWS], "doc_id long, text string").repartition(3)
+    first = stages.exact(spark, docs, SF)
+    before = {x for x in os.listdir(work) if x.startswith("stage-exact")}
+    assert before
+    second = stages.near(spark, first, SF)  # reads the first one's tables still
+    assert before <= set(os.listdir(work)) and second.count() > 0
+    second.write.parquet(f"file://{tmp_path}/out")
+    stages.packed(spark, spark.read.parquet(f"file://{tmp_path}/out"), SF).count()
+    assert {x for x in os.listdir(work) if x.startswith("stage-")} == {x for x in os.listdir(work) if x.startswith("stage-packed")}
+
+
 def test_entry_registers_the_operators_and_the_pipeline():
     names = importlib.import_module("__spark_entry__").queries()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))

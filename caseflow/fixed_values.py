@@ -114,6 +114,11 @@ CONTENT_WEIGHTS = [
     ("recipient_name", 3.0), ("narrative", 3.0), ("reason", 2.0), ("date", 2.0),
     ("issuer", 1.5), ("counselee_name", 1.0), ("squadron", 0.5), ("class_year", 0.5),
 ]
+CONTENT_WORDS = {
+    "recipient_name": "recipient", "narrative": "narrative", "reason": "reason", "date": "date",
+    "issuer": "issuer", "counselee_name": "counselee", "squadron": "squadron", "class_year": "class year",
+}
+SAME_NAME_FROM, SIMILAR_NAME_FROM, SAME_FIELD_FROM, DIFFERENT_FIELD_BELOW = 0.999, 0.6, 0.9, 0.5
 FILENAME_SHARE = 0.45
 CONTENT_SHARE = 0.55
 FILENAME_ONLY_SHARE = 0.9

@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -17,7 +18,7 @@ from ..functions import (
 )
 from ..functions.names import readings
 from ..session import cut_lineage
-from .scale import keep_first, row_numbers, spread
+from .scale import is_true, keep_first, row_numbers, spread
 
 SEP = "\x01"
 
@@ -362,18 +363,30 @@ def document_candidates(
     min_score: float = V.CANDIDATE_MIN, top: int = V.CANDIDATE_TOP, sent: DataFrame | None = None,
     not_self: bool = False,
 ) -> DataFrame:
-    """The best catalog cases per pulled item (item_id, case_id, score, rank, why).
+    """The best catalog cases per pulled item (item_id, case_id, filename, score, identical, why, rank).
 
     items and catalog: id, fname (file name key), filename, sha1, form_type, and one normalised text column per
-    field. Identical content scores 1. Otherwise only pairs with some indexed part similar enough are scored:
+    field. Cases that are missing, archived or not analysed (columns `missing`, `archived`, `analysed`, where there are) are never
+    candidates, and items of kind `new` have none. `why` lists the reasons in words. Identical content scores 1. Otherwise only pairs with some indexed part similar enough are scored:
     `candidate_threshold` shows that no other pair can reach min_score, so nothing is lost. Choose selective
-    fields to index; the fewer, the higher min_score has to be. `sent`: case_id, item_id the copy was sent for.
+    fields to index; the fewer, the higher min_score has to be. `sent`: case_id, step it was sent for; it counts for items of kind
+    `returned` and the same step (columns kind, step).
     """
     indexed = list(fields) if indexed is None else indexed
     bonus = V.SENT_BONUS if sent is not None else 0.0
     if candidate_threshold(fields, indexed, min_score, bonus) <= 0:
         raise ValueError("index more fields or raise min_score: a pair could qualify on the other fields alone")
     parts = ("fname", *fields)
+    for c in ("missing", "archived"):
+        if c in catalog.columns:
+            catalog = catalog.where(~is_true(F.col(c)))
+    if "analysed" in catalog.columns:
+        catalog = catalog.where(F.coalesce("analysed", F.lit(True)))
+    if "kind" in items.columns:
+        items = items.where(~F.col("kind").eqNullSafe("new"))
+    back = None
+    if sent is not None:  # the items that come back for the step a case was sent for
+        back = items.where("kind = 'returned'").select(F.col("id").alias("b_id"), F.col("step").alias("b_step"))
 
     def side(df: DataFrame, p: str) -> DataFrame:
         """One side with the numbered bigrams of every part, written once."""
@@ -386,10 +399,12 @@ def document_candidates(
     # An item with `top` candidates of a floor or more needs no lower ones: only the others go on to the next floor.
     out, rest = None, it
     for floor in [*(f for f in FLOORS if f > min_score), min_score]:
-        found = cut_lineage(_candidates(rest, ct, fields, indexed, floor, bonus, sent, not_self), "candidates")
+        found = cut_lineage(_candidates(rest, ct, fields, indexed, floor, sent, back, not_self), "candidates")
         best = keep_first(found, ["item_id"], [F.desc("score"), F.col("filename"), F.col("case_id")], top)
         if floor == min_score:
-            return best if out is None else out.unionByName(best)
+            best = best if out is None else out.unionByName(best)
+            by = W.partitionBy("item_id").orderBy(F.desc("score"), "filename", "case_id")  # `top` rows of an item at most
+            return best.withColumn("rank", F.row_number().over(by))
         above = found.where(F.col("score") >= floor + 0.009)  # scores are rounded to hundredths: below the floor none is so high
         full = cut_lineage(above.groupBy("item_id").agg(F.count("*").alias("n")).where(F.col("n") >= top).select(F.col("item_id").alias("i_id")), "candidates")
         done = best.join(full, F.col("item_id") == F.col("i_id"), "left_semi")
@@ -401,9 +416,9 @@ def document_candidates(
 FLOORS = (0.5,)
 
 
-def _candidates(it, ct, fields, indexed, floor, bonus, sent, not_self) -> DataFrame:
+def _candidates(it, ct, fields, indexed, floor, sent, back, not_self) -> DataFrame:
     """All pairs that score `floor` or more."""
-    t = candidate_threshold(fields, indexed, floor, bonus)
+    t = candidate_threshold(fields, indexed, floor, V.SENT_BONUS if sent is not None else 0.0)
     met = None
     for f in ["fname", *indexed]:
         vals = it.select(F.col(f"i_{f}").alias("v"), F.lit(True).alias("i"), F.lit(False).alias("c")).unionByName(
@@ -418,38 +433,59 @@ def _candidates(it, ct, fields, indexed, floor, bonus, sent, not_self) -> DataFr
     if not_self:
         pairs = pairs.where(F.col("i_id") != F.col("c_id"))
     rows = pairs.distinct().join(it, "i_id").join(ct, "c_id")
-    scored = rows.withColumn("__raw", _score(fields))
+    of = lambda f: set_dice(*(F.col(f"{p}_{f}{g}") for g in ("", "_g") for p in ("i", "c")))
+    scored = rows.withColumn("__d", F.struct(*[of(f).alias(f) for f in ("fname", *fields)]))
     if sent is not None:
-        was = sent.select(F.col("item_id").alias("i_id"), F.col("case_id").alias("c_id"), F.lit(True).alias("__sent"))
-        scored = scored.join(was.distinct(), ["i_id", "c_id"], "left").withColumn(
-            "__raw", F.when(F.col("i_sha1") == F.col("c_sha1"), F.col("__raw"))
-            .when(F.col("__sent"), F.least(F.lit(1.0), F.col("__raw") + V.SENT_BONUS)).otherwise(F.col("__raw"))
-        )
-    return scored.where(F.col("__raw") >= floor).select(
+        was = sent.select(F.col("case_id").alias("c_id"), F.col("step").alias("s_step")).join(back, F.col("s_step") == F.col("b_step"))
+        was = was.select(F.col("b_id").alias("i_id"), "c_id", F.col("s_step").alias("__sent")).distinct()
+        scored = scored.join(was, ["i_id", "c_id"], "left")
+    else:
+        scored = scored.withColumn("__sent", F.lit(None).cast("string"))
+    identical = F.coalesce(F.col("i_sha1") == F.col("c_sha1"), F.lit(False))
+    raw = _score(fields, F.col("__d"))
+    raw = F.when(identical, 1.0).otherwise(F.when(F.col("__sent").isNotNull(), F.least(F.lit(1.0), raw + V.SENT_BONUS)).otherwise(raw))
+    return scored.withColumn("__raw", raw).where(F.col("__raw") >= floor).select(
         F.col("i_id").alias("item_id"), F.col("c_id").alias("case_id"), F.col("c_filename").alias("filename"),
-        (F.floor(F.col("__raw") * 100 + 0.5) / 100).alias("score"), F.col("i_sha1") == F.col("c_sha1"),
-    ).toDF("item_id", "case_id", "filename", "score", "identical")
-
-
-def _score(fields: dict[str, float]) -> Column:
-    def combine(d: Column) -> Column:
-        total, got = F.lit(0.0), F.lit(0.0)
-        for f, w in fields.items():
-            both = (F.col(f"i_{f}") != "") & (F.col(f"c_{f}") != "")
-            total = total + F.when(both, w).otherwise(0.0)
-            got = got + F.when(both, d[f] * w).otherwise(0.0)
-        base = F.when(total < V.MIN_CONTENT_WEIGHT, d["fname"] * V.FILENAME_ONLY_SHARE).otherwise(
-            V.FILENAME_SHARE * d["fname"] + V.CONTENT_SHARE * got / total
-        )
-        differs = (F.coalesce("i_form_type", F.lit("")) != "") & (F.coalesce("c_form_type", F.lit("")) != "") & (
-            F.col("i_form_type") != F.col("c_form_type")
-        )
-        return F.when(F.col("i_sha1") == F.col("c_sha1"), 1.0).otherwise(
-            base * F.when(differs, V.TYPE_MISMATCH_FACTOR).otherwise(1.0)
-        )
+        (F.floor(F.col("__raw") * 100 + 0.5) / 100).alias("score"), identical.alias("identical"), _reasons(fields, F.col("__d"), identical).alias("why"),
+    )
 
-    of = lambda f: set_dice(*(F.col(f"{p}_{f}{g}") for g in ("", "_g") for p in ("i", "c")))
-    return let(F.struct(*[of(f).alias(f) for f in ("fname", *fields)]), combine)
+
+def _both(f: str) -> Column:
+    return (F.col(f"i_{f}") != "") & (F.col(f"c_{f}") != "")
+
+
+def _content(fields: dict[str, float]) -> Column:
+    """Weight of the fields that both sides have."""
+    return sum((F.when(_both(f), w).otherwise(0.0) for f, w in fields.items()), F.lit(0.0))
+
+
+def _types_differ() -> Column:
+    i, c = F.coalesce("i_form_type", F.lit("")), F.coalesce("c_form_type", F.lit(""))
+    return (i != "") & (c != "") & (i != c)
+
+
+def _reasons(fields: dict[str, float], d: Column, identical: Column) -> Column:
+    """The reasons for a score in words: file name, fields that agree, fields of weight that don't, type, step."""
+    listed = lambda lead, cond: F.when(
+        (_content(fields) >= V.MIN_CONTENT_WEIGHT) & (F.size(F.array_compact(F.array(*[F.when(_both(f) & cond(f, w), V.CONTENT_WORDS[f]) for f, w in fields.items()]))) > 0),
+        F.concat(F.lit(lead), F.concat_ws(", ", *[F.when(_both(f) & cond(f, w), V.CONTENT_WORDS[f]) for f, w in fields.items()])),
+    )
+    steps = F.create_map(*[F.lit(x) for kv in V.STEP_LABELS.items() for x in kv])
+    reasons = F.array_compact(F.array(
+        F.when(d["fname"] >= V.SAME_NAME_FROM, "same file name").when(d["fname"] >= V.SIMILAR_NAME_FROM, "similar file name"),
+        listed("same ", lambda f, w: d[f] >= V.SAME_FIELD_FROM),
+        listed("different ", lambda f, w: (d[f] < V.DIFFERENT_FIELD_BELOW) & F.lit(w >= V.MIN_CONTENT_WEIGHT)),
+        F.when(_types_differ(), F.when(F.col("i_form_type") == "F10", "it's an F10").otherwise("it's an F174")),
+        F.concat(F.lit("was sent for "), F.coalesce(F.try_element_at(steps, F.col("__sent")), F.col("__sent"))),
+    ))
+    return F.when(identical, F.array(F.lit("identical to the copy on file"))).otherwise(reasons)
+
+
+def _score(fields: dict[str, float], d: Column) -> Column:
+    got = sum((F.when(_both(f), d[f] * w).otherwise(0.0) for f, w in fields.items()), F.lit(0.0))
+    total = _content(fields)
+    base = F.when(total < V.MIN_CONTENT_WEIGHT, d["fname"] * V.FILENAME_ONLY_SHARE).otherwise(V.FILENAME_SHARE * d["fname"] + V.CONTENT_SHARE * got / total)
+    return base * F.when(_types_differ(), V.TYPE_MISMATCH_FACTOR).otherwise(1.0)
 
 
 def suggest(items: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -149,6 +149,7 @@ def _two_sided(pairs, ca, cb, na, nb):
 FIELDS = {"recipient_name": 3.0, "reason": 2.0, "class_year": 0.5}
 INDEXED = ["recipient_name", "reason"]
 MIN_SCORE = 0.3
+_KIND = "CASE WHEN url LIKE '%page=2%' THEN 'new' WHEN page_id % 5 < 2 THEN 'returned' ELSE 'found' END"
 _PATH = "regexp_replace(regexp_extract(url, '//[^/]+/([^?#]*)', 1), '/', ' ')"
 
 
@@ -165,8 +166,13 @@ def page_catalog(spark: SparkSession, sf: str, returned: bool) -> DataFrame:
                          "if(lang = 'fr', 'F174', 'F10') AS form_type")
     else:
         p = p.selectExpr("*", "concat(title, '_', path, '.pdf') AS filename", "'F10' AS form_type")
-    return p.select(F.col("page_id").alias("id"), "filename", F.col("hash").alias("sha1"), "form_type", filename_key("filename").alias("fname"),
-                    norm_text("title").alias("recipient_name"), norm_text("path").alias("reason"), F.col("lang").alias("class_year"))
+    shared = ["filename", F.col("hash").alias("sha1"), "form_type", filename_key("filename").alias("fname"),
+              norm_text("title").alias("recipient_name"), norm_text("path").alias("reason"), F.col("lang").alias("class_year")]
+    if returned:
+        own = [F.expr(_KIND).alias("kind")]
+    else:
+        own = [F.expr("url LIKE '%.html'").alias("missing"), F.expr("url LIKE '%#top'").alias("archived"), F.expr("length(title) > 3").alias("analysed")]
+    return p.select(F.col("page_id").alias("id"), *shared, *own)
 
 
 def _dice_sql(field: str) -> str:
@@ -190,20 +196,28 @@ _ITEMS = f"""raw AS (SELECT page_id, url, regexp_extract(html, 'lang="([a-z]+)"'
     replace(regexp_extract(url, '//[^/]+/([^?#]*)', 1), '/', ' ') AS path, sha1(html) AS hash FROM pages),
 back AS (SELECT page_id, url, lang, substr(title, 1, 6) || substr(title, 8) AS title, path, CASE WHEN url LIKE 'https%' THEN hash ELSE sha1(url) END AS hash FROM raw),
 it AS (SELECT page_id AS id, 'Signed ' || title || '_' || path || ' (2).pdf' AS filename, hash AS sha1, CASE WHEN lang = 'fr' THEN 'F174' ELSE 'F10' END AS form_type,
-    {_key_of("('Signed ' || title || '_' || path || ' (2).pdf')")} AS fname, {_norm_sql('title')} AS recipient_name, {_norm_sql('path')} AS reason, lang AS class_year FROM back),
+    {_key_of("('Signed ' || title || '_' || path || ' (2).pdf')")} AS fname, {_norm_sql('title')} AS recipient_name, {_norm_sql('path')} AS reason, lang AS class_year, {_KIND} AS kind FROM back),
 ct AS (SELECT page_id AS id, title || '_' || path || '.pdf' AS filename, hash AS sha1, 'F10' AS form_type,
-    {_key_of("(title || '_' || path || '.pdf')")} AS fname, {_norm_sql('title')} AS recipient_name, {_norm_sql('path')} AS reason, lang AS class_year FROM raw)"""
+    {_key_of("(title || '_' || path || '.pdf')")} AS fname, {_norm_sql('title')} AS recipient_name, {_norm_sql('path')} AS reason, lang AS class_year
+    FROM raw WHERE NOT (url LIKE '%.html' OR url LIKE '%#top') AND length(title) > 3)"""
 _GRAM_CTE = lambda name, src, f: f",\n{name} AS (SELECT id, substr({f}, i, 2) AS g, count(*) AS n FROM (SELECT id, {f}, unnest(range(1, length({f}))) AS i FROM {src}) GROUP BY ALL)"
 _CAND = "WITH " + _ITEMS + "".join(
     _GRAM_CTE(f"gi_{f}", "it", f) + _GRAM_CTE(f"gc_{f}", "ct", f) + f",\nd_{f} AS ({_dice_sql(f)})" for f in ("fname", *FIELDS)
 ) + f""",
-s AS (SELECT x.id AS i, y.id AS c, y.filename, x.sha1 = y.sha1 AS identical, f.d AS fn, r.d AS rn, o.d AS rs, l.d AS yr,
+s AS (SELECT x.id AS i, y.id AS c, y.filename, x.sha1 = y.sha1 AS identical, f.d AS fn, r.d AS rn, o.d AS rs, l.d AS yr, x.form_type AS itype,
   3.0 * (x.recipient_name <> '' AND y.recipient_name <> '')::INT AS w1, 2.0 * (x.reason <> '' AND y.reason <> '')::INT AS w2,
   0.5 * (x.class_year <> '' AND y.class_year <> '')::INT AS w3, CASE WHEN x.form_type <> y.form_type THEN 0.4 ELSE 1 END AS factor
-  FROM d_fname f JOIN d_recipient_name r USING (i, c) JOIN d_reason o USING (i, c) JOIN d_class_year l USING (i, c) JOIN it x ON x.id = f.i JOIN ct y ON y.id = f.c),
-t AS (SELECT *, CASE WHEN identical THEN 1 ELSE factor * CASE WHEN w1 + w2 + w3 < 2 THEN 0.9 * fn ELSE 0.45 * fn + 0.55 * (w1 * rn + w2 * rs + w3 * yr) / (w1 + w2 + w3) END END AS raw FROM s),
-cand AS (SELECT i AS item_id, c AS case_id, filename, CAST(floor(CAST(raw AS DOUBLE) * 100 + 0.5) / 100 AS DOUBLE) AS score, identical FROM t WHERE CAST(raw AS DOUBLE) >= {MIN_SCORE}),
-top AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, filename, case_id) <= 6)
+  FROM d_fname f JOIN d_recipient_name r USING (i, c) JOIN d_reason o USING (i, c) JOIN d_class_year l USING (i, c) JOIN it x ON x.id = f.i JOIN ct y ON y.id = f.c WHERE x.kind <> 'new'),
+u AS (SELECT *, CAST(factor * CASE WHEN w1 + w2 + w3 < 2 THEN 0.9 * fn ELSE 0.45 * fn + 0.55 * (w1 * rn + w2 * rs + w3 * yr) / (w1 + w2 + w3) END AS DOUBLE) AS base FROM s),
+t AS (SELECT *, CASE WHEN identical THEN 1 ELSE base END AS raw FROM u),
+cand AS (SELECT i AS item_id, c AS case_id, filename, CAST(floor(CAST(raw AS DOUBLE) * 100 + 0.5) / 100 AS DOUBLE) AS score, identical,
+  CASE WHEN identical THEN 'identical to the copy on file' ELSE concat_ws('; ', CASE WHEN fn >= 0.999 THEN 'same file name' WHEN fn >= 0.6 THEN 'similar file name' END,
+    CASE WHEN w1 + w2 + w3 >= 2 THEN 'same ' || nullif(concat_ws(', ', CASE WHEN w1 > 0 AND rn >= 0.9 THEN 'recipient' END, CASE WHEN w2 > 0 AND rs >= 0.9 THEN 'reason' END, CASE WHEN w3 > 0 AND yr >= 0.9 THEN 'class year' END), '') END,
+    CASE WHEN w1 + w2 + w3 >= 2 THEN 'different ' || nullif(concat_ws(', ', CASE WHEN w1 > 0 AND rn < 0.5 THEN 'recipient' END, CASE WHEN w2 > 0 AND rs < 0.5 THEN 'reason' END), '') END,
+    CASE WHEN factor < 1 THEN 'it''s an ' || itype END) END AS why
+  FROM t WHERE CAST(raw AS DOUBLE) >= {MIN_SCORE}),
+top AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, filename, case_id) AS INT) AS rank FROM cand
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, filename, case_id) <= 6)
 """
 
 
@@ -214,7 +228,7 @@ def page_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
 
 @query("document_candidates", "J5, W3", _CAND + "SELECT * FROM top")
 def document_candidates(spark, sf):
-    return page_candidates(spark, sf)[1]
+    return page_candidates(spark, sf)[1].withColumn("why", F.concat_ws("; ", "why"))
 
 
 @query("match_suggestions", "W4", _CAND + """

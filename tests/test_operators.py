@@ -244,3 +244,27 @@ def test_rounds_over_several_batches_are_counted_whole(spark, tmp_path):
     T.send_or_hold(rows, *where, 12).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     T.close_rounds(spark, "party bigint, round timestamp", *where, 12)
     assert spark.read.parquet(where[1]).select("party").count() == 10 and spark.read.parquet(where[2]).select("party").distinct().count() == 20
+
+
+def test_candidate_reasons_and_eligibility(spark):
+    """Reasons by hand, who may be a candidate, and the bonus for a copy that came back for the step its case was sent for."""
+    from caseflow.operators import match as M
+
+    items = spark.createDataFrame([
+        (1, "a b one", "a.pdf", "h1", "F10", "ann lee", "late for drill", "new", "issuer_signed"), (2, "a b one", "a.pdf", "h2", "F10", "ann lee", "late for drill", "found", "issuer_signed"),
+        (3, "a b one", "a.pdf", "h1", "F10", "ann lee", "late for drill", "returned", "issuer_signed"), (4, "x y two", "b.pdf", "h4", "F174", "ann lee", "late for drill", "returned", "issuer_signed"),
+        (5, "q", "c.pdf", "h5", "F10", "", "", "found", None)],
+        "id long, fname string, filename string, sha1 string, form_type string, recipient_name string, reason string, kind string, step string")
+    cases = spark.createDataFrame([
+        (10, "a b one", "c10", "h1", "F10", "ann lee", "late for drill", False, False, True), (11, "a b one", "c11", "h9", "F10", "ann lee", "late for drill", True, False, True),
+        (12, "a b one", "c12", "h9", "F10", "ann lee", "late for drill", False, True, True), (13, "a b one", "c13", "h9", "F10", "ann lee", "late for drill", False, False, False),
+        (14, "a b one", "c14", "h8", "F10", "ann lee", "zzzz qqqq", None, None, None)],
+        "id long, fname string, filename string, sha1 string, form_type string, recipient_name string, reason string, missing boolean, archived boolean, analysed boolean")
+    sent = spark.createDataFrame([(14, "issuer_signed"), (10, "recipient_signed")], "case_id long, step string")
+    fields = {"recipient_name": 3.0, "reason": 2.0}
+    got = {(r.item_id, r.case_id): (r.score, r.rank, list(r.why), r.identical) for r in M.document_candidates(items, cases, fields, sent=sent).collect()}
+    assert set(k for k, _ in got) == {2, 3} and set(c for _, c in got) == {10, 14}
+    assert got[2, 10] == (1.0, 1, ["same file name", "same recipient, reason"], False)
+    assert got[2, 14] == (0.78, 2, ["same file name", "same recipient", "different reason"], False)
+    assert got[3, 10] == (1.0, 1, ["identical to the copy on file"], True)
+    assert got[3, 14] == (0.93, 2, ["same file name", "same recipient", "different reason", "was sent for Issuer signature"], False)

@@ -7,8 +7,10 @@ similarity 0.8 is missed with probability (1 - 0.8^8)^80 < 5e-7, and one at 0.3
 Candidates are confirmed on full sets, but never as all pairs of a crowded bucket. In rounds, each class outside the largest
 component of a bucket is compared with a few members of that component, those first that share most bands with others: an original
 agrees with its copies more than edited copies agree with each other, so it is met before them. Confirmed links join components, and
-buckets of one component are done. Once rounds bring few joins more, the pairs of different components that are left in a bucket are all compared. So every
-candidate pair ends up compared or within one component.
+buckets of one component are done. Classes that are left in buckets of several components meet once more, by the shingles of which two
+sets at similarity 0.8 must share one: with all shingles in one order, rarest first, the first ones of each set, as many as the sizes of
+both allow to differ. Shared passages and what a group of copies has in common come late in that order. So every candidate pair ends up
+compared, within one component, or proved to be under 0.8.
 
 Defined results: a null, empty or wordless text has an empty set and is linked with nothing; equal sets always link; repeated
 rows are rows of one class; a null doc_id is never smallest unless all are null, and is kept only then. One row of each component
@@ -17,6 +19,7 @@ is kept: one of the smallest id, among several of that id by the digest of the s
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -34,8 +37,12 @@ BANDS, ROWS = 80, 8
 SLICE = 4 << 20
 #: Keys that are sent to all executors at most; more go through a shuffle join.
 BROADCAST_KEYS = 100_000
-#: Hub rounds go on while the pairs left are more than this many times the classes, and become fewer.
-PAIRS_PER_CLASS = 1
+#: Rounds of hubs at most; none more once the pairs left in buckets are fewer than this many times the classes.
+HUB_ROUNDS, PAIRS_PER_CLASS = 2, 1
+#: Slots in which shingles are counted to put them in an order (32 MB at most), and slots that are sent together.
+SLOTS, SLOTS_SENT = 1 << 24, 1 << 14
+#: Sets of one size class differ in size by less than this factor.
+SIZE_STEP = 1.05
 #: Members of a bucket's largest component that a class outside it is compared with in one round (one in the first).
 HUBS = 4
 
@@ -167,7 +174,7 @@ def _components(docs: DataFrame, classes: DataFrame, compared: list[int] | None
     few = PAIRS_PER_CLASS * classes.count()
     links: list[DataFrame] = []
     tried: list[DataFrame] = []
-    label = before = None
+    label = None
     for r in range(1000):
         root = F.col("node") if label is None else F.coalesce("root", "node")
         cur = kept((keys if label is None else keys.join(label, "node", "left")).select("node", "n_shingles", "key", "met", root.alias("root")), "near-open")
@@ -181,18 +188,15 @@ def _components(docs: DataFrame, classes: DataFrame, compared: list[int] | None
         left = int(bucket.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0] or 0)
         if not left:
             drop(cur, bucket)
+            table = None
             break
         table = kept(cur.join(bucket.select("key", "major", "hub", "hub_n"), "key"), "near-mixed")
         drop(cur, bucket)
         keys = table.select("node", "n_shingles", "key", "met")  # a bucket of one component stays one
         outside = table.where("root <> major")
-        last = left <= few or (r > 1 and left > 0.5 * before)
-        before = left
-        if last:  # every pair of a bucket that lies in two components has one side outside the bucket's largest
-            x = outside.select("key", F.col("node").alias("x"), F.col("root").alias("xr"), F.col("n_shingles").alias("xn"))
-            y = table.select("key", F.col("node").alias("y"), F.col("root").alias("yr"), F.col("n_shingles").alias("yn"))
-            pairs = x.join(y, "key").where((F.col("xr") != F.col("yr")) & _size_bound("xn", "yn"))
-            new = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        last = left <= few or r >= HUB_ROUNDS
+        if last:
+            new = _prefix_pairs(sets.join(table.select("node", "root").distinct(), "node"))
         else:
             near_hub = outside.where(_size_bound("n_shingles", "hub_n")).select("node", "hub").distinct()
             nth = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("hub", F.lit(r)), "hub"))  # a node is in BANDS buckets at most
@@ -209,10 +213,95 @@ def _components(docs: DataFrame, classes: DataFrame, compared: list[int] | None
             break
     else:
         raise RuntimeError("hub rounds did not end")
-    drop(*tried)
+    drop(*tried, table)
     return label if label is not None else classes.select("node", F.col("node").alias("root")).limit(0)
 
 
+def _need(n, m):
+    """Members that sets of n and m have in common at least if they link."""
+    return (PERCENT * (n + m) + 99 + PERCENT) // (100 + PERCENT)
+
+
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles fall into each slot, over all sets; SLOTS numbers, added up by tasks."""
+    def count(batches):
+        for batch in batches:
+            all_ = np.asarray(batch["set"].flatten()).view(np.uint64)
+            slots, n = np.unique((all_ & np.uint64(SLOTS - 1)).astype(np.int64), return_counts=True)
+            part = slots // SLOTS_SENT
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(slots) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(slots))
+            body = [((slots[a:b] % SLOTS_SENT).astype(np.uint16).tobytes(), n[a:b].astype(np.uint32).tobytes()) for a, b in zip(starts, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int32()), pa.array([x for x, _ in body], pa.binary()), pa.array([x for _, x in body], pa.binary())], names=["part", "slots", "n"])
+
+    def add(batches):
+        cur, total = None, None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([cur], pa.int32()), pa.array([zlib.compress(np.minimum(total, 65_535).astype(np.uint16).tobytes(), 1)], pa.binary())], names=["part", "n"])
+
+        for batch in batches:
+            for part, slots, n in zip(*(batch[c].to_pylist() for c in ("part", "slots", "n"))):
+                if part != cur:
+                    if cur is not None:
+                        yield done()
+                    cur, total = part, np.zeros(SLOTS_SENT, np.int64)
+                total[np.frombuffer(slots, np.uint16)] += np.frombuffer(n, np.uint32)
+        if cur is not None:
+            yield done()
+
+    counted = sets.select("set").mapInArrow(count, "part int, slots binary, n binary").repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, n binary")
+    out = np.zeros(SLOTS, np.uint16)
+    for row in counted.toLocalIterator():
+        out[row.part * SLOTS_SENT : (row.part + 1) * SLOTS_SENT] = np.frombuffer(zlib.decompress(bytes(row.n)), np.uint16)
+    return out
+
+
+def _prefix_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets (node, root, set) of different roots among which are all that link.
+
+    Two sets of n and m members that link have need(n, m) of them in common, so the first common one, in any one order of all members,
+    is among the first n - need(n, m) + 1 of the one and m - need(n, m) + 1 of the other. A set gives its first ones for each
+    size class that its partner may be of; at the place where two sets meet, enough members must be left in both.
+    """
+    sets = kept(sets.select("node", "root", "set"), "near-left")
+    shared = sets.sparkSession.sparkContext.broadcast(_slot_counts(sets))
+    step = np.log(SIZE_STEP)
+
+    def heads(batches):
+        for batch in batches:
+            nodes, roots, keys, sizes, rests = [], [], [], [], []
+            for node, root, members in zip(batch["node"].to_pylist(), batch["root"].to_pylist(), batch["set"]):
+                v = np.asarray(members.values).view(np.uint64)
+                n = len(v)
+                v = v[np.lexsort((v, shared.value[(v & np.uint64(SLOTS - 1)).astype(np.int64)]))]
+                own, least, most = int(np.log(n) / step), -(-PERCENT * n // 100), 100 * n // PERCENT
+                for other in range(int(np.log(least) / step), int(np.log(most) / step) + 1):
+                    low = max(least, int(np.exp(other * step)))  # not above the smallest size of the class
+                    k = n - _need(n, low) + 1
+                    if k < 1:
+                        continue
+                    a, b = sorted((own, other))
+                    keys.append(textbuf.mix(v[:k] + np.uint64(a * 4096 + b) * np.uint64(0x9E3779B97F4A7C15)))
+                    rests.append(n - np.arange(k))
+                    nodes.append(np.full(k, node))
+                    roots.append(np.full(k, root))
+                    sizes.append(np.full(k, n))
+            flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([flat(nodes), flat(roots), flat([k.view(np.int64) for k in keys]), flat(sizes), flat(rests)], names=["node", "root", "key", "n", "rest"])
+
+    rows = kept(sets.mapInArrow(heads, "node long, root long, key long, n long, rest long"), "near-heads")
+    by_root = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    several = by_root.groupBy("key").agg(F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("major")).where("k > 1").select("key", "major")
+    met = kept(rows.join(several, "key"), "near-met")
+    drop(sets, rows)
+    x = met.where("root <> major").select("key", F.col("node").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("rest").alias("xs"))
+    y = met.select("key", F.col("node").alias("y"), F.col("root").alias("yr"), F.col("n").alias("yn"), F.col("rest").alias("ys"))
+    enough = F.least("xs", "ys") * (100 + PERCENT) >= PERCENT * (F.col("xn") + F.col("yn"))
+    pairs = x.join(y, "key").where((F.col("xr") != F.col("yr")) & _size_bound("xn", "yn") & enough)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _size_bound(a: str, b: str):
     """Sets of which the smaller is under 80 % of the larger cannot link."""
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)

@@ -114,6 +114,10 @@ CONTENT_WEIGHTS = [
     ("recipient_name", 3.0), ("narrative", 3.0), ("reason", 2.0), ("date", 2.0),
     ("issuer", 1.5), ("counselee_name", 1.0), ("squadron", 0.5), ("class_year", 0.5),
 ]
+# What a renamed file takes over from the case it was.
+INHERITED = [
+    "overrides", "reviewed", "reviewed_at", "logged", "logged_at", "archived", "archived_at", "rejected", "rejected_at", "notes", "history",
+]
 CONTENT_WORDS = {
     "recipient_name": "recipient", "narrative": "narrative", "reason": "reason", "date": "date",
     "issuer": "issuer", "counselee_name": "counselee", "squadron": "squadron", "class_year": "class year",

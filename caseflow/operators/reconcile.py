@@ -69,23 +69,32 @@ def catalog_diff(catalog: DataFrame, listing: DataFrame, settings: Settings = Se
     return c.join(d, "case_id", "full_outer").select("case_id", status.alias("status"))
 
 
-def inherit_renames(new_cases: DataFrame, missing_cases: DataFrame) -> DataFrame:
-    """New unedited cases take over the edits of a missing case with the same content.
+def inherit_renames(newcomers: DataFrame, catalog: DataFrame, now: Column) -> DataFrame:
+    """The catalog after new files are met: a newcomer takes over what was done to a missing case of the same content, which goes.
 
-    Both: case_id, filename, sha1, notes, reviewed, ord. One giver serves one newcomer: of equal contents the n-th giver by
-    (ord, case_id) gives to the n-th newcomer; who comes later keeps its own. Returns case_id, filename, notes, reviewed, inherited_from.
+    Both: case_id, filename, sha1, ord and V.INHERITED (overrides MAP, lifecycle flags with *_at, notes, history); the catalog has
+    `missing`, newcomers `known_sha1`, the content stored before. Only a newcomer that was never read and not edited takes over; a
+    field the giver has not (null) stays its own, and an audit line names the giver. One giver serves one newcomer: of equal contents
+    the n-th giver by (ord, case_id) gives to the n-th newcomer. Returns case_id, filename, sha1, V.INHERITED, inherited_from.
     """
     def ranked(df: DataFrame) -> DataFrame:
         return row_numbers(df, ["sha1"], [F.col("ord"), F.col("case_id")], F.col("ord"), "__n")
 
-    giver = ranked(missing_cases).select("sha1", "__n", F.struct("case_id", "notes", "reviewed").alias("g"))
-    joined = ranked(new_cases).join(giver, ["sha1", "__n"], "left")
+    untouched = F.col("known_sha1").isNull() & (F.coalesce(F.size("overrides"), F.lit(0)) <= 0) & F.col("sha1").isNotNull()
+    gives = is_true(F.col("missing")) & F.col("sha1").isNotNull()
+    giver = ranked(catalog.where(gives)).select("sha1", "__n", F.struct("case_id", "filename", *V.INHERITED).alias("g"))
+    met = ranked(newcomers.where(untouched)).join(giver, ["sha1", "__n"], "left")
     took = F.col("g").isNotNull()
-    return joined.select(
-        "case_id", "filename", F.when(took, F.col("g.notes")).otherwise(F.col("notes")).alias("notes"),
-        F.when(took, F.col("g.reviewed")).otherwise(F.col("reviewed")).alias("reviewed"),
-        F.col("g.case_id").alias("inherited_from"),
+    line = F.struct(now.cast("timestamp").alias("at"), F.concat(F.lit("Renamed from "), "g.filename").alias("what"))
+    fields = {f: F.coalesce(F.col(f"g.{f}"), F.col(f)) for f in V.INHERITED}
+    history = F.coalesce(fields["history"], F.array().cast("array<struct<at:timestamp,what:string>>"))
+    fields["history"] = F.when(took, F.array_append(history, line)).otherwise(F.col("history"))
+    inherited = met.select("case_id", "filename", "sha1", *[c.alias(f) for f, c in fields.items()], F.col("g.case_id").alias("inherited_from"))
+    plain = ["case_id", "filename", "sha1", *V.INHERITED]
+    rest = newcomers.where(~is_true(untouched)).select(plain).unionByName(
+        catalog.join(inherited.where("inherited_from IS NOT NULL").select(F.col("inherited_from").alias("gone")), F.col("case_id") == F.col("gone"), "left_anti").select(plain)
     )
+    return inherited.unionByName(rest.withColumn("inherited_from", F.lit(None).cast(dict(inherited.dtypes)["inherited_from"])))
 
 
 def held_back(cases: DataFrame, under_review: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -181,8 +190,11 @@ def apply_patch(catalog: DataFrame, patch: DataFrame, now: Column) -> DataFrame:
 
 
 def bulk_patch(catalog: DataFrame, ids: DataFrame, patch: DataFrame, now: Column) -> DataFrame:
-    """The same one-row patch for many cases."""
-    one = F.broadcast(patch.withColumn("__one", F.lit(1)))  # one row by definition
+    """The same patch for many cases; more than one patch row is an error, since each case would be doubled."""
+    first = patch.limit(2).collect()
+    if len(first) > 1:
+        raise ValueError("a bulk patch is one row")
+    one = F.broadcast(patch.sparkSession.createDataFrame(first, patch.schema).withColumn("__one", F.lit(1)))
     rows = ids.select("case_id").distinct().withColumn("__one", F.lit(1)).join(one, "__one").drop("__one")
     return apply_patch(catalog, rows, now)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import collapse, num
-from .scale import is_false, is_true, keep_first, running_total
+from .scale import is_false, is_true, keep_first, ordered_total
 
 
 
@@ -306,15 +306,11 @@ def review_queue(records: DataFrame) -> DataFrame:
     return records.where(active()).withColumn("queue", rank).where(F.col("queue").isNotNull())
 
 
-def page_of(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    return df.orderBy(*order).offset(page * size).limit(size)
-
-
 def packet_index(records: DataFrame, pages: str = "page_count") -> DataFrame:
     """Start page of each case in a combined print, after the index sheets."""
     day = F.coalesce("date_iso", F.lit("9999-12-31").cast("date"))
     src = records.withColumn("__day", day)
-    run = running_total(src, [], [F.col("__day"), F.col("filename")], F.col("__day"), F.col(pages), "before", exclusive=True)
+    run = ordered_total(src, [F.col("__day"), F.col("filename")], F.col(pages), "before", exclusive=True)
     sheets = records.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / V.PACKET_LINES)).alias("sheets"), F.lit(1).alias("__one"))
     joined = run.withColumn("__one", F.lit(1)).join(F.broadcast(sheets), "__one")  # one row
     return joined.withColumn("start_page", F.col("before") + 1 + F.col("sheets")).drop("__one", "__day", "before", "sheets")

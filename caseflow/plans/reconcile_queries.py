@@ -68,15 +68,38 @@ def catalog_diff(spark, sf):
 
 
 @query("rename_inheritance", "J10", """
-WITH o AS (SELECT o_orderkey AS case_id, o_orderkey || '.pdf' AS filename, sha1(o_custkey || o_orderpriority) AS h, o_orderstatus AS st, 'note ' || o_orderkey AS note, o_totalprice > 200000 AS reviewed,
-  row_number() OVER (PARTITION BY sha1(o_custkey || o_orderpriority), o_orderstatus ORDER BY o_orderdate, o_orderkey) AS n FROM orders)
-SELECT a.case_id, a.filename, coalesce(b.note, '') AS notes, coalesce(b.reviewed, false) AS reviewed, b.case_id AS inherited_from
-FROM o a LEFT JOIN o b ON b.h = a.h AND b.n = a.n AND b.st = 'P' WHERE a.st = 'O'""")
+WITH o AS (SELECT o_orderkey AS case_id, o_orderkey || '.pdf' AS filename, sha1(o_custkey || o_orderpriority) AS h, o_orderstatus AS st, o_orderdate AS d, o_custkey AS k, o_orderpriority AS p, o_totalprice AS t FROM orders),
+cat AS (SELECT *, st = 'P' AS missing, CASE WHEN t > 150000 THEN 'name=n' || k END AS overrides, t > 200000 AS reviewed, k % 2 = 0 AS logged, k % 3 = 0 AS archived, k % 5 = 0 AS rejected,
+  CASE WHEN k % 4 > 0 THEN 'note ' || case_id END AS notes, 1 AS n_history FROM o WHERE st <> 'O'),
+new AS (SELECT *, CASE WHEN p = '5-LOW' THEN 'name=own' END AS overrides, k % 7 <> 0 AND p <> '5-LOW' AS fresh FROM o WHERE st = 'O'),
+giver AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY d, case_id) AS n FROM cat WHERE missing),
+taker AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY d, case_id) AS n FROM new WHERE fresh),
+met AS (SELECT a.case_id, a.filename, CASE WHEN g.case_id IS NULL THEN '' ELSE coalesce(g.overrides, '') END AS overrides, coalesce(g.reviewed, false) AS reviewed,
+    CASE WHEN g.reviewed THEN g.d END AS reviewed_at, coalesce(g.logged, false) AS logged, coalesce(g.archived, false) AS archived, coalesce(g.rejected, false) AS rejected,
+    coalesce(g.notes, 'own note') AS notes, CASE WHEN g.case_id IS NULL THEN 0 ELSE g.n_history + 1 END AS n_history, 'Renamed from ' || g.filename AS last_line, g.case_id AS inherited_from
+  FROM taker a LEFT JOIN giver g ON g.h = a.h AND g.n = a.n)
+SELECT * FROM met
+UNION ALL SELECT case_id, filename, coalesce(overrides, ''), false, NULL, false, false, false, 'own note', 0, NULL, NULL FROM new WHERE NOT fresh
+UNION ALL SELECT case_id, filename, coalesce(overrides, ''), reviewed, CASE WHEN reviewed THEN d END, logged, archived, rejected, notes, n_history, 'read', NULL
+  FROM cat WHERE case_id NOT IN (SELECT inherited_from FROM met WHERE inherited_from IS NOT NULL)""")
 def rename_inheritance(spark, sf):
-    o = table(spark, sf, "orders").selectExpr("o_orderkey AS case_id", "concat(o_orderkey, '.pdf') AS filename", "sha1(concat(o_custkey, o_orderpriority)) AS sha1",
-                                              "concat('note ', o_orderkey) AS notes", "o_totalprice > 200000 AS reviewed", "o_orderdate AS ord", "o_orderstatus")
-    new = o.where("o_orderstatus = 'O'").selectExpr("case_id", "filename", "sha1", "'' AS notes", "false AS reviewed", "ord")
-    return X.inherit_renames(new, o.where("o_orderstatus = 'P'"))
+    none = "cast(map() AS map<string, string>)"
+    log = "array<struct<at: timestamp, what: string>>"
+    flags = {"reviewed": "o_totalprice > 200000", "logged": "o_custkey % 2 = 0", "archived": "o_custkey % 3 = 0", "rejected": "o_custkey % 5 = 0"}
+    o = table(spark, sf, "orders").withColumn("when", F.col("o_orderdate").cast("timestamp")).selectExpr(
+        "*", "o_orderkey AS case_id", "concat(o_orderkey, '.pdf') AS filename", "sha1(concat(o_custkey, o_orderpriority)) AS sha1", "o_orderdate AS ord")
+    catalog = o.where("o_orderstatus <> 'O'").selectExpr(
+        "case_id", "filename", "sha1", "ord", "o_orderstatus = 'P' AS missing", f"if(o_totalprice > 150000, map('name', concat('n', o_custkey)), {none}) AS overrides",
+        *[f"{c} AS {f}" for f, c in flags.items()], *[f"if({c}, when, null) AS {f}_at" for f, c in flags.items()],
+        "if(o_custkey % 4 > 0, concat('note ', o_orderkey), null) AS notes", f"cast(array(struct(when, 'read')) AS {log}) AS history")
+    new = o.where("o_orderstatus = 'O'").selectExpr(
+        "case_id", "filename", "sha1", "ord", "if(o_custkey % 7 = 0, 'x', null) AS known_sha1", f"if(o_orderpriority = '5-LOW', map('name', 'own'), {none}) AS overrides",
+        *[f"false AS {f}" for f in flags], *[f"cast(null AS timestamp) AS {f}_at" for f in flags], "'own note' AS notes", f"cast(array() AS {log}) AS history")
+    out = X.inherit_renames(new, catalog, F.lit("2026-01-01 00:00:00"))
+    pairs = F.transform(F.map_entries("overrides"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return out.select(
+        "case_id", "filename", F.concat_ws(",", pairs).alias("overrides"), "reviewed", F.col("reviewed_at").cast("timestamp_ntz").alias("reviewed_at"), "logged", "archived", "rejected", "notes",
+        F.size("history").alias("n_history"), F.try_element_at("history", F.lit(-1))["what"].alias("last_line"), "inherited_from")
 
 
 @query("held_back", "J11", with_cases("""

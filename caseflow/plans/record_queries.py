@@ -178,6 +178,14 @@ def review_issues(spark, sf):
     return RC.issues(form_cases(spark, sf)).select("case_id", F.inline("issues"))
 
 
+@query("review_status", "P6", with_cases(
+    "SELECT case_id, flagged, flagged AND NOT reviewed AND NOT archived AND NOT rejected AS needs_review FROM (SELECT case_id, reviewed, archived, rejected, NOT parsed OR "
+    + " OR ".join(f"coalesce({w}, false)" for c, lv, w, d in _RULES if lv == "review") + " AS flagged FROM cases)"))
+def review_status(spark, sf):
+    """Flagged by an issue of review level, and still to be looked at."""
+    return RC.review_status(RC.issues(form_cases(spark, sf))).select("case_id", "flagged", "needs_review")
+
+
 @query("returned_copy_check", "F33", with_cases("""
 SELECT case_id AS item_id, CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN NOT parsed THEN 'unreadable'
   WHEN o_orderpriority = '1-URGENT' AND NOT issuer_signed THEN 'unsigned' WHEN o_orderpriority = '2-HIGH' AND form_type = 'F10' AND NOT sqccf_processed THEN 'unsigned'

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import month_label
 from ..operators import reports as R
+from ..operators.scale import PageIndex
 from ..sources import io
-from .bindings import case_parties, cases, with_cases
+from .bindings import case_parties, cases, table, with_cases
 from .registry import query
 
 _F10N = "CASE WHEN form_type = 'F10' THEN 1 ELSE 0 END"
@@ -85,11 +86,6 @@ def outcome_text(spark, sf):
     return cases(spark, sf).select("case_id", R.outcomes(F.col("counted")).alias("outcome"))
 
 
-@query("review_status", "P6", with_cases("SELECT case_id, needs_review, n_incomplete AS n_incomplete FROM cases"))
-def review_status(spark, sf):
-    return cases(spark, sf).select("case_id", "needs_review", F.size("incomplete").alias("n_incomplete"))
-
-
 @query("overview_kpis", "A4", with_cases("""
 SELECT count(*) FILTER (WHERE is_active) AS active, count(*) FILTER (WHERE is_parsed) AS parsed,
   count(*) FILTER (WHERE is_parsed AND pos_neg = 'Neg') AS negative, count(*) FILTER (WHERE is_parsed AND pos_neg = 'Pos') AS positive,
@@ -241,7 +237,16 @@ def packet_index(spark, sf):
 
 @query("list_page", "W9", with_cases("SELECT case_id, filename FROM cases WHERE is_parsed ORDER BY filename LIMIT 50 OFFSET 100"))
 def list_page(spark, sf):
-    return R.page_of(cases(spark, sf).where(R.parsed()), [F.col("filename")], 2, 50).select("case_id", "filename")
+    return PageIndex(cases(spark, sf).where(R.parsed()).select("case_id", "filename"), [F.col("filename")]).page(2, 50)
+
+
+@query("deep_page", "W9", """
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 40 OFFSET 5000""")
+def deep_page(spark, sf):
+    """The 125th page of all lines, dearest first."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey")
+    order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
+    return PageIndex(lines, order).page(125, 40).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 @query("snapshot_order", "O1", with_cases(

@@ -2,7 +2,10 @@
 
 import itertools
 import random
+import re
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -12,6 +15,7 @@ from caseflow.operators import contacts as K
 from caseflow.operators import digest as D
 from caseflow.operators import match as M
 from caseflow.operators import reconcile as X
+from caseflow.operators import reports as R
 from caseflow.operators import scale as S
 from caseflow.sources import io
 from caseflow.streaming import stream as T
@@ -229,10 +233,59 @@ def test_delimited_width_counts_records_not_lines(spark, tmp_path):
 
 
 def test_one_giver_serves_one_newcomer(spark):
-    kind = "case_id long, filename string, sha1 string, notes string, reviewed boolean, ord int"
-    new = spark.createDataFrame([(1, "a", "h", "", False, 1), (2, "b", "h", "", False, 2), (3, "c", "k", "", False, 3)], kind)
-    gone = spark.createDataFrame([(9, "x", "h", "note", True, 5)], kind)
-    assert {r.case_id: (r.notes, r.inherited_from) for r in X.inherit_renames(new, gone).collect()} == {1: ("note", 9), 2: ("", None), 3: ("", None)}
+    log = "array<struct<at: timestamp, what: string>>"
+    flags = ", ".join(f"{f} boolean, {f}_at timestamp" for f in ("reviewed", "logged", "archived", "rejected"))
+    kind = f"case_id long, filename string, sha1 string, ord int, overrides map<string,string>, {flags}, notes string, history {log}"
+    at = datetime(2024, 5, 1)
+    off = [None] * 8
+
+    def newcomer(i, sha, known=None, over=None):
+        return (i, f"f{i}", sha, i, over or {}, *off, "own", None, known)
+
+    new = spark.createDataFrame([newcomer(1, "h"), newcomer(2, "h"), newcomer(3, "k"), newcomer(4, "m", "m"), newcomer(5, "m", None, {"name": "x"}), newcomer(6, None)], kind + ", known_sha1 string")
+    on = [True, at, None, None, False, None, True, at]
+    catalog = spark.createDataFrame([
+        (9, "x", "h", 5, {"name": "Doe"}, *on, "note", [(at, "read")], True), (10, "y", "m", 6, {}, *off, "left", None, True), (11, "z", "k", 7, {}, *off, "there", None, False), (12, "n", None, 8, {}, *off, "null", None, True)],
+        kind + ", missing boolean")
+    got = {r.case_id: r for r in X.inherit_renames(new, catalog, F.lit("2024-06-01")).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 10, 11, 12} and [got[i].inherited_from for i in sorted(got)] == [9] + [None] * 8
+    one = got[1]
+    assert (one.overrides, one.reviewed, one.reviewed_at, one.logged, one.archived, one.rejected, one.notes) == ({"name": "Doe"}, True, at, None, False, True, "note")
+    assert [h.what for h in one.history] == ["read", "Renamed from x"] and (got[2].notes, got[2].history, got[10].notes) == ("own", None, "left")
+
+
+def test_bulk_patch_is_one_row(spark):
+    patch = spark.createDataFrame([({},), ({},)], "set map<string,string>")
+    with pytest.raises(ValueError):
+        X.bulk_patch(spark.range(1).toDF("case_id"), spark.range(1).toDF("case_id"), patch, F.lit("2024-06-01"))
+
+
+def test_running_sum_of_one_day_uses_all_ranges(spark):
+    """Undated cases only: ranges split by file name, and sums continue across them."""
+    from caseflow.operators import scale
+
+    rows = spark.range(500).selectExpr("id", "cast(null AS date) AS date_iso", "lpad(cast((id * 7919) % 1000003 AS string), 8, '0') AS filename", "1 + id % 5 AS page_count")
+    got = sorted((r.filename, r.start_page) for r in R.packet_index(rows).collect())
+    sheets, at, want = -(-500 // 41), 1, []
+    for r in sorted(rows.collect(), key=lambda r: r.filename):
+        want.append((r.filename, at + sheets))
+        at += r.page_count
+    assert got == want
+    parts = scale.in_ranges(rows, [F.col("date_iso"), F.col("filename")]).groupBy("__part").count().collect()
+    assert len(parts) == 4 and max(p["count"] for p in parts) < 250
+
+
+def test_pages_by_index(spark):
+    from caseflow.operators.scale import PageIndex
+
+    rows = spark.range(1003).selectExpr("id", "(id * 7919) % 1009 AS k")
+    order = sorted((r.k, r.id) for r in rows.collect())
+    index = PageIndex(rows, [F.col("k")], 7)
+    for page, size in [(0, 10), (3, 143), (99, 10), (100, 10), (0, 2000), (500, 10), (1, 700)]:
+        assert [(r.k, r.id) for r in index.page(page, size).collect()] == order[page * size : (page + 1) * size]
+    assert PageIndex(rows.limit(0), [F.col("k")]).page(0, 5).collect() == []
+    plan = index.page(50, 10)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*__part", plan)
 
 
 def test_rounds_over_several_batches_are_counted_whole(spark, tmp_path):

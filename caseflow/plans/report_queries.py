@@ -327,17 +327,24 @@ def split_by_step(spark, sf):
 
 
 @query("conduct_log", "S9", with_cases("""
-SELECT case_id, pos, CAST(date_diff('day', DATE '1899-12-30', date_iso) AS VARCHAR) AS "Date",
-  CASE WHEN class_year <> '' THEN CAST(class_year AS DOUBLE) END AS "Class Year", nullif(reason_category, '') AS "Reason Category", name AS "Recipient",
-  nullif(pos_neg, '') AS "Pos/Neg", CASE WHEN form_type = 'F10' THEN CAST(demerits_n AS DOUBLE) END AS "Demerits",
-  CAST(NULL AS DOUBLE) AS "Tours", CASE WHEN form_type = 'F10' THEN CAST(confinements_n AS DOUBLE) END AS "Confinements",
-  CASE WHEN rejected THEN 'Rejected' WHEN complete THEN 'Complete' ELSE 'In progress' END AS "Status" FROM case_parties""", True))
+SELECT case_id, CAST(pos AS INT) AS pos, coalesce(CAST(date_diff('day', DATE '1899-12-30', date_iso) AS VARCHAR), 'about 1994') AS "Date", nullif(class_year, '') AS "Class Year", form_type AS "Form Type",
+  nullif(reason_category, '') AS "Reason Category", reason_details AS "Description", strftime(date_iso, '%Y-%m') AS "Month", coalesce(r.spelling, p.name) AS "Recipient", issuer AS "Issuer",
+  nullif(pos_neg, '') AS "Pos/Neg", CASE WHEN cdna <> '' THEN '3' END AS "CDNA", CASE WHEN passes <> '' THEN '2.5' END AS "Passes",
+  CASE WHEN form_type = 'F10' THEN CAST(demerits_n AS VARCHAR) END AS "Demerits", CASE WHEN form_type = 'F10' THEN tours_n || ' tours' END AS "Tours",
+  CASE WHEN form_type = 'F10' THEN CAST(confinements_n AS VARCHAR) END AS "Confinements", nullif(other, '') AS "Other",
+  CASE WHEN rejected THEN 'Rejected' WHEN complete THEN 'Complete' ELSE 'In progress' END AS "Status", squadron AS "Squadron"
+FROM case_parties p LEFT JOIN (SELECT DISTINCT name, upper(name) AS spelling FROM case_parties WHERE party_id % 10 = 0 AND pos = 0) r ON r.name = p.name""", True))
 def conduct_log(spark, sf):
-    rows = case_parties(spark, sf).withColumn("recipient", F.col("name")).withColumn("date", F.lit(""))
-    chosen = [c for c in V.PUSH_COLUMNS if c[0] in ("Date", "Class Year", "Reason Category", "Recipient", "Pos/Neg", "Demerits", "Tours", "Confinements", "Status")]
-    out = io.push_columns(rows.withColumn("squadron", F.concat_ws("|", F.col("case_id").cast("string"), F.col("pos").cast("string"))), [*chosen, ("id", "squadron")])
-    part = F.split("id", r"\|")
-    return out.withColumn("case_id", F.get(part, F.lit(0)).cast("bigint")).withColumn("pos", F.get(part, F.lit(1)).cast("int")).drop("id", "sort_date", "sort_name")
+    parties = case_parties(spark, sf)
+    respell = parties.where("party_id % 10 = 0 AND pos = 0").select("name", F.upper("name").alias("spelling")).distinct()
+    rows = parties.selectExpr(
+        "case_id", "pos", "date_iso", "if(date_iso IS NULL, 'about 1994', '') AS date", "class_year", "form_type", "reason_category", "reason_details",
+        "coalesce(date_format(date_iso, 'yyyy-MM'), '') AS month", "name AS recipient", "issuer", "pos_neg", "if(cdna <> '', '03.0', '') AS cdna", "if(passes <> '', '2.50', '') AS passes", "demerits", "tours",
+        "confinements", "other", "filename", "rejected", "complete", "concat(' ', squadron, '  ') AS squadron", "missing", "archived", "parsed")
+    keyed = rows.withColumn("keys", F.concat_ws("|", "case_id", "pos"))
+    out = io.push_columns(keyed, [*V.PUSH_COLUMNS, ("Squadron", "squadron"), ("keys", "keys")], respell)
+    part = F.split("keys", r"\|")
+    return out.withColumns({"case_id": F.get(part, F.lit(0)).cast("bigint"), "pos": F.get(part, F.lit(1)).cast("int")}).drop("keys", "sort_date", "sort_name")
 
 
 @query("awaiting_step", "S10", with_cases("SELECT case_id FROM cases WHERE is_parsed AND recipient_signed = false"))

@@ -113,12 +113,22 @@ def step_folder_counts(records: DataFrame) -> DataFrame:
     return records.where(usable).groupBy(step.alias("next_step")).agg(F.count("*").alias("n"))
 
 
-def push_columns(rows: DataFrame, columns: list[tuple[str, str]] = V.PUSH_COLUMNS) -> DataFrame:
-    """The conduct log under configured headings and sources.
+def push_columns(rows: DataFrame, columns: list[tuple[str, str]] = V.PUSH_COLUMNS, respell: DataFrame | None = None) -> DataFrame:
+    """The conduct log under configured headings and sources, for active, read cases; cells are text.
 
-    rows: one per (case, party) with a column per source key, date_iso, filename, rejected, complete, squadron.
-    Blank cells are null, whole-number text in numeric columns is a number, a readable date is a serial.
+    rows: one per (case, party) with a column per source key, date_iso, filename, rejected, complete, squadron; rows of missing,
+    archived or unread cases (columns missing, archived, parsed, where there are) are left out. respell: (name, spelling), the way another
+    sheet writes a recipient, one row a name. Blank cells are null; a readable date is its serial, another one its text; in number columns
+    a plain number is written as short as it can be ("3.50" is 3.5), other text stays text.
     """
+    for c in ("missing", "archived"):
+        if c in rows.columns:
+            rows = rows.where(~is_true(F.col(c)))
+    if "parsed" in rows.columns:
+        rows = rows.where(is_true(F.col("parsed")))
+    if respell is not None:
+        names = respell.select(F.col("name").alias("__as"), F.col("spelling").alias("__to"))
+        rows = rows.join(names, F.col("recipient") == F.col("__as"), "left").withColumn("recipient", F.coalesce("__to", "recipient"))
     status = F.when(is_true(F.col("rejected")), "Rejected").when(is_true(F.col("complete")), "Complete").otherwise("In progress")
 
     def cell(source: str) -> Column:
@@ -128,7 +138,9 @@ def push_columns(rows: DataFrame, columns: list[tuple[str, str]] = V.PUSH_COLUMN
             return F.coalesce(date_to_serial("date_iso").cast("string"), F.when(F.col("date") != "", F.col("date")))
         c = collapse(source) if source == "squadron" else F.col(source)
         if source in V.NUMERIC_SOURCES:
-            return F.when(c.rlike(r"^-?\d+(\.\d+)?$"), c.try_cast("double"))
+            n = c.try_cast("double")
+            whole = (n == F.floor(n)) & (F.abs(n) < 1e15)
+            c = F.when(c.rlike(r"^-?\d+(\.\d+)?\z"), F.when(whole, n.cast("bigint").cast("string")).otherwise(n.cast("string"))).otherwise(c)
         return F.when(c != "", c)
 
     return rows.select(

@@ -334,6 +334,26 @@ def similar_values(values: DataFrame, threshold: float) -> DataFrame:
     return same.unionByName(scored).unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "dice"))
 
 
+def similar_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (left, right, dice) of keys of two tables (key, s) of normalised texts with Dice >= threshold, of any sizes.
+
+    A Dice of t needs sizes within a factor of (2 - t) / t of each other, so texts beyond what the other table's shortest and longest
+    allow are left out before anything is cut into bigrams; the rest meet by `similar_values`. Null and empty texts have no pairs.
+    """
+    reach = (2.0 - threshold) / threshold
+    size = F.greatest(F.length("s") - 1, F.lit(1))
+
+    def within(df: DataFrame, other: DataFrame) -> DataFrame:
+        ends = other.where("s <> ''").agg(F.min(size).alias("lo"), F.max(size).alias("hi")).first()
+        return df.where(F.lit(False)) if ends["lo"] is None else df.where((F.col("s") != "") & (size * reach >= ends["lo"] - 1e-9) & (size <= ends["hi"] * reach + 1e-9))
+
+    x, y = within(left, right), within(right, left)
+    held = lambda df, i: df.select(F.col("s").alias("v"), F.lit(i).alias("i"), F.lit(not i).alias("c"))
+    close = similar_values(held(x, True).unionByName(held(y, False)), threshold)
+    pairs = x.select(F.col("key").alias("left"), F.col("s").alias("a")).join(close, "a")
+    return pairs.join(y.select(F.col("key").alias("right"), F.col("s").alias("b")), "b").select("left", "right", "dice")
+
+
 # ---- candidate documents ------------------------------------------------------------------------------
 
 def candidate_threshold(

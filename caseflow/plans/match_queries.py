@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import filename_key, norm_text
 from ..operators import match as M
 from ..operators.assignment import assign_widgets
-from ..operators.scale import keep_first, spread
+from ..operators.scale import keep_first
 from ..session import cut_lineage
 from .bindings import family_sql, given_sql, person, table
 from .registry import query
@@ -114,36 +114,23 @@ def connected_spellings(spark, sf):
 
 # ---- bigram overlap and candidate documents -------------------------------------------------------------
 
-@query("passage_dice", "U5", r"""
-WITH p AS (SELECT doc_id, lang, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS s FROM documents),
+PASSAGE_FLOOR = 0.6
+
+
+@query("passage_dice", "U5", rf"""
+WITH p AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS s FROM documents),
 b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS s FROM benchmark),
 gp AS (SELECT doc_id, substr(s, i, 2) AS g, count(*) AS c FROM (SELECT *, unnest(range(1, length(s))) AS i FROM p) GROUP BY ALL),
 gb AS (SELECT item_id, substr(s, i, 2) AS g, count(*) AS c FROM (SELECT *, unnest(range(1, length(s))) AS i FROM b) GROUP BY ALL),
-pairs AS (SELECT DISTINCT doc_id, item_id FROM p JOIN b ON contains(' ' || p.s || ' ', ' ' || split_part(b.s, ' ', 1) || ' ' || split_part(b.s, ' ', 2) || ' ' || split_part(b.s, ' ', 3) || ' '))
-SELECT pairs.doc_id AS a, pairs.item_id AS b, 2.0 * coalesce(h.hit, 0) / (length(p.s) - 1 + length(b.s) - 1) AS dice
-FROM pairs JOIN p ON p.doc_id = pairs.doc_id JOIN b ON b.item_id = pairs.item_id
-LEFT JOIN (SELECT doc_id, item_id, CAST(sum(least(gp.c, gb.c)) AS DOUBLE) AS hit FROM pairs JOIN gp USING (doc_id) JOIN gb USING (item_id, g) GROUP BY ALL) h
-  ON h.doc_id = pairs.doc_id AND h.item_id = pairs.item_id""")
+h AS (SELECT doc_id, item_id, CAST(sum(least(gp.c, gb.c)) AS DOUBLE) AS hit FROM gp JOIN gb USING (g) GROUP BY ALL)
+SELECT doc_id AS a, item_id AS b, 2.0 * hit / (length(p.s) - 1 + length(b.s) - 1) AS dice FROM h JOIN p USING (doc_id) JOIN b USING (item_id)
+WHERE 2.0 * hit / (length(p.s) - 1 + length(b.s) - 1) >= {PASSAGE_FLOOR}""")
 def passage_dice(spark, sf):
-    """Whole-text Dice of documents and the passages whose opening three words they contain."""
-    d = spread(table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("key"), norm_text("text").alias("s"))
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), norm_text("text").alias("s"))
-    opening = b.select(F.col("key").alias("b"), F.array_join(F.slice(F.split("s", " "), 1, 3), " ").alias("o"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(3)]))
-    tri = d.select(F.col("key").alias("a"), F.split("s", " ").alias("w")).where("size(w) >= 3").select("a", F.explode(F.array_distinct(grams)).alias("o"))
-    part = cut_lineage(opening)
-    pairs = cut_lineage(tri.join(part, "o").select("a", "b").distinct())
-    d = cut_lineage(spread(d.join(pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi"), "key"))  # only texts in a pair
-    size = lambda df: df.select("key", (F.length("s") - 1).alias("n"))
-    ca, cb = M.bigram_counts(d, "key", "s"), M.bigram_counts(b, "key", "s")
-    return _two_sided(pairs, ca, cb, size(d), size(b))
-
-
-def _two_sided(pairs, ca, cb, na, nb):
-    tag = lambda df, t: df.withColumn("key", F.concat(F.lit(t), F.col("key").cast("string")))
-    p = pairs.select(F.concat(F.lit("a"), F.col("a").cast("string")).alias("a"), F.concat(F.lit("b"), F.col("b").cast("string")).alias("b"))
-    out = M.multiset_dice(p, tag(ca, "a").unionByName(tag(cb, "b")), tag(na, "a").unionByName(tag(nb, "b")))
-    return out.select(F.substr("a", F.lit(2)).cast("bigint").alias("a"), F.substr("b", F.lit(2)).cast("bigint").alias("b"), "dice")
+    """Every pair of a document and a passage whose whole texts have a Dice of the floor or more, wherever they differ."""
+    d = table(spark, sf, "documents").select("doc_id", norm_text("text").alias("s"))
+    b = table(spark, sf, "benchmark").select("item_id", norm_text("text").alias("s"))
+    near = M.similar_texts(d.withColumnRenamed("doc_id", "key"), b.withColumnRenamed("item_id", "key"), PASSAGE_FLOOR)
+    return near.select(F.col("left").alias("a"), F.col("right").alias("b"), "dice")
 
 
 FIELDS = {"recipient_name": 3.0, "reason": 2.0, "class_year": 0.5}

@@ -321,3 +321,25 @@ def test_candidate_reasons_and_eligibility(spark):
     assert got[2, 14] == (0.78, 2, ["same file name", "same recipient", "different reason"], False)
     assert got[3, 10] == (1.0, 1, ["identical to the copy on file"], True)
     assert got[3, 14] == (0.93, 2, ["same file name", "same recipient", "different reason", "was sent for Issuer signature"], False)
+
+
+def test_similar_texts_of_any_size_and_place(spark):
+    """All pairs by brute force; changed openings, cut ends, long texts, nulls."""
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdef gh") for _ in range(rng.randint(2, 60))) for _ in range(12)]
+    left = [(i, t) for i, t in enumerate(base)] + [(20 + i, "zz " + t[3:]) for i, t in enumerate(base)] + [(40, base[0] * 30), (41, ""), (42, None), (43, "a")]
+    right = [(100 + i, t[: len(t) - i]) for i, t in enumerate(base)] + [(120, base[1]), (121, ""), (122, None), (123, "a")]
+    kind = "key long, s string"
+    for t in (0.5, 0.8):
+        got = {(r.left, r.right): r.dice for r in M.similar_texts(spark.createDataFrame(left, kind), spark.createDataFrame(right, kind), t).collect()}
+
+        def dice_of(x, y):
+            if not x or not y:
+                return 0.0
+            if x == y:
+                return 1.0
+            g = [[s[i : i + 2] for i in range(len(s) - 1)] for s in (x, y)]
+            return 2 * sum(min(g[0].count(k), g[1].count(k)) for k in set(g[0])) / (len(g[0]) + len(g[1])) if g[0] and g[1] else 0.0
+
+        want = {(a, b): dice_of(x, y) for a, x in left for b, y in right if dice_of(x, y) >= t}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

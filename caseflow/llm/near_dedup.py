@@ -274,7 +274,9 @@ def _prefix_pairs(sets: DataFrame) -> DataFrame:
             for node, root, members in zip(batch["node"].to_pylist(), batch["root"].to_pylist(), batch["set"]):
                 v = np.asarray(members.values).view(np.uint64)
                 n = len(v)
-                v = v[np.lexsort((v, shared.value[(v & np.uint64(SLOTS - 1)).astype(np.int64)]))]
+                held = shared.value[(v & np.uint64(SLOTS - 1)).astype(np.int64)]
+                order = np.lexsort((v, held))
+                v, met = v[order], held[order] > 1  # a shingle alone in its slot is in no other set
                 own, least, most = int(np.log(n) / step), -(-PERCENT * n // 100), 100 * n // PERCENT
                 for other in range(int(np.log(least) / step), int(np.log(most) / step) + 1):
                     low = max(least, int(np.exp(other * step)))  # not above the smallest size of the class
@@ -282,11 +284,12 @@ def _prefix_pairs(sets: DataFrame) -> DataFrame:
                     if k < 1:
                         continue
                     a, b = sorted((own, other))
-                    keys.append(textbuf.mix(v[:k] + np.uint64(a * 4096 + b) * np.uint64(0x9E3779B97F4A7C15)))
-                    rests.append(n - np.arange(k))
-                    nodes.append(np.full(k, node))
-                    roots.append(np.full(k, root))
-                    sizes.append(np.full(k, n))
+                    at = np.flatnonzero(met[:k])
+                    keys.append(textbuf.mix(v[at] + np.uint64(a * 4096 + b) * np.uint64(0x9E3779B97F4A7C15)))
+                    rests.append(n - at)
+                    nodes.append(np.full(len(at), node))
+                    roots.append(np.full(len(at), root))
+                    sizes.append(np.full(len(at), n))
             flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([flat(nodes), flat(roots), flat([k.view(np.int64) for k in keys]), flat(sizes), flat(rests)], names=["node", "root", "key", "n", "rest"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage, drop_scratch, scratch_path, ship
 
-__all__ = ["read", "cut_lineage", "kept", "drop", "scratch_path", "ship", "map_batches", "held_out", "components"]
+__all__ = ["read", "cut_lineage", "kept", "drop", "release", "scratch_path", "ship", "map_batches", "held_out", "components"]
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
@@ -30,6 +31,13 @@ def drop(*tables: DataFrame | None) -> None:
             drop_scratch(t.sparkSession, t.scratch)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs deleted: Spark does so once the driver's collector finds them unreferenced, which on a
+    driver with much memory can be long after the disks of the executors are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

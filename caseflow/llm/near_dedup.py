@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .common import components, cut_lineage, drop, kept, map_batches
+from .common import components, cut_lineage, drop, kept, map_batches, release
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 80, 8
@@ -140,36 +140,49 @@ def decide(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, s1, s2, component_id, kept) for every row of docs (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
     summed = map_batches(docs.select("doc_id", "text"), _summaries, f"doc_id {kind}, n_shingles long, s1 long, s2 long, bands array<long>")
-    rows = cut_lineage(summed.withColumn("uid", F.monotonically_increasing_id()), "near-rows")
-    filled = rows.where("n_shingles > 0")
+    banded = kept(summed.withColumn("uid", F.monotonically_increasing_id()), "near-banded")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "n_shingles", "s1", "s2", "uid")).alias("first")
-    classes = cut_lineage(
-        filled.groupBy("n_shingles", "s1", "s2").agg(first, F.min("bands").alias("bands")).withColumn("first_id", F.col("first.doc_id")).withColumn("node", F.monotonically_increasing_id()),
-        "near-classes",
+    whole = kept(
+        banded.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(first, F.min("bands").alias("bands")).withColumn("first_id", F.col("first.doc_id")).withColumn("node", F.monotonically_increasing_id()),
+        "near-whole",
     )
-    found = _components(docs, classes)
+    # bands take most of the space and are needed for candidate keys only
+    rows, classes = cut_lineage(banded.drop("bands"), "near-rows"), cut_lineage(whole.drop("bands"), "near-classes")
+    drop(banded)
+    release(docs.sparkSession)
+    filled = rows.where("n_shingles > 0")
+    keys = _keys(whole)
+    drop(whole)
+    found = _components(docs, classes, keys)
     # the first row of each component, by its smallest id, over its classes
     of = classes.select("node", "n_shingles", "s1", "s2", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("first").alias("least"))
     named = of.join(least, "root").select("n_shingles", "s1", "s2", F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("first_uid"))
-    linked = filled.drop("bands").join(named, ["n_shingles", "s1", "s2"])
+    linked = filled.join(named, ["n_shingles", "s1", "s2"])
     linked = linked.select("doc_id", "n_shingles", "s1", "s2", "component_id", (F.col("uid") == F.col("first_uid")).alias("kept"))
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", "s1", "s2", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.union(alone)
 
 
-def _components(docs: DataFrame, classes: DataFrame, compared: list[int] | None = None) -> DataFrame:
-    """(node, root) of the classes that are linked with others. `compared` gets the number of pairs of each round."""
-    keys = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).select("node", "n_shingles", F.xxhash64("band", "key").alias("key"))
+def _keys(whole: DataFrame) -> DataFrame:
+    """(node, n_shingles, key, met) of the keys that several classes hold; met: how many (class, band) pairs a class meets there."""
+    keys = whole.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).select("node", "n_shingles", F.xxhash64("band", "key").alias("key"))
     crowded = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "near-crowded")
+    release(whole.sparkSession)
     crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
     shared = kept(keys.join(crowded, "key"), "near-shared")
-    if shared.isEmpty():
-        return classes.select("node", F.col("node").alias("root")).limit(0)
-    # how many (class, band) pairs a class meets in its buckets
     met = shared.groupBy("node").agg(F.sum("c").alias("met"))
-    keys = table = kept(shared.join(met, "node").select("node", "n_shingles", "key", "met"), "near-keys")
+    out = kept(shared.join(met, "node").select("node", "n_shingles", "key", "met"), "near-keys")
     drop(shared)
+    release(whole.sparkSession)
+    return out
+
+
+def _components(docs: DataFrame, classes: DataFrame, keys: DataFrame, compared: list[int] | None = None) -> DataFrame:
+    """(node, root) of the classes that are linked with others, from _keys() of them. `compared` gets the number of pairs of each round."""
+    table = keys
+    if keys.isEmpty():
+        return classes.select("node", F.col("node").alias("root")).limit(0)
     sets = _texts_of(docs, classes.join(keys.select("node").distinct(), "node", "left_semi"))
     few = PAIRS_PER_CLASS * classes.count()
     links: list[DataFrame] = []
@@ -208,6 +221,7 @@ def _components(docs: DataFrame, classes: DataFrame, compared: list[int] | None
         if compared is not None:
             compared.append(tried[-1].count())
         links.append(_confirmed(tried[-1], sets))
+        release(docs.sparkSession)
         label = components(reduce(DataFrame.union, links), "near-components")
         if last:
             break
@@ -285,7 +299,7 @@ def _prefix_pairs(sets: DataFrame) -> DataFrame:
                         continue
                     a, b = sorted((own, other))
                     at = np.flatnonzero(met[:k])
-                    keys.append(textbuf.mix(v[at] + np.uint64(a * 4096 + b) * np.uint64(0x9E3779B97F4A7C15)))
+                    keys.append(textbuf.mix(v[at] + np.uint64((a * 4096 + b) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
                     rests.append(n - at)
                     nodes.append(np.full(len(at), node))
                     roots.append(np.full(len(at), root))
@@ -298,6 +312,7 @@ def _prefix_pairs(sets: DataFrame) -> DataFrame:
     several = by_root.groupBy("key").agg(F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("major")).where("k > 1").select("key", "major")
     met = kept(rows.join(several, "key"), "near-met")
     drop(sets, rows)
+    release(met.sparkSession)
     x = met.where("root <> major").select("key", F.col("node").alias("x"), F.col("root").alias("xr"), F.col("n").alias("xn"), F.col("rest").alias("xs"))
     y = met.select("key", F.col("node").alias("y"), F.col("root").alias("yr"), F.col("n").alias("yn"), F.col("rest").alias("ys"))
     enough = F.least("xs", "ys") * (100 + PERCENT) >= PERCENT * (F.col("xn") + F.col("yn"))
@@ -325,7 +340,9 @@ def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
             ok.append(len(v) == batch["want_n"][i].as_py() and s1 == batch["want_1"][i].as_py() and s2 == batch["want_2"][i].as_py())
         return out.filter(pa.array(ok))
 
-    return cut_lineage(map_batches(texts, check, "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
+    out = cut_lineage(map_batches(texts, check, "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
+    release(docs.sparkSession)
+    return out
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

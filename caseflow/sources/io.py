@@ -10,6 +10,7 @@ from .. import fixed_values as V
 from ..functions import collapse, date_to_serial
 from ..operators.reports import next_step, parsed
 from ..operators.scale import is_false, is_true
+from . import delimited
 
 CASE_SCHEMA = T.StructType([
     T.StructField("case_id", T.StringType()), T.StructField("filename", T.StringType()),
@@ -50,20 +51,7 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     first = spark.read.text(path).limit(1).collect()
     line = (first[0][0] if first else "").lstrip("﻿")
     sep = sniff_delimiter(line, path)
-    wide = (spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True)
-            .option("ignoreLeadingWhiteSpace", False).option("enforceSchema", True)
-            .schema(T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(_widest(spark, path, sep))]))
-            .csv(path).withColumn("__n", F.monotonically_increasing_id()))
-    cells = F.array(*[F.coalesce(F.regexp_replace(F.col(c), "^﻿", ""), F.lit("")) for c in wide.columns if c != "__n"])
-    return wide.select(F.lit(path).alias("sheet"), F.col("__n").alias("row"), cells.alias("cells"))
-
-
-def _widest(spark: SparkSession, path: str, sep: str) -> int:
-    """Columns of the widest record: separators outside quotes, a record ending at a line break outside quotes."""
-    bare = F.regexp_replace(F.col("value"), '"[^"]*+("|\\z)', "")
-    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split(bare, r"\r\n|\r|\n")).alias("value"))
-    n = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit(""))))).first()[0]
-    return (n or 0) + 1
+    return delimited.read(spark, path, sep).select(F.lit(path).alias("sheet"), "row", "cells")
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:

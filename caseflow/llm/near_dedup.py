@@ -147,13 +147,11 @@ def decide(docs: DataFrame) -> DataFrame:
         "near-whole",
     )
     # bands take most of the space and are needed for candidate keys only
-    rows, classes = cut_lineage(banded.drop("bands"), "near-rows"), cut_lineage(whole.drop("bands"), "near-classes")
+    rows, classes = cut_lineage(banded.drop("bands"), "near-rows"), cut_lineage(whole.drop("bands", "first_id"), "near-classes")
     drop(banded)
     release(docs.sparkSession)
     filled = rows.where("n_shingles > 0")
-    keys = _keys(whole)
-    drop(whole)
-    found = _components(docs, classes, keys)
+    found = _components(docs, whole)
     # the first row of each component, by its smallest id, over its classes
     of = classes.select("node", "n_shingles", "s1", "s2", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("first").alias("least"))
@@ -178,9 +176,11 @@ def _keys(whole: DataFrame) -> DataFrame:
     return out
 
 
-def _components(docs: DataFrame, classes: DataFrame, keys: DataFrame, compared: list[int] | None = None) -> DataFrame:
-    """(node, root) of the classes that are linked with others, from _keys() of them. `compared` gets the number of pairs of each round."""
-    table = keys
+def _components(docs: DataFrame, whole: DataFrame, compared: list[int] | None = None) -> DataFrame:
+    """(node, root) of the classes that are linked with others; `whole`, with bands, is deleted. `compared` gets the number of pairs of each round."""
+    keys = table = _keys(whole)
+    classes = cut_lineage(whole.select("node", "n_shingles", "s1", "s2", "first_id"), "near-slim")
+    drop(whole)
     if keys.isEmpty():
         return classes.select("node", F.col("node").alias("root")).limit(0)
     sets = _texts_of(docs, classes.join(keys.select("node").distinct(), "node", "left_semi"))

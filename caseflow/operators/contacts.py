@@ -103,7 +103,8 @@ def extract(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     heads = _headers(rows, wanted)
     near_h = heads.select("sheet", "row", F.col("col").alias("k"), F.col("header").alias("near_h"))
     far_h = heads.select("sheet", "row", F.col("col").alias("fk"), F.col("header").alias("far_h"))
-    two = two.join(near_h, ["sheet", "row", "k"], "left").join(far_h, ["sheet", "row", "fk"], "left")
+    # cells are taken out of arrays, so files say little about their size: merged, never sent to the driver
+    two = two.join(near_h.hint("merge"), ["sheet", "row", "k"], "left").join(far_h.hint("merge"), ["sheet", "row", "fk"], "left")
     swapped = is_true(F.col("far_h").rlike(V.LAST_NAME_HEADER) & F.col("near_h").rlike(V.FIRST_NAME_HEADER))
     doubles = two.select(
         "email", (F.col("i") * 2 + 1).alias("seq"),
@@ -113,11 +114,11 @@ def extract(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     cands = singles.unionByName(doubles)
     if known is not None:
         near = name_pairs(cands.select("name").distinct(), known.select("name").distinct()).groupBy("name").agg(F.min("dist").alias("d"))
-        cands = cands.join(near, "name", "left").withColumn(
+        cands = cands.join(near.hint("merge"), "name", "left").withColumn(
             "score", F.col("score") + F.when(F.col("d") <= 2, 6 - F.col("d")).otherwise(0)
         )
     best = cands.groupBy("email").agg(F.max_by("name", F.struct("score", -F.col("seq"))).alias("beside"))
-    named = found.join(best, "email", "left")
+    named = found.join(best.hint("merge"), "email", "left")
     name = F.when(F.col("own") != "", F.col("own")).otherwise(F.coalesce("beside", F.lit("")))
     guess = name_from_address("email")
     return named.select(
@@ -132,7 +133,7 @@ def place(names: DataFrame, known: DataFrame, distinct_pairs: DataFrame | None =
     known: name, ord.
     """
     hit = best_match(names.select("name").where("name <> ''"), known, distinct_pairs=distinct_pairs).where("not ambiguous")
-    return names.select("name").distinct().join(hit, "name", "left").select(
+    return names.select("name").distinct().join(hit.hint("merge"), "name", "left").select(
         "name",
         F.when(F.col("match").isNotNull(), F.col("match")).when(F.col("name") != "", display_name("name")).otherwise("").alias("placed"),
         F.coalesce("match", F.lit("")).alias("party"),
@@ -146,7 +147,7 @@ def import_contacts(
     """Classified import: every pair with `existing` true when its address is already there (left untouched)."""
     have = contacts.select(F.col("email").alias("__e")).distinct()
     placed = place(pairs, known, distinct_pairs)
-    return pairs.join(placed, "name", "left").join(have, F.col("email") == F.col("__e"), "left").select(
+    return pairs.join(placed.hint("merge"), "name", "left").join(have.hint("merge"), F.col("email") == F.col("__e"), "left").select(
         "email", F.col("placed").alias("name"), "party", "match", "guessed",
         F.when(F.col("name") != F.col("placed"), F.col("name")).otherwise("").alias("sheet_name"),
         F.col("__e").isNotNull().alias("existing"),

@@ -72,6 +72,12 @@ def test_name_pairs_equal_brute_force(spark):
     assert len(got) > len(names)
 
 
+def test_keys_and_parts_of_names_are_not_sent_to_the_driver(spark):
+    df = spark.createDataFrame([("John Doe", 1), ("Jon Doe", 2)], "name string, ord int")
+    for got in (M.name_pairs(df, df), M.best_match(df, df)):
+        assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_best_match_cases(spark):
     known = spark.createDataFrame([("John Doe", 1), ("Jane Smith", 2), ("Jon Dow", 3)], "name string, ord int")
     left = spark.createDataFrame([("Doe, John",), ("Jane Smyth",), ("Jan Doe",), ("Nobody Onfile",)], "name string")

@@ -246,7 +246,8 @@ def snapshot_retention(spark, sf):
 SELECT case_id, least(60, CASE WHEN n_lines > 4 THEN 50 + 10 * n_lines ELSE n_lines END) AS entries,
   CASE WHEN n_lines > 4 THEN 50 + 10 * n_lines - 59 ELSE least(n_lines, 1) END AS first FROM cases"""))
 def history_trimmed(spark, sf):
-    h = cases(spark, sf).selectExpr("case_id", "n_lines", "filter(transform(sequence(1, 200), i -> struct(i AS at)), x -> x.at <= if(n_lines > 4, 50 + 10 * n_lines, n_lines)) AS history")
+    h = cases(spark, sf).selectExpr("case_id", "if(n_lines > 4, 50 + 10 * n_lines, n_lines) AS n")
+    h = h.selectExpr("case_id", "if(n > 0, transform(sequence(1, cast(n AS int)), i -> struct(i AS at)), cast(array() AS array<struct<at:int>>)) AS history")
     t = h.select("case_id", R.trim_history(F.col("history")).alias("h"))
     return t.select("case_id", F.size("h").alias("entries"), F.coalesce(F.get("h", F.lit(0))["at"], F.lit(0)).alias("first"))
 

@@ -37,3 +37,21 @@ def test_every_survey_row_has_a_query():
     want = {f"{g}{i}" for g, n in {"S": 12, "P": 18, "J": 18, "A": 20, "W": 9, "O": 5, "U": 5, "F": 34, "T": 7, "M": 7}.items() for i in range(1, n + 1)}
     have = {i.strip() for q in load_queries().values() for i in q.ids.split(",")}
     assert want <= have, sorted(want - have)
+
+
+def test_history_of_an_order_of_many_lines(spark, tmp_path):
+    """20 lines are 250 entries, of which the last 60 stay."""
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+    import pyarrow.parquet as pq
+
+    for f in os.listdir(SF):
+        if f != "lineitem.parquet":
+            os.symlink(f"{SF}/{f}", tmp_path / f)
+    lines = pq.read_table(f"{SF}/lineitem.parquet")
+    key = pq.read_table(f"{SF}/orders.parquet")["o_orderkey"][0].as_py()
+    more = lines.slice(0, 20).set_column(lines.schema.get_field_index("l_orderkey"), lines.schema.field("l_orderkey"), pa.array([key] * 20, lines.schema.field("l_orderkey").type))
+    pq.write_table(pa.concat_tables([lines.filter(pa.compute.not_equal(lines["l_orderkey"], key)), more]), tmp_path / "lineitem.parquet")
+    q = load_queries()["history_trimmed"]
+    assert {r.case_id: (r.entries, r.first) for r in q.run(spark, str(tmp_path)).collect()}[key] == (60, 191)
+    assert compare(spark, connect(str(tmp_path)), q, str(tmp_path)) == ""

@@ -8,7 +8,7 @@ n boxes and m fields take n * n * m steps and n * m numbers. A page is bounded b
 from __future__ import annotations
 
 from itertools import groupby
-from math import hypot, inf
+from math import floor, hypot, inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,11 +34,11 @@ def cheapest(cost: list[list[float]]) -> list[int | None]:
         for c, r in enumerate(taken):
             out[r] = c
         return out
-    row_price, col_price = [0.0] * rows, [0.0] * cols
+    row_price, col_price = [0] * rows, [0] * cols  # whole costs stay whole, whatever their size
     owner, held = [-1] * cols, [-1] * rows
     for start in range(rows):
         far, came, closed, path = [inf] * cols, [-1] * cols, [False] * cols, []
-        row, so_far = start, 0.0
+        row, so_far = start, 0
         while True:
             line, price = cost[row], so_far - row_price[row]
             near, free = inf, -1
@@ -66,6 +66,17 @@ def cheapest(cost: list[list[float]]) -> list[int | None]:
     return held
 
 
+def first_cheapest(cost: list[list[float]]) -> list[int | None]:
+    """`cheapest` with costs summed in whole billionths; of equal totals the one that gives the first row the first column it can, then
+    the second row, and so on (a row without one comes last)."""
+    if not cost or not cost[0]:
+        return [None] * len(cost)
+    rows, cols = len(cost), len(cost[0])
+    place = [(cols + 1) ** (rows - 1 - i) for i in range(rows)]
+    unit = (cols + 1) ** rows  # more than all places together
+    return cheapest([[floor(c * 1e9 + 0.5) * unit + (j - cols) * place[i] for j, c in enumerate(line)] for i, line in enumerate(cost)])
+
+
 def pair_cost(slot: dict, widget: dict, tol_x: float, tol_y: float) -> tuple[float, bool]:
     """(cost, whether all edges lie within the tolerance) of a box and a field; names are normalised."""
     kinds = tuple(sorted((slot["ftype"] or "", widget["ftype"] or "")))
@@ -87,7 +98,7 @@ def pair_cost(slot: dict, widget: dict, tol_x: float, tol_y: float) -> tuple[flo
 
 def assign_widgets(slots: DataFrame, widgets: DataFrame, tol_x: float, tol_y: float) -> DataFrame:
     """(page, slot, widget, cost, tight): the assignment of least total cost over all boxes and fields of a page, of which pairs
-    dearer than the accepted cost are then left out.
+    dearer than the accepted cost are then left out. Of equal totals `first_cheapest` says which.
 
     slots: page, slot, ftype, name, x0..y1; widgets: page, widget, ftype, name, has_value, x0..y1, in page units of 1. Pages without
     boxes or without fields give no rows; rows with a null edge or null page are left out.
@@ -115,7 +126,7 @@ def assign_widgets(slots: DataFrame, widgets: DataFrame, tol_x: float, tol_y: fl
                 if not boxes or not fields:
                     continue
                 pairs = [[pair_cost(s, w, tol_x, tol_y) for w in fields] for s in boxes]
-                for i, j in enumerate(cheapest([[c for c, _ in line] for line in pairs])):
+                for i, j in enumerate(first_cheapest([[c for c, _ in line] for line in pairs])):
                     if j is not None and pairs[i][j][0] <= accept:
                         out.append((boxes[i]["page"], boxes[i]["slot"], fields[j]["widget"], *pairs[i][j]))
                 if len(out) >= 10_000:
@@ -124,7 +135,7 @@ def assign_widgets(slots: DataFrame, widgets: DataFrame, tol_x: float, tol_y: fl
             if out:
                 yield _rows(out, schema)
 
-    ordered = both.repartition("page").sortWithinPartitions("page", "slot", "widget")
+    ordered = both.repartition("page").sortWithinPartitions("page", "slot", "widget", *_EDGES, "ftype", "name", "has_value")
     return ordered.mapInArrow(run, f"page {kinds['page']}, slot {kinds['slot']}, widget {kinds['widget']}, cost double, tight boolean")
 
 

@@ -58,3 +58,20 @@ def test_contending_fields(spark):
     far = w.where("widget = 'q'").withColumn("x0", w.x0 + 0.5).withColumn("x1", w.x1 + 0.5)
     got = {(r.slot, r.widget) for r in A.assign_widgets(s.where("page = 1"), w.where("widget = 'p' and page = 1").unionByName(far.where("page = 1")), 0.01, 0.01).collect()}
     assert got in ({("s1", "p")}, {("s2", "p")}) and len(got) == 1
+
+
+def test_of_equal_totals_the_first_box_takes_the_first_field():
+    rng = random.Random(8)
+    for _ in range(200):
+        n, m = rng.randint(1, 5), rng.randint(1, 5)
+        cost = [[rng.choice([0.1, 0.2, 0.3, 9.0]) for _ in range(m)] for _ in range(n)]
+        k, ways = min(n, m), []
+        for boxes in itertools.combinations(range(n), k):
+            for fields in itertools.permutations(range(m), k):
+                held = [None] * n
+                for i, j in zip(boxes, fields):
+                    held[i] = j
+                ways.append((sum(round(cost[i][j] * 10) for i, j in zip(boxes, fields)), [m if j is None else j for j in held], held))
+        assert A.first_cheapest(cost) == min(ways, key=lambda w: w[:2])[2]
+    # the sums differ in their last bit only
+    assert A.first_cheapest([[0.1 + 0.2, 0.1], [0.3, 0.1]]) == [0, 1]

@@ -94,6 +94,13 @@ def test_sides_of_similar_values_meet_each_other_only(spark, monkeypatch):
         assert len(got) == len(want) and {(a, b): d for a, b, d in got} == want
 
 
+def test_equally_near_boxes_tie_whatever_their_last_bit(spark):
+    """0.1 + 0.2 and 0.3 are one distance: the smaller box wins, though its distance is the larger number."""
+    words = spark.createDataFrame([(1, 1, "a", 0.0, 0.0)], "page int, word_no int, word string, cx double, cy double")
+    boxes = spark.createDataFrame([(1, "wide", 0.3, 0.0, 0.9, 0.1), (1, "small", 0.1 + 0.2, 0.0, 0.5, 0.1)], "page int, box string, x0 double, y0 double, x1 double, y1 double")
+    assert [r.box for r in M.assign_words(words, boxes, 0.4).collect()] == ["small"]
+
+
 def test_keys_and_parts_of_names_are_not_sent_to_the_driver(spark):
     df = spark.createDataFrame([("John Doe", 1), ("Jon Doe", 2)], "name string, ord int")
     for got in (M.name_pairs(df, df), M.best_match(df, df)):

@@ -39,6 +39,12 @@ def test_every_survey_row_has_a_query():
     assert want <= have, sorted(want - have)
 
 
+def test_words_of_documents_are_dealt_out_before_they_are_split(spark):
+    """One shuffle of the texts by document; numbering and sums stay where the words are."""
+    plan = load_queries()["words_minus_printed"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_history_of_an_order_of_many_lines(spark, tmp_path):
     """20 lines are 250 entries, of which the last 60 stay."""
     import pyarrow as pa

@@ -1,7 +1,9 @@
 """Document quality by Bradley-Terry ranking.
 
-Pairs of a better and a worse labelled document teach one weight per feature: the logistic loss of the feature difference. A
-document's score is its weighted feature sum, moved so that the quantile that holds the share of worse labels lies at the decision limit.
+Pairs of a better and a worse labelled document teach one weight per feature: the logistic loss of the feature difference. Every
+labelled document is learned from: a hash deals them into blocks, and all pairs of a block count. Newton's steps add up gradients and
+curvatures of the blocks where these lie. A document's score is its weighted feature sum, moved so that the quantile of all labelled
+documents that holds the share of worse labels lies at the decision limit.
 
 Features are computed over the whole text: shares of kinds of characters, word and line repetition, and hashed pairs of
 character shapes. Defined results: a null or empty text has zero features but a score like any other; without labels of both
@@ -17,11 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linear, textbuf
-from .common import held_out, map_batches
-
-#: Labelled documents of each label that are learned from at most, by a hash of their text.
-SAMPLE_PER_LABEL = 1500
-PAIRS, STEPS, RIDGE = 20_000, 300, 1e-3
+from .common import drop, held_out, kept, map_batches
+
+#: Labelled documents of a block, about; a block has all its pairs of a better and a worse one. A larger block (repeated ids) is cut. Rows
+#: of a block without one of the labels count for means and the quantile only.
+BLOCK = 512
+#: Newton's steps at most, and the largest step of a weight at which they end.
+STEPS, RIDGE, STILL = 40, 1e-3, 1e-6
+#: Sums of blocks are added in so many tasks before the driver has them.
+SUM_TASKS = 8
+#: Scores of labelled documents, from -SPAN to SPAN, are counted at so many places for their quantile, then within the place that holds it.
+PLACES, SPAN, FINER = 4096, 32, 3
 LIMIT = 0.3
 SHAPES = 256
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -86,27 +94,118 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, in
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text")), share
 
 
-def train(x: np.ndarray, y: np.ndarray, share: dict[int, int], seed: int = 3) -> dict | None:
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+def _halves(rows: pa.RecordBatch):
+    """(better, worse) features of each block."""
+    for good, bad in zip(rows["good"], rows["bad"]):
+        yield tuple(np.frombuffer(v.as_buffer(), np.float32).reshape(-1, WIDTH).astype(float) for v in (good, bad))
+
+
+def _added(blocks: DataFrame, part) -> list[np.ndarray]:
+    """Arrays that `part` gives of each block's halves, summed up over all blocks: within tasks, in a few tasks, then here."""
+    def own(batches):
+        total = None
+        for b in batches:
+            for halves in _halves(b):
+                got = part(*halves)
+                total = got if total is None else [x + y for x, y in zip(total, got)]
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"at": pa.array([float(total[-1].sum())]), "sums": pa.array([[np.asarray(x, float).tobytes() for x in total]], pa.list_(pa.binary()))})
+
+    def both(batches):
+        total = None
+        for b in batches:
+            for row in b["sums"]:
+                got = [np.frombuffer(x.as_buffer()) for x in row]
+                total = got if total is None else [x + y for x, y in zip(total, got)]
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([[x.tobytes() for x in total]], pa.list_(pa.binary()))})
+
+    sums = blocks.select("good", "bad").mapInArrow(own, "at double, sums array<binary>")
+    sums = sums.repartition(SUM_TASKS, "at").sortWithinPartitions("at").select("sums").mapInArrow(both, "sums array<binary>")
+    rows = [[np.frombuffer(bytes(x)) for x in r["sums"]] for r in sums.collect()]
+    return [sum(x) for x in zip(*rows)]
+
+
+def newton(w: np.ndarray, good: np.ndarray, bad: np.ndarray) -> list[np.ndarray]:
+    """Pairs, loss, gradient and curvature at w of all pairs of two sets: log(1 + exp(worse - better)) of each."""
     if not len(good) or not len(bad):
+        return [np.zeros(1), np.zeros(1), np.zeros(len(w)), np.zeros(len(w) ** 2)]
+    gap = (bad @ w)[None, :] - (good @ w)[:, None]
+    pull = linear.sigmoid(gap)
+    bend = pull * (1 - pull)
+    cross = good.T @ bend @ bad
+    curve = (good.T * bend.sum(1)) @ good + (bad.T * bend.sum(0)) @ bad - cross - cross.T
+    return [np.array([gap.size], float), np.array([np.logaddexp(0, gap).sum()]), bad.T @ pull.sum(0) - good.T @ pull.sum(1), curve.ravel()]
+
+
+def train(rows: DataFrame) -> dict | None:
+    """The model of all rows (doc_id, label, x). Rows lie in blocks by a hash of their id; the driver has sums of blocks only."""
+    count = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not count.get(0) or not count.get(1):
         return None
-    rng = np.random.default_rng(seed)
-    mean, spread = x.mean(0), x.std(0) + 1e-3
-    z = (x - mean) / spread
-    i, j = rng.choice(good, PAIRS), rng.choice(bad, PAIRS)
-    w, m, v = np.zeros(z.shape[1]), 0.0, 0.0
-    for t in range(1, STEPS + 1):
-        s = z @ w
-        pull = linear.sigmoid(s[j] - s[i]) / PAIRS  # the loss of a pair is log(1 + exp(worse - better))
-        g = z.T @ (np.bincount(j, pull, len(z)) - np.bincount(i, pull, len(z))) + RIDGE * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    s = z @ w
-    p0 = share[0] / (share[0] + share[1])
-    weight = np.where(y == 0, p0 / len(bad), (1 - p0) / len(good))
-    order = np.argsort(s)
-    at = s[order][min(len(s) - 1, int(np.searchsorted(np.cumsum(weight[order]), p0)))]
-    return {"mean": mean, "spread": spread, "w": w, "at": at}
+    parts = 1 + sum(count.values()) // BLOCK
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(parts)))
+    tasks = max(1, min(parts // 4, 2000))
+
+    def pack(held):
+        return pa.RecordBatch.from_pydict({k: pa.array([b"".join(x for v, x in held if v == want)], pa.binary()) for k, want in (("good", 1), ("bad", 0))})
+
+    def block(batches):
+        last, held = None, []
+        for b in batches:
+            for at, label, x in zip(b["block"], b["label"], b["x"]):
+                at = at.as_py()
+                if held and (at != last or len(held) >= 2 * BLOCK):
+                    yield pack(held)
+                    held = []
+                last = at
+                held.append((label.as_py(), x.as_py()))
+        if held:
+            yield pack(held)
+
+    dealt = dealt.repartition(tasks, "block").sortWithinPartitions("block", F.xxhash64("x"), "label", "x").select("block", "label", "x")
+    blocks = kept(dealt.mapInArrow(block, "good binary, bad binary"), "quality-blocks")
+    n, total, square = _added(blocks, lambda g, b: [np.array([len(g) + len(b)], float), g.sum(0) + b.sum(0), (g * g).sum(0) + (b * b).sum(0)])
+    mean = total / n
+    spread = np.sqrt(np.maximum(square / n - mean * mean, 0)) + 1e-3
+    w, step, before = np.zeros(WIDTH), np.zeros(WIDTH), np.inf
+    for _ in range(STEPS):
+        pairs, loss, pull, curve = _added(blocks, lambda g, b, w=w: newton(w, (g - mean) / spread, (b - mean) / spread))
+        if not pairs[0]:
+            drop(blocks)
+            return None
+        loss = loss[0] / pairs[0] + RIDGE * (w @ w) / 2
+        if loss > before + 1e-12:  # too far: half the step
+            step = step / 2
+            w = w - step
+            if np.abs(step).max() < STILL:
+                break
+            continue
+        before = loss
+        step = -np.linalg.solve(curve.reshape(WIDTH, WIDTH) / pairs[0] + RIDGE * np.eye(WIDTH), pull / pairs[0] + RIDGE * w)
+        w = w + step
+        if np.abs(step).max() < STILL:
+            break
+    w = np.round(w, 9)
+
+    low, width = -float(SPAN), 2.0 * SPAN
+    for _ in range(FINER):
+        def places(batches, low=low, width=width):
+            tally = np.zeros(PLACES + 2, np.int64)
+            for b in batches:
+                for halves in _halves(b):
+                    for x in halves:
+                        at = np.ceil((((x - mean) / spread) @ w - low) / width * PLACES)
+                        tally += np.bincount(np.clip(at, 0, PLACES + 1).astype(np.int64), minlength=len(tally))
+            at = np.flatnonzero(tally)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(at), "n": pa.array(tally[at])})
+
+        counted = blocks.select("good", "bad").mapInArrow(places, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").collect()
+        upto = int(np.searchsorted(np.cumsum([r["n"] for r in counted]), count[0]))
+        place = min(max(counted[min(upto, len(counted) - 1)]["at"], 1), PLACES)
+        low, width = low + (place - 1) * width / PLACES, width / PLACES
+    drop(blocks)
+    return {"mean": mean, "spread": spread, "w": w, "at": low + width}
 
 
 def score(model: dict | None, x: np.ndarray) -> np.ndarray:
@@ -126,12 +225,13 @@ def rank(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str =
 
     def learn(batch):
         x = rows_of(batch["text"])
-        return pa.RecordBatch.from_pydict({"label": batch["label"], "x": pa.array([r.tobytes() for r in x], pa.binary())})
+        return pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "label": batch["label"], "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    some, share = labelled(docs, labels, column, {0: SAMPLE_PER_LABEL, 1: SAMPLE_PER_LABEL})
-    got = map_batches(some, learn, "label int, x binary").toPandas().sort_values(["label", "x"])
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, WIDTH).astype(float)
-    shared = spark.sparkContext.broadcast(train(x, got["label"].to_numpy(), share))
+    given = labels.where(~held_out("doc_id", 5, 0) & F.col(column).isin(0, 1)).select("doc_id", F.col(column).cast("int").alias("label"))
+    # merged at every size: sent to all tasks, ids would outgrow an executor, and texts cross the network once
+    rows = kept(map_batches(docs.select("doc_id", "text").join(given.hint("merge"), "doc_id"), learn, f"doc_id {kind}, label int, x binary"), "quality-rows")
+    shared = spark.sparkContext.broadcast(train(rows))
+    drop(rows)
 
     def run(batch):
         s = score(shared.value, rows_of(batch["text"]))

@@ -47,6 +47,30 @@ def test_cases(spark, fn, none):
         assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.predicted == 0}
 
 
+def test_quality_learns_from_all_labels(spark):
+    rng = np.random.default_rng(8)
+    n = 9000
+    bad = rng.random(n) < 0.3
+    words = ["plain", "words", "Here", "some,", "good.", "BAD!", "1234", "%%%", "<b>", "of"]
+    texts = [" ".join(rng.choice(words, rng.integers(3, 30))) for _ in range(n)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0 if b and rng.random() < 0.9 else 1) for i, b in enumerate(bad)], "doc_id long, quality int")
+    got = Q.rank(spark, docs, labels).where("not held_out").join(labels, "doc_id").agg(F.expr("count_if(predicted = 0) AS p"), F.expr("count_if(quality = 0) AS q")).first()
+    assert abs(got.p - got.q) <= 8  # the limit is the quantile of all labelled documents, not of some
+
+
+def test_pairs_gradient_and_curvature():
+    rng = np.random.default_rng(5)
+    w, good, bad = rng.normal(size=4), rng.normal(size=(7, 4)), rng.normal(size=(5, 4))
+    n, loss, pull, curve = Q.newton(w, good, bad)
+    assert n[0] == 35
+    for i in range(4):
+        d = np.eye(4)[i] * 1e-5
+        up, down = Q.newton(w + d, good, bad), Q.newton(w - d, good, bad)
+        assert abs((up[1][0] - down[1][0]) / 2e-5 - pull[i]) < 1e-6
+        assert np.allclose((up[2] - down[2]) / 2e-5, curve.reshape(4, 4)[i], atol=1e-6)
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(4)
     m = {k: v.astype(np.float64) for k, v in T.start(1).items() if k not in ("words", "grams")}

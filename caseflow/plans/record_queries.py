@@ -59,7 +59,7 @@ _FORM = [
 def form_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Cases as forms that were read: a map of slots, typed corrections and a file name, kept as a catalog table."""
     c = spread(case_facts(spark, sf), "case_id").selectExpr(*_FORM).withColumn("fn", parse_filename("filename"))
-    return cut_lineage(c.selectExpr("*", "fn.pos_neg AS file_pos_neg", "fn.reason AS file_reason"), "catalog")
+    return cut_lineage(c.selectExpr("*", "fn.pos_neg AS file_pos_neg", "fn.reason AS file_reason").drop("fn"), "catalog")
 
 
 _FORM_SQL = f"""

@@ -378,3 +378,11 @@ def test_similar_texts_of_any_size_and_place(spark):
 
         want = {(a, b): dice_of(x, y) for a, x in left for b, y in right if dice_of(x, y) >= t}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_form_table_holds_file_parts_once(spark):
+    """The kept table of cases has the two parts of the file name that are read, not all that was parsed."""
+    from caseflow.plans.record_queries import form_cases
+
+    kept = spark.read.parquet(*form_cases(spark, "/root/testdata/sf0.001").inputFiles())
+    assert {"slots", "file_pos_neg", "file_reason"} <= set(kept.columns) and "fn" not in kept.columns

@@ -10,20 +10,28 @@ from .base import col, let, text
 from .text import collapse
 
 
+#: Every rank word holds one of these; names without them are left as they are.
+_RANK_HINT = r"(?i)c[1-4]c|cadet|c/"
+
+
 def strip_rank(name: Column | str) -> Column:
     """Drop rank words; a "C/..." grade may run into a second word."""
-    bare = lambda t: F.regexp_replace(t, r"^[,.]+|[,.]+$", "")
-    is_grade = lambda t: F.lower(bare(t)).startswith("c/")
-
     def kept(tokens: Column) -> Column:
-        def keep(t: Column, i: Column) -> Column:
-            second = F.coalesce(is_grade(F.get(tokens, i - 1)), F.lit(False)) & bare(t).rlike(V.RANK_SECOND_WORD)
-            return ~(second | bare(t).rlike(V.RANK_TOKEN) | is_grade(t))
+        def by_word(bare: Column) -> Column:
+            def keep(t: Column, i: Column) -> Column:
+                word = F.get(bare, i)
+                second = F.coalesce(F.get(bare, i - 1).startswith("c/"), F.lit(False)) & word.rlike(V.RANK_SECOND_WORD)
+                return ~(second | word.rlike(V.RANK_TOKEN) | word.startswith("c/"))
+
+            return F.filter(tokens, keep)
 
-        return F.filter(tokens, keep)
+        return let(F.transform(tokens, lambda t: F.lower(F.btrim(t, F.lit(",.")))), by_word)
 
-    joined = F.array_join(let(F.split(collapse(name), " "), kept), " ")
-    return F.regexp_replace(collapse(joined), r"^[\s,]+|[\s,]+$", "")
+    def stripped(whole: Column) -> Column:
+        joined = F.array_join(let(F.split(whole, " "), kept), " ")
+        return F.regexp_replace(F.when(whole.rlike(_RANK_HINT), joined).otherwise(whole), r"^[\s,]+|[\s,]+$", "")
+
+    return let(collapse(name), stripped)
 
 
 def form_name_to_display(name: Column | str) -> Column:
@@ -80,17 +88,15 @@ def name_parts(raw: Column | str) -> Column:
     )
 
     def clean(s: Column) -> Column:
-        toks = F.transform(F.split(F.lower(collapse(s)), " "), lambda t: F.regexp_replace(t, "^-+|-+$", ""))
-        return F.filter(toks, lambda t: (t != "") & ~t.rlike(V.NAME_SUFFIX) & ~t.rlike(V.NAME_HONORIFIC))
+        toks = F.transform(F.split(F.lower(collapse(s)), " "), lambda t: F.btrim(t, F.lit("-")))
+        return F.filter(toks, lambda t: (t != "") & ~t.rlike(f"{V.NAME_SUFFIX}|{V.NAME_HONORIFIC}"))
 
     def ordered(s: Column) -> Column:
         chunks = F.filter(F.transform(F.split(s, ","), clean), lambda c: F.size(c) > 0)
 
         def read(ch: Column) -> Column:
             comma = (F.instr(s, ",") > 0) & (F.size(ch) >= 2)
-            tokens = F.when(comma, F.concat(F.get(ch, F.lit(1)), F.get(ch, F.lit(0)))).otherwise(
-                clean(F.regexp_replace(s, ",", " "))
-            )
+            tokens = F.when(comma, F.concat(F.get(ch, F.lit(1)), F.get(ch, F.lit(0)))).otherwise(F.flatten(ch))
             return let(tokens, lambda t: let(F.filter(t, lambda x: F.length(x) > 1), lambda core: F.struct(
                 t.alias("tokens"), core.alias("core"), comma.alias("comma"),
                 F.when(F.size(core) > 1, F.slice(core, F.lit(1), F.size(core) - 1)).otherwise(core).alias("given"),
@@ -120,17 +126,22 @@ def _written(raw: Column, word: Column) -> Column:
     return let(hit, shown)
 
 
-def first_name(raw: Column | str) -> Column:
+def _parts(raw: Column, parts: Column | None, body) -> Column:
+    """`body` of the parts of a name: a column that has them already, else read here, once a row."""
+    return let(name_parts(raw), body) if parts is None else body(parts)
+
+
+def first_name(raw: Column | str, parts: Column | None = None) -> Column:
     raw = col(raw)
-    return let(name_parts(raw), lambda p: F.when(
+    return _parts(raw, parts, lambda p: F.when(
         F.size(p["given"]) > 0, _written(raw, F.get(p["given"], F.lit(0)))
     ).otherwise(F.get(F.split(collapse(raw), " "), F.lit(0))))
 
 
-def last_name(raw: Column | str) -> Column:
+def last_name(raw: Column | str, parts: Column | None = None) -> Column:
     raw = col(raw)
-    return let(
-        name_parts(raw),
+    return _parts(
+        raw, parts,
         lambda p: let(
             F.when(p["family"] != "", p["family"]).otherwise(F.get(p["core"], F.lit(0))),
             lambda f: F.when(f.isNull(), F.lit("")).otherwise(_written(raw, f)),
@@ -138,8 +149,8 @@ def last_name(raw: Column | str) -> Column:
     )
 
 
-def display_name(raw: Column | str) -> Column:
-    return let(name_parts(raw), lambda p: F.when(
+def display_name(raw: Column | str, parts: Column | None = None) -> Column:
+    return _parts(col(raw), parts, lambda p: F.when(
         F.size(p["tokens"]) > 0, title_case(F.array_join(p["tokens"], " "))
     ).otherwise(collapse(raw)))
 

@@ -142,11 +142,14 @@ SELECT c_custkey, {given_sql('c_custkey')} AS first_name, {family_sql('c_custkey
 def name_forms(spark, sf):
     raw = F.when(F.col("c_nationkey") < 12, F.concat(F.lit("Mr. "), given(_k()), F.lit(" (Jack) "), family(_k()), F.lit(" Jr"))).otherwise(
         F.concat(F.upper(family(_k())), F.lit(", "), F.upper(given(_k()))))
-    first, last = C.first_name(raw), C.last_name(raw)
-    return table(spark, sf, "customer").select(
-        "c_custkey", first.alias("first_name"), last.alias("last_name"), C.display_name(raw).alias("shown"),
-        C.fill_template(F.lit("Dear {First_Name} {lastname} $1"), raw, first, last).alias("letter"),
-        F.array_join(C.name_parts(raw)["given"], " ").alias("given_words"), C.name_parts(raw)["family"].alias("family"), C.name_parts(raw)["comma"].alias("comma"))
+    # few bytes, much work a row; a name is taken apart once
+    named = spread(table(spark, sf, "customer").select("c_custkey", raw.alias("raw")), "c_custkey").withColumn("p", C.name_parts("raw"))
+    p = F.col("p")
+    named = named.withColumns({"first_name": C.first_name("raw", p), "last_name": C.last_name("raw", p)})
+    return named.select(
+        "c_custkey", "first_name", "last_name", C.display_name("raw", p).alias("shown"),
+        C.fill_template(F.lit("Dear {First_Name} {lastname} $1"), F.col("raw"), F.col("first_name"), F.col("last_name")).alias("letter"),
+        F.array_join(p["given"], " ").alias("given_words"), p["family"].alias("family"), p["comma"].alias("comma"))
 
 
 _TOK = lambda a, b: f"(CASE WHEN {a} = {b} THEN 0 WHEN levenshtein({a}, {b}) <= least(2, least(length({a}), length({b})) // 3) THEN levenshtein({a}, {b}) ELSE 3 END)"

@@ -32,8 +32,8 @@ def strip_label(raw: Column | str) -> Column:
     return let(F.filter(F.split(collapse(raw), " "), lambda t: t != ""), bounds)
 
 
-def sanction_count(raw: Column | str, source: Column | None = None, scanned: Column | None = None) -> Column:
-    """A count as text. Blank and N/A are "0", but a blank that could not be read stays ""."""
+def sanction_count(raw: Column | str, source: Column | None = None, scanned: Column | None = None, bare: Column | None = None) -> Column:
+    """A count as text. Blank and N/A are "0", but a blank that could not be read stays "". bare: `strip_label` of it, where a column has it."""
     from_ink = F.lit(False) if source is None else F.coalesce(source == "ink", F.lit(False))
     on_scan = F.lit(False) if scanned is None else F.coalesce(scanned, F.lit(False))
 
@@ -46,8 +46,9 @@ def sanction_count(raw: Column | str, source: Column | None = None, scanned: Col
             .otherwise(s)
         )
 
-    return let(strip_label(raw), read)
+    return let(strip_label(raw), read) if bare is None else read(bare)
 
 
-def other_text(raw: Column | str) -> Column:
-    return let(strip_label(raw), lambda s: F.when((s == "") | s.rlike(V.NOTHING), "").otherwise(s))
+def other_text(raw: Column | str, bare: Column | None = None) -> Column:
+    said = lambda s: F.when((s == "") | s.rlike(V.NOTHING), "").otherwise(s)
+    return let(strip_label(raw), said) if bare is None else said(bare)

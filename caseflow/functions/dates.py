@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_letters
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,31 +20,46 @@ def _valid_date(p: Column) -> Column:
     """Date of a struct (y, m, d) within 2000..2100, else null; a two-digit year is this century's."""
     year = F.when(p["y"] < 100, p["y"] + 2000).otherwise(p["y"])
     ok = year.between(2000, 2100) & p["m"].between(1, 12) & p["d"].between(1, 31)
-    return F.when(ok, F.format_string("%04d-%02d-%02d", year, p["m"], p["d"]).try_cast("date"))
+    return F.when(ok, F.concat_ws("-", year, p["m"], p["d"]).try_cast("date"))
 
 
 def _month_number(word: Column) -> Column:
-    months = F.create_map(*[F.lit(x) for pair in V.MONTH_NUMBERS.items() for x in pair])
-    return F.try_element_at(months, F.lower(F.substring(word, 1, 3)))
+    """1 to 12 by the first three letters of a word, else null."""
+    at = F.instr(F.lit(" ".join(V.MONTH_NUMBERS)), F.lower(F.substring(word, 1, 3)))
+    return F.when((word != "") & (at % 4 == 1), F.floor(at / 4).cast("int") + 1)
 
 
 def parse_date(raw: Column | str) -> Column:
-    """A DATE, or null. The first shape that matches decides; it is not retried as another shape."""
-    def read(s: Column) -> Column:
-        g = lambda pattern, i: F.regexp_extract(s, pattern, i)
-        n = lambda pattern, i: _int(g(pattern, i))
-        ymd = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
-        day_first = _month_number(g(V.DATE_D_MON_Y, 2))
-        month_first = _month_number(g(V.DATE_MON_D_Y, 1))
-        return (
-            F.when(s.rlike(V.DATE_COMPACT), ymd(*(n(V.DATE_COMPACT, i) for i in (1, 2, 3))))
-            .when(s.rlike(V.DATE_YMD), ymd(*(n(V.DATE_YMD, i) for i in (1, 2, 3))))
-            .when(s.rlike(V.DATE_MDY), ymd(*(n(V.DATE_MDY, i) for i in (3, 1, 2))))
-            .when(day_first.isNotNull(), ymd(n(V.DATE_D_MON_Y, 3), day_first, n(V.DATE_D_MON_Y, 1)))
-            .when(month_first.isNotNull(), ymd(n(V.DATE_MON_D_Y, 3), month_first, n(V.DATE_MON_D_Y, 2)))
-        )
+    """A DATE, or null. The first shape that matches decides; it is not retried as another shape.
+
+    Each shape is sought once; its numbers are then taken out of the few characters that matched.
+    """
+    ymd = lambda y, m, d: F.struct(_int(y).alias("y"), _int(m).alias("m"), _int(d).alias("d"))
 
-    return let(let(F.regexp_replace(collapse(raw), "_", " "), read), _valid_date)
+    def shape(s: Column, pattern: str, parts, rest: Column) -> Column:
+        return let(F.regexp_extract(s, pattern, 0), lambda t: F.when(t != "", parts(t)).otherwise(rest))
+
+    def numbers(y: int, m: int, d: int):
+        return lambda t: let(F.split(F.translate(t, "/.", "--"), "-"), lambda n: ymd(*(F.get(n, F.lit(i)) for i in (y, m, d))))
+
+    def worded(s: Column, pattern: str, word, day, year, rest: Column) -> Column:
+        """A day, a month's name and a year; a word that names no month is no match."""
+        return let(F.regexp_extract(s, pattern, 0), lambda t: let(_month_number(word(t)), lambda m: F.when(
+            m.isNotNull(), ymd(year(t), m, day(t))).otherwise(rest)))
+
+    def read(s: Column) -> Column:
+        none = F.lit(None).cast("struct<y:int,m:int,d:int>")
+        digits = lambda t: F.translate(t, ascii_letters + " .,-", "")
+        month_first = worded(s, V.DATE_MON_D_Y, lambda t: t, lambda t: F.regexp_extract(t, r"\d+", 0), lambda t: F.substring_index(t, " ", -1), none)
+        day_first = worded(
+            s, V.DATE_D_MON_Y, lambda t: F.ltrim(t, F.lit("0123456789 -")), lambda t: digits(F.substring(t, 1, 2)),
+            lambda t: digits(F.substring(t, -4, 4)), month_first)  # three letters at least stand between day and year
+        numeric = shape(s, V.DATE_YMD, numbers(0, 1, 2), shape(s, V.DATE_MDY, numbers(2, 0, 1), day_first))
+        parted = F.contains(s, F.lit("-")) | F.contains(s, F.lit("/")) | F.contains(s, F.lit("."))
+        compact = F.length(s).between(8, 9) & s.rlike(V.DATE_COMPACT)  # `$` may stand before a last line end
+        return F.when(compact, ymd(*(F.substring(s, *at) for at in ((1, 4), (5, 2), (7, 2))))).when(parted, numeric).otherwise(day_first)
+
+    return let(let(F.replace(collapse(raw), F.lit("_"), F.lit(" ")), read), _valid_date)
 
 
 def parse_class_year(raw: Column | str) -> Column:

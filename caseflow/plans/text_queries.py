@@ -213,7 +213,7 @@ SELECT c_custkey, CAST(CASE WHEN {given_sql('c_custkey')} = 'Dod' THEN 0 ELSE 4.
   CAST(0 AS DOUBLE) AS number, CAST(0 AS DOUBLE) AS header, {person_sql('c_custkey')} AS from_address FROM customer""")
 def name_like_cells(spark, sf):
     mail = F.concat(F.lower(given(_k())), F.lit("."), F.lower(family(_k())), _k().cast("string"), F.lit("@x.edu"))
-    return table(spark, sf, "customer").select(
+    return spread(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select(
         "c_custkey", C.name_likeness(person(_k())).alias("full_name"), C.name_likeness(family(_k())).alias("one_word"),
         C.name_likeness(F.concat(F.lit("555-"), _k().cast("string"))).alias("number"), C.name_likeness(F.lit("Email address")).alias("header"),
         C.name_from_address(mail).alias("from_address"))

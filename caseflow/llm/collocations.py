@@ -28,8 +28,8 @@ from . import textbuf
 from .common import cut_lineage
 
 LEAST, TOP, COVER = 10, 2000, 50
-#: Bytes of text counted at once. A longer text is taken whole.
-SLICE = 16 << 20
+#: Bytes of text counted at once, some forty bytes of a worker's memory for each. A longer text is taken whole.
+SLICE = 6 << 20
 #: Bytes of text for each hash partition, and the number of partitions at least and at most (powers of two).
 SHARE, FEWEST, MOST = 16 << 20, 64, 1 << 16
 #: Bits of the filter of each length of phrases, over all partitions: 16 MB, whatever the input.
@@ -61,7 +61,7 @@ class _Slice:
         seed = np.uint64(zlib.crc32(lang.encode()) + 1)
         self.hash = np.zeros(self.v, np.uint64)
         self.hash[self.ids] = textbuf.mix(hashes ^ textbuf.mix(seed * np.uint64(0x9E3779B97F4A7C15)))
-        stops = np.cumsum(END[data])
+        stops = np.cumsum(END[data], dtype=np.int32)
         text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         self.pair = (stops[starts[1:]] == stops[ends[:-1] - 1]) & (text[1:] == text[:-1]) if self.n else np.zeros(0, bool)
 

@@ -87,3 +87,19 @@ def test_query_equals_its_sql(spark):
     names = [d[0] for d in cur.description]
     want = sorted(tuple(dict(zip(names, r))[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in cur.fetchall())
     assert got(QUERIES["op12_collocations"](spark, sf)) == want and len(want) > 1000
+
+
+def test_a_slice_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 20_000, 2_000))
+    batch = pa.record_batch({"lang": ["en"] * 1_200, "text": [text] * 1_200})  # 13 MB
+    tracemalloc.start()
+    for _, part in C._slices(batch):
+        part.pairs()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20

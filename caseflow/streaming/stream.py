@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,26 +33,37 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(out)
 
 
+#: Neighbouring case numbers whose flags are one state: two to the power of this.
+_CASES = 8
+
+
 def _announce(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """False-to-true changes of one case and step; the first sight only sets the baseline."""
-    flags = pd.concat(list(batches)).sort_values(["ts", "seq"])
-    known = state.get[0] if state.exists else None
-    out = []
-    for ts, seq, flag in zip(flags["ts"], flags["seq"], flags["flag"]):
-        if known is not None and not known and flag:
-            out.append((key[0], key[1], ts, seq))
-        known = bool(flag)
-    state.update((known,))
-    yield pd.DataFrame(out, columns=["case_id", "step", "ts", "seq"])
+    """False-to-true changes of one step of neighbouring cases; the first sight of a case only sets its baseline.
+
+    The state holds a letter a case: "?" not seen, "0" or "1".
+    """
+    flags = pd.concat(list(batches)).sort_values(["at", "ts", "seq"])
+    known = np.frombuffer((state.get[0] if state.exists else "?" * 2**_CASES).encode(), "u1").copy()
+    at, flag = flags["at"].to_numpy(), flags["flag"].eq(True).to_numpy()
+    first, last = np.r_[True, at[1:] != at[:-1]], np.r_[at[1:] != at[:-1], True]
+    was = np.where(first, known[at], np.r_[0, 48 + flag[:-1]])
+    known[at[last]] = 48 + flag[last]
+    state.update((known.tobytes().decode(),))
+    new = flags[(was == 48) & flag]
+    case = [None if pd.isna(key[0]) else (int(key[0]) << _CASES) + int(i) for i in new["at"]]
+    yield pd.DataFrame({"case_id": pd.Series(case, dtype=object), "step": key[1], "ts": new["ts"].array, "seq": new["seq"].array})
 
 
 def announce(changes: DataFrame) -> DataFrame:
     """Exactly-once step announcements from a stream of (case_id, step, flag, ts, seq).
 
-    State is one flag per case and step, so a busy case spreads over its steps and each trigger sees only new rows.
+    State is one letter per case and step, kept for 256 neighbouring case numbers at a time, since every group costs a call: a busy case
+    spreads over its steps and each trigger sees only new rows.
     """
-    return changes.groupBy("case_id", "step").applyInPandasWithState(
-        _announce, "case_id bigint, step string, ts timestamp, seq bigint", "flag boolean", "append", "NoTimeout"
+    near = F.shiftright("case_id", _CASES).alias("near")
+    at = F.coalesce(F.col("case_id").bitwiseAND(F.lit(2**_CASES - 1)), F.lit(0)).cast("int").alias("at")
+    return changes.select(near, "step", at, "flag", "ts", "seq").groupBy("near", "step").applyInPandasWithState(
+        _announce, "case_id bigint, step string, ts timestamp, seq bigint", "known string", "append", "NoTimeout"
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SettlementLayout
 from ..fixed_values import SETTLEMENT_REQUIRED
 from ..functions import collapse, norm_text, num, parse_date, serial_to_date
-from .scale import is_true, running_total
+from .scale import is_true, running_total, spread
 
 KINDS = ("tours", "confinements")
 
@@ -34,16 +34,17 @@ def read_settlements(cells: DataFrame, layout: SettlementLayout = SettlementLayo
     headers = top.groupBy("sheet").agg(F.min(pick).alias("h"))
     headers = headers.select(F.col("sheet").alias("__sheet"), "h")
     body = cells.join(headers, F.col("sheet").eqNullSafe(F.col("__sheet")), "left")
-    body = body.where(F.col("h").isNull() | (F.col("row_no") > F.col("h.header_row")))
+    # few bytes, much work a row; the join may have dealt rows by sheet
+    body = spread(body.where(F.col("h").isNull() | (F.col("row_no") > F.col("h.header_row"))), "sheet", "row_no")
     headless = F.col("h").isNull() & (collapse(F.concat_ws(" ", "cells")) != "")
     value = lambda k: collapse(F.when(F.col(f"h.{k}") >= 0, F.get("cells", F.col(f"h.{k}")))) if k in want else F.lit("")
     rows = body.select("sheet", "row_no", *[value(k).alias(k) for k in layout.headings], headless.alias("headless"))
     rows = rows.where((F.concat_ws("", *layout.headings) != "") | F.col("headless"))
-    word = norm_text("type")
-    kind = F.when(F.contains(word, F.lit(_norm(layout.tour_word))), "tour").when(
-        F.contains(word, F.lit(_norm(layout.confinement_word))), "confinement"
+    rows = rows.withColumns({"word": norm_text("type"), "units": num("amount")})
+    kind = F.when(F.contains("word", F.lit(_norm(layout.tour_word))), "tour").when(
+        F.contains("word", F.lit(_norm(layout.confinement_word))), "confinement"
     )
-    amount = num("amount")
+    amount = F.col("units")
     reason = F.when(F.col("headless"), F.concat(F.lit("no_headings: "), F.coalesce("sheet", F.lit("")))).when(F.col("cadet") == "", "unnamed").when(kind.isNull(), "unknown_type").when(~(amount > 0), "bad_amount")
     day = F.when(F.col("date").rlike(r"^\d+(\.\d+)?$"), serial_to_date("date")).otherwise(parse_date("date"))
     return rows.select(

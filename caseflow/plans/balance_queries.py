@@ -10,8 +10,9 @@ from ..functions import days_ago, name_key
 from ..operators import balances as B
 from ..operators import reports as R
 from ..operators.match import resolve_parties
+from ..session import cut_lineage
 from .bindings import (
-    case_parties, family, family_sql, given, given_sql, key_sql, lines_per_case, person, person_sql, table, with_cases,
+    case_names, case_parties, family, family_sql, given, given_sql, key_sql, lines_per_case, person, person_sql, table, with_cases,
 )
 from .registry import query
 
@@ -253,15 +254,20 @@ resolved AS (SELECT w.cadet, coalesce(b.key, w.own) AS key FROM keyed w LEFT JOI
 """
 
 
-def log_resolved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = B.read_settlements(settlement_cells(spark, sf)).where("cadet <> ''")
-    parties = case_parties(spark, sf).select("key", "name", "ord")
-    return rows, resolve_parties(rows.select(F.col("cadet").alias("name")), parties)
+def log_parties(spark: SparkSession, sf: str) -> DataFrame:
+    """The parties of the cases (key, name, ord), one row a spelling: names are keyed once, not once a case."""
+    once = case_names(spark, sf).groupBy("name").agg(F.min("ord").alias("ord"))
+    return once.select(name_key("name").alias("key"), "name", "ord")
+
+
+def log_resolved(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    """The party of each name of the log's rows."""
+    return resolve_parties(rows.where("cadet <> ''").select(F.col("cadet").alias("name")), log_parties(spark, sf))
 
 
 @query("settlement_parties", "J3", with_cases("SELECT cadet AS name, key FROM resolved", True, _LOG + "," + _MATCHED))
 def settlement_parties(spark, sf):
-    return log_resolved(spark, sf)[1].select("name", "key")
+    return log_resolved(spark, sf, B.read_settlements(settlement_cells(spark, sf))).select("name", "key")
 
 
 @query("balances_by_name", "A1, J3", with_cases("""
@@ -275,7 +281,9 @@ FULL OUTER JOIN (SELECT r.key, coalesce(sum(units) FILTER (WHERE kind = 'tour'),
         FROM skips JOIN resolved r ON r.cadet = skips.cadet WHERE skip_reason IS NULL GROUP BY r.key) s ON a.key = s.key""",
     True, _LOG + "," + _MATCHED))
 def balances_by_name(spark, sf):
-    rows, who = log_resolved(spark, sf)
+    log = B.read_settlements(settlement_cells(spark, sf)).where("cadet <> ''")
+    rows = cut_lineage(log.select("cadet", "kind", "units", "skip_reason"), "log")  # read twice
+    who = log_resolved(spark, sf, rows)
     settled = rows.where("skip_reason is null").join(who.select(F.col("name").alias("cadet"), "key"), "cadet").select(
         F.col("key").alias("party"), F.col("cadet").alias("name"), "kind", "units"
     )
@@ -294,10 +302,10 @@ def balances_by_name(spark, sf):
 SELECT l.sheet, l.row_no, coalesce(k.name, l.cadet) AS cadet FROM skips l
 LEFT JOIN resolved r ON r.cadet = l.cadet LEFT JOIN known k ON k.key = r.key""", True, _LOG + "," + _MATCHED))
 def settlement_passthrough(spark, sf):
-    _, who = log_resolved(spark, sf)
-    parties = R.parties(case_parties(spark, sf)).select("key", F.col("name").alias("canonical"))
+    raw = cut_lineage(B.read_settlements(settlement_cells(spark, sf)).select("sheet", "row_no", "cadet"), "log")  # read twice
+    who = log_resolved(spark, sf, raw)
+    parties = log_parties(spark, sf).groupBy("key").agg(F.min_by("name", "ord").alias("canonical"))
     spelling = who.join(parties, "key").select(F.col("name").alias("cadet"), "canonical")
-    raw = B.read_settlements(settlement_cells(spark, sf))
     return B.passthrough(raw, spelling).select("sheet", "row_no", "cadet")
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from caseflow import fixed_values as V
 from caseflow import functions as C
+from caseflow.operators.balances import read_settlements
 from caseflow.operators.match import _name_keys
 from caseflow.plans import load_queries
+from caseflow.streaming import stream as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +56,23 @@ def test_a_name_of_two_words_has_the_keys_of_one_reading(spark):
     df = spark.createDataFrame([("An Doe",), ("Doe An",)], "v string")
     keys = [sorted(r.k) for r in df.select(_name_keys(C.name_parts("v")).alias("k")).collect()]
     assert len(keys[0]) == 9 and keys[0] == keys[1]
+
+
+def test_settlement_rows_are_read_on_all_tasks(spark):
+    rows = [("s", 1, ["Date Served", "Cadet Name", "Sanction Type", "Amount Served"]), ("s", 2, ["1 Sep 26", "An Doe", "Tour", "2"])]
+    cells = spark.createDataFrame(rows, "sheet string, row_no bigint, cells array<string>").coalesce(1)
+    got = read_settlements(cells)
+    assert got.rdd.getNumPartitions() == 4 and [(r.cadet, r.units) for r in got.collect()] == [("An Doe", 2.0)]
+
+
+def test_neighbouring_cases_share_a_state(spark, tmp_path):
+    ids = [-257, -1, 0, 255, 256, 2**53 + 1, None]
+    flags = [(False, True), (None, True), (True, False), (False, None), (False, True), (False, True), (False, True)]
+    rows = [(c, "s", f[n], n, 10 * n + i) for i, (c, f) in enumerate(zip(ids, flags)) for n in (0, 1)]
+    df = spark.createDataFrame(rows, "case_id bigint, step string, flag boolean, t bigint, seq bigint").select("case_id", "step", "flag", F.timestamp_seconds("t").alias("ts"), "seq")
+    for n in (0, 1):
+        df.where(F.col("seq").between(10 * n, 10 * n + 9)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = T.announce(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    assert "shiftright" in stream._jdf.queryExecution().analyzed().toString()
+    got = {(r.case_id, r.step, r.seq) for r in T.run_to_table(stream, "near").collect()}
+    assert got == {(ids[i], "s", 10 + i) for i in (0, 1, 4, 5, 6)}

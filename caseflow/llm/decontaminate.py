@@ -29,8 +29,8 @@ from .fm_index import FMIndex
 WINDOW = 10
 #: Characters of the benchmark in one block (the memory of a task grows with it).
 BLOCK_CHARS = 4_000_000
-#: Bytes of text in one shard.
-SHARD = 8 << 20
+#: Bytes of text in one shard (the memory of a task grows with it).
+SHARD = 2 << 20
 
 
 def blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> list[str]:

@@ -112,3 +112,22 @@ def test_shards_and_tables(spark, monkeypatch):
     big = D._scan(texts, block)
     monkeypatch.setattr(D, "SHARD", 3000)
     assert D._scan(texts, block) == big
+
+
+def test_a_batch_is_cut_with_little_memory():
+    import tracemalloc
+
+    from caseflow.llm import decontaminate as D
+
+    rng = np.random.default_rng(5)
+    word = [f"w{i}" for i in range(5_000)]
+    text = lambda n: " ".join(word[i] for i in rng.integers(0, 5_000, n))
+    D._held["block"] = D._block(["a"], pa.array([text(200)]), D.WINDOW)
+    batch = pa.record_batch({"text": [text(2_000)] * 1_500})  # 16 MB
+    tracemalloc.start()
+    D._cutter(["block"])(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    D._held.clear()
+    print(peak)
+    assert peak < 75 << 20

@@ -11,6 +11,7 @@ from ..functions import collapse, date_to_serial
 from ..operators.reports import next_step, parsed
 from ..operators.scale import is_false, is_true
 from . import delimited
+from .digests import file_digests  # noqa: F401
 
 CASE_SCHEMA = T.StructType([
     T.StructField("case_id", T.StringType()), T.StructField("filename", T.StringType()),
@@ -32,13 +33,6 @@ def list_folder(spark: SparkSession, path: str, glob: str = "*.[pP][dD][fF]", ex
     return out.where(~F.lower("filename").isin([e.lower() for e in exclude])) if exclude else out
 
 
-def file_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Size and content digests of the files of a folder, for checking against a manifest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("size"),
-                        F.sha1("content").alias("checksum"))
-
-
 def sniff_delimiter(first_line: str, filename: str = "") -> str:
     count = first_line.count
     if filename.lower().endswith(".tsv") or count("\t") > count(","):

@@ -1,6 +1,9 @@
 """What keeps the work of a row small and spread, whatever the bytes of the table."""
 
+import gzip
 import io
+import random
+import zlib
 from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from caseflow import functions as C
 from caseflow.operators.balances import read_settlements
 from caseflow.operators.match import _name_keys
 from caseflow.plans import load_queries
+from caseflow.sources.io import file_digests
 from caseflow.streaming import stream as T
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +80,23 @@ def test_neighbouring_cases_share_a_state(spark, tmp_path):
     assert "shiftright" in stream._jdf.queryExecution().analyzed().toString()
     got = {(r.case_id, r.step, r.seq) for r in T.run_to_table(stream, "near").collect()}
     assert got == {(ids[i], "s", 10 + i) for i in (0, 1, 4, 5, 6)}
+
+
+def test_checksums_of_files_are_put_together_from_splits(spark, tmp_path):
+    rng = random.Random(3)
+    noise = bytes(rng.randrange(256) for _ in range(20_000))
+    files = {
+        "a.bin": noise, "b.bin": noise + b"\n", "c.bin": b"\n" * 5000, "d.bin": b"", "e.bin": b"\n", "f.bin": b"\xef\xbb\xbf" + noise, "g.bin": b"\xef\xbb\xbfx\n",
+        "h.bin": b"no break " * 900, "i.bin": b"a\r\nb\r" * 1000, "j.bin.gz": gzip.compress(noise), "k.bin": bytes(7000), "l 1%20é.bin": noise[:3000],
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        tasks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        got = {r.path: (r.size, r.checksum) for r in file_digests(spark, str(tmp_path), "*.*").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tasks > 50
+    assert got == {name: (len(body), f"{zlib.crc32(body):08x}") for name, body in files.items() if body}

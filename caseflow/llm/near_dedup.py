@@ -35,8 +35,10 @@ SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 80, 8
 #: Bytes of text worked on at once.
 SLICE = 4 << 20
-#: Keys that are sent to all executors at most; more go through a shuffle join.
-BROADCAST_KEYS = 100_000
+#: Bits that mark the documents whose sets are wanted (4 MB); others that share a bit cost time and change nothing.
+WANTED_BITS = 1 << 25
+#: Rows of first shingles that a task holds before it passes them on.
+HEADS = 1 << 17
 #: Rounds of hubs at most; none more once the pairs left in buckets are fewer than this many times the classes.
 HUB_ROUNDS, PAIRS_PER_CLASS = 2, 1
 #: Slots in which shingles are counted to put them in an order (32 MB at most), and slots that are sent together.
@@ -119,11 +121,6 @@ def _summaries(batch):
     })
 
 
-def _shingle_rows(batch):
-    values = [v[b[i] : b[i + 1]] for v, b in _sets(batch["text"]) for i in range(len(b) - 1)]
-    return pa.RecordBatch.from_pydict({"node": batch["node"], "set": pa.array([v.view(np.int64) for v in values], pa.list_(pa.int64()))})
-
-
 def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The batch with n_shingles, s1 and s2, which name the set of a text."""
     sizes, one, two = zip(*(_digest(values, bounds) for values, bounds in _sets(batch["text"])))
@@ -167,8 +164,7 @@ def _keys(whole: DataFrame) -> DataFrame:
     keys = whole.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).select("node", "n_shingles", F.xxhash64("band", "key").alias("key"))
     crowded = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "near-crowded")
     release(whole.sparkSession)
-    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
-    shared = kept(keys.join(crowded, "key"), "near-shared")
+    shared = kept(keys.join(crowded.hint("merge"), "key"), "near-shared")  # by one plan at all sizes
     met = shared.groupBy("node").agg(F.sum("c").alias("met"))
     out = kept(shared.join(met, "node").select("node", "n_shingles", "key", "met"), "near-keys")
     drop(shared)
@@ -183,7 +179,7 @@ def _components(docs: DataFrame, whole: DataFrame, compared: list[int] | None =
     drop(whole)
     if keys.isEmpty():
         return classes.select("node", F.col("node").alias("root")).limit(0)
-    sets = _texts_of(docs, classes.join(keys.select("node").distinct(), "node", "left_semi"))
+    sets = _sets_of(docs, classes.join(keys.select("node").distinct(), "node", "left_semi"))
     few = PAIRS_PER_CLASS * classes.count()
     links: list[DataFrame] = []
     tried: list[DataFrame] = []
@@ -283,14 +279,19 @@ def _prefix_pairs(sets: DataFrame) -> DataFrame:
     step = np.log(SIZE_STEP)
 
     def heads(batches):
+        cols, held = [[] for _ in range(5)], 0
+
+        def done():
+            flat = [pa.array(np.concatenate(c), pa.int64()) for c in cols]
+            return pa.RecordBatch.from_arrays(flat, names=["node", "root", "key", "n", "rest"])
+
         for batch in batches:
-            nodes, roots, keys, sizes, rests = [], [], [], [], []
             for node, root, members in zip(batch["node"].to_pylist(), batch["root"].to_pylist(), batch["set"]):
                 v = np.asarray(members.values).view(np.uint64)
                 n = len(v)
-                held = shared.value[(v & np.uint64(SLOTS - 1)).astype(np.int64)]
-                order = np.lexsort((v, held))
-                v, met = v[order], held[order] > 1  # a shingle alone in its slot is in no other set
+                rare = shared.value[(v & np.uint64(SLOTS - 1)).astype(np.int64)]
+                order = np.lexsort((v, rare))
+                v, met = v[order], rare[order] > 1  # a shingle alone in its slot is in no other set
                 own, least, most = int(np.log(n) / step), -(-PERCENT * n // 100), 100 * n // PERCENT
                 for other in range(int(np.log(least) / step), int(np.log(most) / step) + 1):
                     low = max(least, int(np.exp(other * step)))  # not above the smallest size of the class
@@ -299,13 +300,15 @@ def _prefix_pairs(sets: DataFrame) -> DataFrame:
                         continue
                     a, b = sorted((own, other))
                     at = np.flatnonzero(met[:k])
-                    keys.append(textbuf.mix(v[at] + np.uint64((a * 4096 + b) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
-                    rests.append(n - at)
-                    nodes.append(np.full(len(at), node))
-                    roots.append(np.full(len(at), root))
-                    sizes.append(np.full(len(at), n))
-            flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([flat(nodes), flat(roots), flat([k.view(np.int64) for k in keys]), flat(sizes), flat(rests)], names=["node", "root", "key", "n", "rest"])
+                    key = textbuf.mix(v[at] + np.uint64((a * 4096 + b) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+                    for c, x in zip(cols, (np.full(len(at), node), np.full(len(at), root), key, np.full(len(at), n), n - at)):
+                        c.append(x)
+                    held += len(at)
+                    if held >= HEADS:
+                        yield done()
+                        cols, held = [[] for _ in range(5)], 0
+        if held:
+            yield done()
 
     rows = kept(sets.mapInArrow(heads, "node long, root long, key long, n long, rest long"), "near-heads")
     by_root = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
@@ -325,22 +328,38 @@ def _size_bound(a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, n, set) of the given classes, from one document of each."""
-    want = cut_lineage(classes.select(F.col("first_id").alias("doc_id"), "node", F.col("n_shingles").alias("want_n"), F.col("s1").alias("want_1"), F.col("s2").alias("want_2")), "near-wanted")
-    texts = docs.select("doc_id", "text").join(want, docs["doc_id"].eqNullSafe(want["doc_id"])).select(want["node"], "want_n", "want_1", "want_2", "text")
-    # a repeated or null doc_id can bring texts of another class: only a set that is the class's own counts
-    def check(batch):
-        out = _shingle_rows(batch)
-        ok, sets = [], out["set"]
-        for i, v in enumerate(sets):
-            v = np.asarray(v.values).view(np.uint64)
-            s1 = int(v.sum(dtype=np.uint64).astype(np.int64)) if len(v) else 0
-            s2 = int(textbuf.mix(v ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(v) else 0
-            ok.append(len(v) == batch["want_n"][i].as_py() and s1 == batch["want_1"][i].as_py() and s2 == batch["want_2"][i].as_py())
-        return out.filter(pa.array(ok))
-
-    out = cut_lineage(map_batches(texts, check, "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A filter of WANTED_BITS: the bits of the given hashes (id) are set."""
+    place = F.pmod("id", F.lit(WANTED_BITS)) + 1
+    found = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(WANTED_BITS // 8, np.uint8)
+    for row in found.toLocalIterator():  # a bucket is 4 KB
+        out[(row.b - 1) << 12 : row.b << 12] = np.frombuffer(bytes(row.bits), np.uint8)
+    return out
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, set) of the given classes. Sets are made where the texts lie, of documents whose id may be a wanted one; the class's own are
+    the ones of its size and digest, whatever the id."""
+    want = cut_lineage(classes.select("node", "n_shingles", "s1", "s2", F.xxhash64("first_id").alias("id")), "near-wanted")
+    marked = docs.sparkSession.sparkContext.broadcast(_marked(want))
+
+    def pick(batch):
+        at = np.asarray(batch["id"]) % WANTED_BITS
+        batch = batch.filter(pa.array((marked.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+        if not batch.num_rows:
+            return None
+        n, one, two, sets = [], [], [], []
+        for values, bounds in _sets(batch["text"]):
+            for out, x in zip((n, one, two), _digest(values, bounds)):
+                out.append(x)
+            sets.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), _signed(values)))
+        cols = [pa.array(np.concatenate(n), pa.int64()), _signed(np.concatenate(one)), _signed(np.concatenate(two)), pa.concat_arrays(sets)]
+        return pa.RecordBatch.from_arrays(cols, names=["n_shingles", "s1", "s2", "set"])
+
+    key = ["n_shingles", "s1", "s2"]
+    found = map_batches(docs.select("text", F.xxhash64("doc_id").alias("id")), pick, "n_shingles long, s1 long, s2 long, set array<long>")
+    out = cut_lineage(found.dropDuplicates(key).join(want.select("node", *key), key).select("node", "set"), "near-sets")
     release(docs.sparkSession)
     return out
 

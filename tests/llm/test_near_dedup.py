@@ -111,3 +111,29 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 70)] + [(100, i) for i in range(101, 200)] + [(300, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(71)} | {i: 100 for i in range(100, 200)}
+
+
+def test_texts_stay_where_they_lie(spark, monkeypatch):
+    plans, cut = {}, N.cut_lineage
+
+    def noted(df, label="cut"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, label)
+
+    monkeypatch.setattr(N, "cut_lineage", noted)
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = [(i, f"{text} x{i}") for i in range(5)] + [(7, f"{text} x0"), (7, "other words with the same number"), (None, f"{text} y"), (None, f"solo {text[:50]}")]
+    assert run(spark, docs) == brute(docs)
+    before_sets = plans["near-sets"].split("MapInArrow", 1)[1].split("Exchange", 1)[0]
+    assert "text" in before_sets  # what is read for the sets goes to the operator without an exchange
+
+
+def test_first_shingles_are_passed_on_bit_by_bit(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, i, [rng.randrange(40) for _ in range(30)]) for i in range(60)]
+    sets = spark.createDataFrame([(n, r, sorted(set(s))) for n, r, s in rows], "node long, root long, set array<long>")
+    found = []
+    for most in (N.HEADS, 7):
+        monkeypatch.setattr(N, "HEADS", most)
+        found.append(sorted(tuple(r) for r in N._prefix_pairs(sets).collect()))
+    assert found[0] and found[0] == found[1]

@@ -29,7 +29,7 @@ from .common import cut_lineage
 
 LEAST, TOP, COVER = 10, 2000, 50
 #: Bytes of text counted at once, some forty bytes of a worker's memory for each. A longer text is taken whole.
-SLICE = 6 << 20
+SLICE = 2 << 20
 #: Bytes of text for each hash partition, and the number of partitions at least and at most (powers of two).
 SHARE, FEWEST, MOST = 16 << 20, 64, 1 << 16
 #: Bits of the filter of each length of phrases, over all partitions: 16 MB, whatever the input.

@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from caseflow.llm import collocations as C
@@ -103,3 +105,18 @@ def test_a_slice_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 250 << 20
+
+
+def test_memory_of_a_slice():
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(5_000)) for _ in range(240)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": texts})
+    tracemalloc.start()
+    try:
+        for _, part in C._slices(batch):
+            left, right, n, _ = part.pairs()
+            C._sent(part.keys(left, right), n, 64)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, texts)) > 6 << 20 and most < 80 << 20

@@ -7,9 +7,9 @@ n boxes and m fields take n * n * m steps and n * m numbers. A page is bounded b
 
 from __future__ import annotations
 
-from itertools import groupby
-from math import floor, hypot, inf
+from math import floor, hypot, inf, nan
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ from ..session import ship
 #: Cost of a pair whose kinds of field don't go together: dearer than any distance on a page.
 FOREIGN = 9.0
 _EDGES = ("x0", "y0", "x1", "y1")
+#: Pairs of boxes and fields of which costs are held at once; a page is taken whole.
+PAIRS = 1 << 17
 
 
 def cheapest(cost: list[list[float]]) -> list[int | None]:
@@ -66,34 +68,98 @@ def cheapest(cost: list[list[float]]) -> list[int | None]:
     return held
 
 
+def _plain(cost: list[list[int]]) -> list[int] | None:
+    """The column of each row where each row has one cheapest column and no two have the same: no other assignment costs as little."""
+    out: list[int] = []
+    for line in cost:
+        low = min(line)
+        if line.count(low) > 1 or (c := line.index(low)) in out:
+            return None
+        out.append(c)
+    return out
+
+
 def first_cheapest(cost: list[list[float]]) -> list[int | None]:
     """`cheapest` with costs summed in whole billionths; of equal totals the one that gives the first row the first column it can, then
     the second row, and so on (a row without one comes last)."""
+    return _first_cheapest([[floor(c * 1e9 + 0.5) for c in line] for line in cost])
+
+
+def _first_cheapest(cost: list[list[int]]) -> list[int | None]:
     if not cost or not cost[0]:
         return [None] * len(cost)
     rows, cols = len(cost), len(cost[0])
+    if rows <= cols:
+        plain = _plain(cost)
+        if plain is not None:
+            return plain
+    else:
+        plain = _plain(list(zip(*cost)))
+        if plain is not None:
+            out: list[int | None] = [None] * rows
+            for c, r in enumerate(plain):
+                out[r] = c
+            return out
     place = [(cols + 1) ** (rows - 1 - i) for i in range(rows)]
     unit = (cols + 1) ** rows  # more than all places together
-    return cheapest([[floor(c * 1e9 + 0.5) * unit + (j - cols) * place[i] for j, c in enumerate(line)] for i, line in enumerate(cost)])
-
-
-def pair_cost(slot: dict, widget: dict, tol_x: float, tol_y: float) -> tuple[float, bool]:
-    """(cost, whether all edges lie within the tolerance) of a box and a field; names are normalised."""
-    kinds = tuple(sorted((slot["ftype"] or "", widget["ftype"] or "")))
-    if kinds[0] == kinds[1] or kinds == ("CheckBox", "Radio"):
-        extra = 0.0
-    elif kinds == ("Signature", "Text"):
-        extra = 0.035
-    else:
-        return FOREIGN, False
-    gap = [abs(slot[e] - widget[e]) for e in _EDGES]
-    mid = [(b[lo] + b[hi]) / 2 for b in (slot, widget) for lo, hi in (("x0", "x1"), ("y0", "y1"))]
-    away = hypot(mid[0] - mid[2], mid[1] - mid[3]) + 0.35 * sum(
-        abs((slot[hi] - slot[lo]) - (widget[hi] - widget[lo])) for lo, hi in (("x0", "x1"), ("y0", "y1"))
-    )
-    tight = max(gap[0], gap[2]) <= tol_x and max(gap[1], gap[3]) <= tol_y
-    cost = (0.1 * away if tight else 0.01 + away) + extra
-    return cost - 0.02 * (slot["name"] == widget["name"]) - 0.03 * bool(widget["has_value"]), tight
+    return cheapest([[c * unit + (j - cols) * place[i] for j, c in enumerate(line)] for i, line in enumerate(cost)])
+
+
+def _kind_costs(kinds: list[str]) -> np.ndarray:
+    """What a pair of kinds adds to its cost; not a number where they don't go together."""
+    def extra(a: str, b: str) -> float:
+        pair = tuple(sorted((a, b)))
+        return 0.0 if a == b or pair == ("CheckBox", "Radio") else 0.035 if pair == ("Signature", "Text") else nan
+
+    return np.array([[extra(a, b) for b in kinds] for a in kinds]).reshape(len(kinds), len(kinds))
+
+
+def _codes(col: pa.Array) -> tuple[np.ndarray, list]:
+    coded = col.dictionary_encode("encode")
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
+def _chosen(rows: pa.Table, first: np.ndarray, tol_x: float, tol_y: float, accept: float):
+    """(box rows, field rows, cost, tight) of the assigned pairs of whole pages; first: where each page begins, and the end."""
+    field = rows["field"].combine_chunks().to_numpy(zero_copy_only=False)
+    boxes, fields = np.flatnonzero(~field), np.flatnonzero(field)
+    box_at, field_at = np.searchsorted(boxes, first), np.searchsorted(fields, first)  # of each page
+    n, m = np.diff(box_at), np.diff(field_at)
+    edge = {e: rows[e].combine_chunks().to_numpy() for e in _EDGES}
+    kind, kinds = _codes(rows["ftype"].combine_chunks().fill_null(""))
+    name, _ = _codes(rows["name"].combine_chunks())
+    has = rows["has_value"].combine_chunks().to_numpy(zero_copy_only=False)
+    extra = _kind_costs(kinds)
+    upto = np.concatenate([[0], np.cumsum(n * m)])
+    page = 0
+    while page < len(n):
+        end = max(int(np.searchsorted(upto, upto[page] + PAIRS, "right")) - 1, page + 1)
+        of = np.repeat(np.arange(page, end), n[page:end])  # the page of each box
+        box = boxes[box_at[page] : box_at[end]]
+        s = np.repeat(box, m[of])
+        w = fields[np.repeat(field_at[of], m[of]) + np.arange(len(s)) - np.repeat(np.cumsum(m[of]) - m[of], m[of])]
+        gap = {e: np.abs(edge[e][s] - edge[e][w]) for e in _EDGES}
+        dx, dy = (((edge[lo][s] + edge[hi][s]) / 2 - (edge[lo][w] + edge[hi][w]) / 2).tolist() for lo, hi in (("x0", "x1"), ("y0", "y1")))
+        sizes = [np.abs((edge[hi][s] - edge[lo][s]) - (edge[hi][w] - edge[lo][w])) for lo, hi in (("x0", "x1"), ("y0", "y1"))]
+        away = np.fromiter(map(hypot, dx, dy), float, len(s)) + 0.35 * (sizes[0] + sizes[1])
+        more = extra[kind[s], kind[w]]
+        fits = ~np.isnan(more)
+        tight = fits & (np.maximum(gap["x0"], gap["x1"]) <= tol_x) & (np.maximum(gap["y0"], gap["y1"]) <= tol_y)
+        cost = np.where(tight, 0.1 * away, 0.01 + away) + more - 0.02 * (name[s] == name[w]) - 0.03 * has[w]
+        cost = np.where(fits, cost, FOREIGN)
+        whole = [floor(c) for c in (cost * 1e9 + 0.5).tolist()]
+        got, at = [], 0
+        for p in range(page, end):
+            k, width = int(n[p]), int(m[p])
+            if k and width:
+                for i, j in enumerate(_first_cheapest([whole[at + i * width : at + (i + 1) * width] for i in range(k)])):
+                    if j is not None:
+                        got.append(at + i * width + j)
+                at += k * width
+        got = np.array(got, np.int64)
+        got = got[cost[got] <= accept]
+        yield s[got], w[got], cost[got], tight[got]
+        page = end
 
 
 def assign_widgets(slots: DataFrame, widgets: DataFrame, tol_x: float, tol_y: float) -> DataFrame:
@@ -113,36 +179,25 @@ def assign_widgets(slots: DataFrame, widgets: DataFrame, tol_x: float, tol_y: fl
     accept = V.WIDGET_ACCEPT
 
     def run(batches):
-        batches = iter(batches)
-        for head in batches:
-            names, out = head.schema.names, []
-            schema = pa.schema([*(head.schema.field(c) for c in ("page", "slot", "widget")), ("cost", pa.float64()), ("tight", pa.bool_())])
-            dicts = (r for b in _with(head, batches) for r in zip(*(c.to_pylist() for c in b.columns)))
-            at = names.index("page")
-            for _, group in groupby(dicts, key=lambda r: r[at]):
-                boxes = [dict(zip(names, r)) for r in group]
-                fields = [b for b in boxes if b["field"]]
-                boxes = [b for b in boxes if not b["field"]]
-                if not boxes or not fields:
-                    continue
-                pairs = [[pair_cost(s, w, tol_x, tol_y) for w in fields] for s in boxes]
-                for i, j in enumerate(first_cheapest([[c for c, _ in line] for line in pairs])):
-                    if j is not None and pairs[i][j][0] <= accept:
-                        out.append((boxes[i]["page"], boxes[i]["slot"], fields[j]["widget"], *pairs[i][j]))
-                if len(out) >= 10_000:
-                    yield _rows(out, schema)
-                    out = []
-            if out:
-                yield _rows(out, schema)
+        rest = None  # of a page that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            page, _ = _codes(rows["page"].combine_chunks())
+            first = np.concatenate([[0], np.flatnonzero(page[1:] != page[:-1]) + 1])
+            rest = rows.slice(int(first[-1]))
+            if len(first) > 1:
+                yield from assigned(rows.slice(0, int(first[-1])), first)
+        if rest is not None:
+            yield from assigned(rest, np.array([0, rest.num_rows]))
+
+    def assigned(rows, first):
+        for box, field, cost, tight in _chosen(rows, first, tol_x, tol_y, accept):
+            if len(box):
+                ids = [rows[c].combine_chunks().take(pa.array(at)) for c, at in (("page", box), ("slot", box), ("widget", field))]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(cost), pa.array(tight)], names=["page", "slot", "widget", "cost", "tight"])
 
     ordered = both.repartition("page").sortWithinPartitions("page", "slot", "widget", *_EDGES, "ftype", "name", "has_value")
     return ordered.mapInArrow(run, f"page {kinds['page']}, slot {kinds['slot']}, widget {kinds['widget']}, cost double, tight boolean")
-
-
-def _with(head, rest):
-    yield head
-    yield from rest
-
-
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)

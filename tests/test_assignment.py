@@ -75,3 +75,36 @@ def test_of_equal_totals_the_first_box_takes_the_first_field():
         assert A.first_cheapest(cost) == min(ways, key=lambda w: w[:2])[2]
     # the sums differ in their last bit only
     assert A.first_cheapest([[0.1 + 0.2, 0.1], [0.3, 0.1]]) == [0, 1]
+
+
+def test_pages_over_several_batches_and_single_ones_agree(spark, monkeypatch):
+    rng = random.Random(9)
+    edge = lambda: rng.randrange(6) / 100  # noqa: E731  # ties are common
+    kinds, names = ["Text", "Signature", "CheckBox", "Radio", None], ["a", "b", None]
+    one = lambda p, k: (p, rng.choice(kinds), rng.choice(names), edge(), edge(), 0.1 + edge(), 0.1 + edge(), k)
+    schema = "page int, ftype string, name string, x0 double, y0 double, x1 double, y1 double"
+    slots = [one(p, f"s{i}") for p in range(40) for i in range(rng.randrange(5))]
+    widgets = [one(p, f"w{i}") + (rng.random() < 0.5,) for p in range(40) for i in range(rng.randrange(5))]
+    s, w = spark.createDataFrame(slots, schema + ", slot string"), spark.createDataFrame(widgets, schema + ", widget string, has_value boolean")
+    rows = lambda: sorted(tuple(r) for r in A.assign_widgets(s, w, 0.02, 0.02).collect())
+    whole = rows()
+    monkeypatch.setattr(A, "PAIRS", 5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert whole and rows() == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_rows_with_a_cheapest_column_of_their_own_take_it(monkeypatch):
+    rng, seen = random.Random(4), A.cheapest
+    for _ in range(300):
+        n, m = rng.randint(1, 5), rng.randint(1, 5)
+        cost = [[rng.choice([1, 2, 3, 4, 9]) for _ in range(m)] for _ in range(n)]
+        with monkeypatch.context() as short:
+            short.setattr(A, "_plain", lambda cost: None)
+            whole = A._first_cheapest(cost)
+        assert A._first_cheapest(cost) == whole
+    monkeypatch.setattr(A, "cheapest", None)
+    assert A.first_cheapest([[0.3, 0.1], [0.2, 0.4], [0.9, 0.9]]) == [1, 0, None] and seen

@@ -12,6 +12,9 @@ from ..session import cut_lineage
 from .match import best_match, canonicalise, name_pairs, without_ruled
 from .scale import is_true, running_last, spread
 
+#: Columns of sheets that are sent to all tasks at most; more are merged.
+SENT_COLUMNS = 100_000
+
 
 def first_addresses(found: DataFrame, order: list[str]) -> DataFrame:
     """First occurrence of every address. found: email and the order columns, plus anything else."""
@@ -22,9 +25,9 @@ def first_addresses(found: DataFrame, order: list[str]) -> DataFrame:
 
 def addresses(rows: DataFrame) -> DataFrame:
     """Every valid address in rows of cells (sheet, row, cells), first occurrence kept."""
-    hits = rows.select("sheet", "row", "cells", F.posexplode("cells").alias("col", "cell")).where(
-        F.contains("cell", F.lit("@"))
-    )
+    marked = F.filter(F.transform("cells", lambda c, i: F.struct(i.alias("col"), c.alias("cell"))), lambda x: F.contains(x["cell"], F.lit("@")))
+    some = rows.where(F.exists("cells", lambda c: F.contains(c, F.lit("@"))))  # cells are taken out of such rows only
+    hits = some.select("sheet", "row", "cells", F.explode(marked).alias("hit")).select("sheet", "row", "cells", "hit.*")
     each = hits.select("*", F.posexplode(emails_in("cell")).alias("nth", "raw")).withColumn("email", clean_email(F.col("raw")))
     return first_addresses(each.where(is_email("email")), ["sheet", "row", "col", "nth"])
 
@@ -45,17 +48,26 @@ def _same_cell_name() -> Column:
 
 
 def _headers(rows: DataFrame, wanted: DataFrame, block: int = 4096) -> DataFrame:
-    """Nearest non-blank cell above each wanted (sheet, col, row) in a row without an address."""
-    no_address = ~F.exists("cells", lambda c: F.coalesce(c, F.lit("")).rlike(V.EMAIL))
-    cells = rows.where(no_address).select("sheet", "row", F.posexplode("cells").alias("col", "cell")).withColumn(
-        "text", F.lower(collapse("cell"))
-    ).where("text <> ''").select("sheet", "col", "row", "text", F.lit(0).alias("side"))
-    ask = wanted.select("sheet", "col", "row").distinct().withColumn("text", F.lit(None).cast("string")).withColumn("side", F.lit(1))
+    """Nearest non-blank cell above each wanted (sheet, col, row) in a row without an address.
+
+    Only cells above a wanted one are taken out of their rows: of wanted columns, down to the last wanted row.
+    """
+    wanted = cut_lineage(wanted.select("sheet", "col", "row").distinct(), "wanted")
+    columns = wanted.groupBy("sheet", "col").agg(F.max("row").alias("last"))
+    few = columns.limit(SENT_COLUMNS + 1).count() <= SENT_COLUMNS
+    sheets = columns.groupBy("sheet").agg(F.collect_list(F.struct("col", "last")).alias("columns"), F.max("last").alias("last"))
+    above = rows.join(F.broadcast(sheets) if few else sheets.hint("merge"), "sheet").where(F.col("row") < F.col("last"))
+    no_address = ~F.exists("cells", lambda c: F.contains(F.coalesce(c, F.lit("")), F.lit("@")) & c.rlike(V.EMAIL))
+    asked = F.filter("columns", lambda x: (x["last"] > F.col("row")) & (x["col"] < F.size("cells")))
+    cells = above.where(no_address).select("sheet", "row", F.explode(F.transform(asked, lambda x: F.struct(x["col"].alias("col"), F.get("cells", x["col"]).alias("cell")))).alias("x")).select(
+        "sheet", "x.col", "row", F.lower(collapse(F.col("x.cell"))).alias("text"), F.lit(0).alias("side")
+    ).where("text <> ''")
+    ask = wanted.withColumn("text", F.lit(None).cast("string")).withColumn("side", F.lit(1)).select("sheet", "col", "row", "text", "side")
     merged = running_last(
         cells.unionByName(ask), ["sheet", "col"], [F.col("row"), -F.col("side")], F.floor(F.col("row") / block),
         F.col("text"), "header",
     )
-    return merged.where(F.col("side") == 1).select("sheet", "col", "row", F.coalesce("header", F.lit("")).alias("header"))
+    return cut_lineage(merged.where(F.col("side") == 1).select("sheet", "col", "row", F.coalesce("header", F.lit("")).alias("header")), "headers")
 
 
 def extract(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from caseflow import fixed_values as V
 from caseflow import functions as C
+from caseflow.operators import contacts as K
 from caseflow.operators.balances import read_settlements
 from caseflow.operators.match import _name_keys
 from caseflow.plans import load_queries
@@ -100,3 +101,17 @@ def test_checksums_of_files_are_put_together_from_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert tasks > 50
     assert got == {name: (len(body), f"{zlib.crc32(body):08x}") for name, body in files.items() if body}
+
+
+def test_only_columns_that_are_asked_for_are_taken_apart(spark, monkeypatch):
+    cells = spark.createDataFrame(
+        [("a", 0, ["Last", "", "First", None]), ("a", 1, [" ", "x", "n@b.example.com", "y"]), ("a", 2, ["p", "q", "r", "s"]), ("a", 3, ["late", "late", "late"]), ("b", 0, ["no", "one", "asks"])],
+        "sheet string, row int, cells array<string>")
+    wanted = spark.createDataFrame([("a", 0, 2), ("a", 2, 2), ("a", 3, 2), ("a", 0, 0), ("a", 7, 2), ("c", 0, 1)], "sheet string, col int, row int")
+    seen, last = [], K.running_last
+    monkeypatch.setattr(K, "running_last", lambda df, *a: (seen.append(df.where("side = 0").count()), last(df, *a))[1])
+    for most in (K.SENT_COLUMNS, 0):
+        monkeypatch.setattr(K, "SENT_COLUMNS", most)
+        got = {(r.sheet, r.col, r.row): r.header for r in K._headers(cells, wanted).collect()}
+        assert got == {("a", 0, 2): "last", ("a", 2, 2): "first", ("a", 3, 2): "", ("a", 0, 0): "", ("a", 7, 2): "", ("c", 0, 1): ""}
+    assert seen == [2, 2]

@@ -31,6 +31,7 @@ SUM_TASKS = 8
 #: Scores of labelled documents, from -SPAN to SPAN, are counted at so many places for their quantile, then within the place that holds it.
 PLACES, SPAN, FINER = 4096, 32, 3
 LIMIT = 0.3
+#: Buckets of pairs of shapes, as many as there are bytes.
 SHAPES = 256
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[0x61:0x7B], _SHAPE[0x41:0x5B], _SHAPE[0x30:0x3A], _SHAPE[0x80:] = ord("a"), ord("A"), ord("0"), ord("a")
@@ -45,15 +46,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(texts, WIDTH)."""
     n = len(offsets) - 1
     size = np.maximum(1, np.diff(offsets))
-    cols = [np.sqrt(linear.segment_sums(k[data], offsets) / size) for k in _KINDS]
+    row = np.repeat(np.arange(n) * 256, np.diff(offsets))  # where each byte's text has its counts
+    counts = np.bincount(row + data, minlength=n * 256).reshape(n, 256)
+    cols = [np.sqrt(counts[:, k].sum(1) / size) for k in _KINDS]
     hashes, bounds, starts, ends = textbuf.words(data, offsets, ~textbuf.SPACE)
     count = np.maximum(1, np.diff(bounds))
     cols.append(np.log1p(np.diff(bounds)) / 10)
     cols.append(linear.segment_sums((ends - starts).astype(float), bounds) / count / 20)
     for k in (1, 3):
         h, b = textbuf.shingles(hashes, bounds, k)
-        _, own = textbuf.distinct(h, b)
-        cols.append(np.diff(own) / np.maximum(1, np.diff(b)))
+        cols.append(textbuf.distinct_counts(h, b) / np.maximum(1, np.diff(b)))
     short = (ends - starts) <= 3
     cols.append(linear.segment_sums(short, bounds) / count)
     last = data[ends - 1] if len(ends) else data[:0]
@@ -61,19 +63,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     no_break = np.ones(256, bool)
     no_break[0x0A] = False
     lines, at, _, _ = textbuf.words(data, offsets, no_break)
-    _, own = textbuf.distinct(lines, at)
-    cols.append(np.diff(own) / np.maximum(1, np.diff(at)))
+    cols.append(textbuf.distinct_counts(lines, at) / np.maximum(1, np.diff(at)))
     cols.append(np.log1p(np.diff(at)) / 5)
     shape = _SHAPE[data]
     pair = linear.gram_buckets(shape, 2, SHAPES)
-    who = np.repeat(np.arange(n), np.diff(offsets))[: len(pair)]
-    if len(pair):
-        inside = np.ones(len(pair), bool)
-        edge = offsets[1:-1] - 1
-        inside[edge[(edge >= 0) & (edge < len(pair))]] = False
-        h = np.bincount((who * SHAPES + pair)[inside], minlength=n * SHAPES).reshape(n, SHAPES)
-    else:
-        h = np.zeros((n, SHAPES))
+    edge = offsets[1:-1] - 1  # pairs that go on into the next text don't count
+    edge = np.unique(edge[(edge >= 0) & (edge < len(pair))])
+    row = row[: len(pair)]
+    h = np.bincount(row + pair, minlength=n * SHAPES) - np.bincount(row[edge] + pair[edge], minlength=n * SHAPES)
+    h = h.reshape(n, SHAPES)
     return np.concatenate([np.stack(cols, 1), np.sqrt(h / size[:, None])], axis=1).astype(np.float32)
 
 
@@ -223,18 +221,21 @@ def rank(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str =
         data, offsets = textbuf.buffers(texts)
         return np.concatenate([features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in textbuf.byte_slices(offsets, 4 << 20)])
 
-    def learn(batch):
+    def measure(batch):
         x = rows_of(batch["text"])
-        return pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "label": batch["label"], "x": pa.array([r.tobytes() for r in x], pa.binary())})
+        return pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
+    # every text is taken apart once: its features are learned from, where it has a label, and scored
+    own = kept(map_batches(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), measure, f"doc_id {kind}, held_out boolean, x binary"), "quality-features")
     given = labels.where(~held_out("doc_id", 5, 0) & F.col(column).isin(0, 1)).select("doc_id", F.col(column).cast("int").alias("label"))
-    # merged at every size: sent to all tasks, ids would outgrow an executor, and texts cross the network once
-    rows = kept(map_batches(docs.select("doc_id", "text").join(given.hint("merge"), "doc_id"), learn, f"doc_id {kind}, label int, x binary"), "quality-rows")
+    # merged at every size: sent to all tasks, ids would outgrow an executor
+    rows = kept(own.where(~F.col("held_out")).select("doc_id", "x").join(given.hint("merge"), "doc_id").select("doc_id", "label", "x"), "quality-rows")
     shared = spark.sparkContext.broadcast(train(rows))
     drop(rows)
 
     def run(batch):
-        s = score(shared.value, rows_of(batch["text"]))
+        x = np.frombuffer(b"".join(batch["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
+        s = score(shared.value, x)
         return pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": pa.array(s), "predicted": pa.array((s >= LIMIT).astype(np.int32), pa.int32())})
 
-    return map_batches(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_batches(own, run, f"doc_id {kind}, held_out boolean, score double, predicted int")

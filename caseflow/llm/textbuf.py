@@ -151,6 +151,15 @@ def distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return v[new], np.searchsorted(s[new], np.arange(len(bounds)))
 
 
+def distinct_counts(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many distinct values each segment has."""
+    out = np.zeros(len(bounds) - 1, np.int64)
+    for i in np.flatnonzero(np.diff(bounds)):
+        own = np.sort(values[bounds[i] : bounds[i + 1]])
+        out[i] = 1 + np.count_nonzero(own[1:] != own[:-1])
+    return out
+
+
 def byte_slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Runs of rows of at most `most` bytes; a longer text is a run of its own."""
     out, a, n = [], 0, len(offsets) - 1
